@@ -125,27 +125,6 @@ def clause_requests(spark: SparkSession, requests: Iterable[dict]) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
 
-def word_clauses(q: Column | str) -> Column:
-    """Plain words as ``should`` clauses on the default fields."""
-    words = F.filter(F.split(q, r"\s+"), lambda w: w != "")
-    return F.transform(
-        words,
-        lambda w: F.struct(
-            F.lit("should").alias("occur"),
-            F.lit("term").alias("kind"),
-            F.lit(None).cast("string").alias("field"),
-            w.alias("text"),
-            F.lit(None).cast("array<string>").alias("terms"),
-            F.lit(None).cast("string").alias("lower"),
-            F.lit(None).cast("string").alias("upper"),
-            F.lit(None).cast("boolean").alias("incl_lower"),
-            F.lit(None).cast("boolean").alias("incl_upper"),
-            F.lit(0).alias("slop"),
-            F.lit(1.0).alias("boost"),
-        ),
-    )
-
-
 def with_defaults(requests: DataFrame) -> DataFrame:
     """Fill in absent request settings: index, limit, ai, ai_weight."""
 
@@ -155,14 +134,11 @@ def with_defaults(requests: DataFrame) -> DataFrame:
             value = F.coalesce(F.col(name).cast(kind), value)
         return value.alias(name)
 
-    q = F.col("q") if "q" in requests.columns else F.lit(None).cast("string")
-    words = word_clauses(F.coalesce(q, F.lit("")))
-    clauses = words
-    if "clauses" in requests.columns:
-        clauses = F.coalesce(F.col("clauses").cast(CLAUSES), words.cast(CLAUSES))
+    clauses = F.col("clauses") if "clauses" in requests.columns else F.lit(None)
+    q = F.col("q") if "q" in requests.columns else F.lit(None)
     return requests.select(
         "qid",
-        q.alias("q"),
+        q.cast("string").alias("q"),
         clauses.cast(CLAUSES).alias("clauses"),
         setting("index_name", "string", DEFAULT_INDEX),
         setting("limit", "int", DEFAULT_LIMIT),
@@ -173,6 +149,90 @@ def with_defaults(requests: DataFrame) -> DataFrame:
     )
 
 
+# One row per token, set member or bound of a clause.
+_FLAT = (
+    "qid", "index_name", "clause_id", "occur", "kind", "field", "offset", "term",
+    "n_terms", "slop", "boost", "lower", "upper", "incl_lower", "incl_upper",
+)
+
+
+def _word_rows(requests: DataFrame) -> DataFrame:
+    """Plain words as ``should`` terms; a word of several tokens is a phrase."""
+    words = requests.select(
+        "qid", "index_name", F.posexplode(F.split("q", r"\s+")).alias("clause_id", "word")
+    )
+    tokens = words.select(
+        "qid", "index_name", "clause_id", analyze_with_offsets("word").alias("tokens")
+    )
+    rows = tokens.select(
+        "qid", "index_name", "clause_id", F.size("tokens").alias("n_terms"), F.inline("tokens")
+    )
+    return rows.withColumns(
+        {
+            "occur": F.lit("should"),
+            "kind": F.when(F.col("n_terms") == 1, F.lit("term")).otherwise(F.lit("phrase")),
+            "field": F.lit(None).cast("string"),
+            "slop": F.lit(0),
+            "boost": F.lit(1.0),
+            "lower": F.lit(None).cast("string"),
+            "upper": F.lit(None).cast("string"),
+            "incl_lower": F.lit(None).cast("boolean"),
+            "incl_upper": F.lit(None).cast("boolean"),
+        }
+    ).select(*_FLAT)
+
+
+def _clause_rows(requests: DataFrame) -> DataFrame:
+    opened = requests.select(
+        "qid", "index_name", F.posexplode("clauses").alias("clause_id", "c")
+    ).select("qid", "index_name", "clause_id", "c.*")
+    whole = F.col("field") == "id"
+    is_text = F.col("kind").isin("term", "phrase")
+
+    def single(term_col: Column) -> Column:
+        return F.array(F.struct(F.lit(0).alias("offset"), term_col.alias("term")))
+
+    def cased(name: str) -> Column:
+        return F.when(whole, F.col(name)).otherwise(F.lower(name))
+
+    listed = F.array_distinct(
+        F.transform("terms", lambda t: F.when(whole, t).otherwise(F.lower(t)))
+    )
+    tokens = (
+        F.when(is_text & whole, single(F.col("text")))
+        .when(is_text, analyze_with_offsets("text"))
+        .when(
+            F.col("kind") == "set",
+            F.transform(listed, lambda t: F.struct(F.lit(0).alias("offset"), t.alias("term"))),
+        )
+        .otherwise(single(F.lit(DOC_MARKER)))
+    )
+    measured = opened.withColumn("tokens", tokens).withColumn("n_terms", F.size("tokens"))
+    # An empty set stays as a row that can match nothing, so a must on it fails.
+    return (
+        measured.where(~is_text | (F.col("n_terms") > 0))
+        .select("*", F.inline_outer("tokens"))
+        .withColumns(
+            {
+                "kind": F.when(is_text & (F.col("n_terms") == 1), F.lit("term"))
+                .when(is_text, F.lit("phrase"))
+                .otherwise(F.col("kind")),
+                "lower": cased("lower"),
+                "upper": cased("upper"),
+            }
+        )
+        .where((F.col("kind") != "set") | F.col("term").isNull() | (F.col("term") != DOC_MARKER))
+        .select(*_FLAT)
+    )
+
+
+def _flat_rows(filled: DataFrame, has_clauses: bool) -> DataFrame:
+    if not has_clauses:
+        return _word_rows(filled)
+    words = _word_rows(filled.where(F.col("clauses").isNull()))
+    return words.unionByName(_clause_rows(filled.where(F.col("clauses").isNotNull())))
+
+
 @dataclass(frozen=True)
 class Profile:
     """What a batch of requests needs, from one aggregate over the request table."""
@@ -199,61 +259,41 @@ class Profile:
     def plain(self) -> bool:
         """Only scored ``should`` terms."""
         return not (
-            self.any_must or self.any_must_not or self.any_set or self.any_range or self.any_phrase
+            self.any_must
+            or self.any_must_not
+            or self.any_set
+            or self.any_all
+            or self.any_range
+            or self.any_phrase
         )
 
 
+TERM_KEY = ("index_name", "field", "term")
+
+
 @dataclass(frozen=True)
 class CompiledRequests:
     requests: DataFrame
     terms: DataFrame
     phrases: DataFrame
     ranges: DataFrame
+    wanted: DataFrame
     profile: Profile
+    literal: tuple[str, ...] | None = None
 
 
-def _any(condition: Column) -> Column:
-    return F.coalesce(F.max(condition), F.lit(False))
-
-
-def _length(array: Column) -> Column:
-    return F.coalesce(F.size(array), F.lit(0))
-
+# Batches up to this many flat rows are compiled on the spot and kept as local
+# relations; larger ones stay distributed tables.
+LOCAL_ROWS = 20_000
 
-def _profile(live: DataFrame) -> Profile:
-    def has(predicate) -> Column:
-        return F.exists("live", predicate)
-
-    fields = F.lit(len(DEFAULT_FIELDS))
-    n_terms = F.aggregate(
-        "live",
-        F.lit(0).cast("long"),
-        lambda acc, c: acc
-        + fields * (_length(c["tokens"]) + _length(c["terms"]) + 1),
-    )
-    n_bytes = F.aggregate(
-        "live",
-        F.lit(0).cast("long"),
-        lambda acc, c: acc
-        + F.coalesce(F.octet_length(c["text"]), F.lit(0))
-        + F.coalesce(F.octet_length(F.array_join(c["terms"], "")), F.lit(0)),
-    )
-    row = live.agg(
-        F.count(F.lit(1)).alias("queries"),
-        F.coalesce(F.max("limit"), F.lit(1)).alias("max_limit"),
-        F.coalesce(F.min("limit"), F.lit(1)).alias("min_limit"),
-        F.coalesce(F.max(F.size("clauses")), F.lit(0)).alias("max_clauses"),
-        F.coalesce(F.sum(n_terms), F.lit(0)).alias("term_rows"),
-        F.coalesce(F.sum(n_bytes), F.lit(0)).alias("text_bytes"),
-        _any(has(lambda c: c["occur"] == "must")).alias("any_must"),
-        _any(has(lambda c: c["occur"] == "must_not")).alias("any_must_not"),
-        _any(has(lambda c: c["kind"] == "set")).alias("any_set"),
-        _any(has(lambda c: c["kind"] == "all")).alias("any_all"),
-        _any(has(lambda c: c["kind"] == "range")).alias("any_range"),
-        _any(has(lambda c: _length(c["tokens"]) > 1)).alias("any_phrase"),
-        _any(has(lambda c: c["field"] == "id")).alias("any_id"),
-    ).first()
-    return Profile(**row.asDict())
+_HEAD = "qid {qid}, index_name string, required bigint, clause_id int, occur string, "
+_TERMS = _HEAD + "kind string, field string, term string, boost double"
+_PHRASES = _HEAD + "field string, offset int, term string, n_terms int, slop int, boost double"
+_RANGES = (
+    _HEAD + "field string, lower string, upper string, "
+    "incl_lower boolean, incl_upper boolean, boost double"
+)
+MASK_CLAUSES = 63
 
 
 def compile_requests(requests: DataFrame) -> CompiledRequests:
@@ -264,86 +304,155 @@ def compile_requests(requests: DataFrame) -> CompiledRequests:
                 n_terms, slop, boost)
     ``ranges``  (qid, index_name, required, clause_id, occur, field, lower, upper,
                 incl_lower, incl_upper, boost)
+    ``wanted``  distinct (index_name, field, term) to look up, field markers included
 
-    ``required`` is the bit set of the must clauses; it is exact for up to 63
-    clauses, beyond that the matcher compares sets.
+    ``required`` is the bit set of the must clauses for up to 63 clauses per
+    request, and their number beyond that.
     """
     filled = with_defaults(requests)
-    is_text = lambda c: c["kind"].isin("term", "phrase")
-    tagged = F.transform(
-        "clauses",
-        lambda c, i: F.struct(
-            *[c[name].alias(name) for name in CLAUSE.names],
-            i.alias("clause_id"),
-            F.when(
-                is_text(c),
-                F.when(
-                    c["field"] == "id",
-                    F.array(F.struct(F.lit(0).alias("offset"), c["text"].alias("term"))),
-                ).otherwise(analyze_with_offsets(c["text"])),
-            )
-            .otherwise(F.lit(None))
-            .alias("tokens"),
-        ),
-    )
-    live = filled.withColumn("tagged", tagged).withColumn(
-        "live", F.filter("tagged", lambda c: ~is_text(c) | (F.size(c["tokens"]) > 0))
-    )
-    profile = _profile(live)
+    flat = _flat_rows(filled, "clauses" in requests.columns)
+    heads = filled.select("qid", "q", "index_name", "limit", "ai", "ai_weight")
+    few_rows = flat.limit(LOCAL_ROWS + 1).toArrow()
+    few_heads = heads.limit(LOCAL_ROWS + 1).toArrow()
+    if max(few_rows.num_rows, few_heads.num_rows) <= LOCAL_ROWS:
+        spark = requests.sparkSession
+        local_heads = spark.createDataFrame(few_heads)
+        return _compile_local(spark, few_rows.to_pylist(), few_heads.to_pylist(), local_heads)
+    return _compile_distributed(flat, heads)
+
+
+def _checked(profile: Profile) -> Profile:
     if profile.min_limit < 1:
         raise ValueError("limit must be at least 1")
-
-    must = F.filter("live", lambda c: c["occur"] == "must")
-    bits = F.aggregate(
-        must,
-        F.lit(0).cast("long"),
-        lambda acc, c: acc.bitwiseOR(clause_bit(c["clause_id"])),
-    )
-    required = bits if profile.max_clauses <= 63 else F.size(must).cast("long")
-    clause = live.select(
-        "qid", "index_name", required.alias("required"), F.explode("live").alias("c")
+    return profile
+
+
+def _compile_local(spark, rows: list[dict], heads: list[dict], requests) -> CompiledRequests:
+    limits = [h["limit"] for h in heads] or [1]
+    has = lambda column, value: any(r[column] == value for r in rows)
+    profile = _checked(
+        Profile(
+            queries=len(heads),
+            max_limit=max(limits),
+            min_limit=min(limits),
+            max_clauses=max((r["clause_id"] for r in rows), default=-1) + 1,
+            term_rows=len(rows) * len(DEFAULT_FIELDS),
+            text_bytes=sum(len((r["term"] or "").encode()) + 64 for r in rows) * len(DEFAULT_FIELDS),
+            any_must=has("occur", "must"),
+            any_must_not=has("occur", "must_not"),
+            any_set=has("kind", "set"),
+            any_all=has("kind", "all"),
+            any_range=has("kind", "range"),
+            any_phrase=has("kind", "phrase"),
+            any_id=has("field", "id"),
+        )
     )
-    clause = clause.withColumn(
-        "field",
-        F.explode(
-            F.when(
-                F.col("c.kind") == "all", F.array(F.lit(DEFAULT_FIELDS[0]))
-            )
-            .when(F.col("c.field").isNotNull(), F.array("c.field"))
-            .otherwise(F.array(*[F.lit(f) for f in DEFAULT_FIELDS]))
-        ),
+    must: dict = {}
+    for r in rows:
+        if r["occur"] == "must":
+            must.setdefault(r["qid"], set()).add(r["clause_id"])
+    if profile.max_clauses <= MASK_CLAUSES:
+        required = {q: sum(1 << c for c in ids) for q, ids in must.items()}
+    else:
+        required = {q: len(ids) for q, ids in must.items()}
+
+    weights: dict = {}
+    phrases, ranges, wanted = [], [], set()
+    for r in rows:
+        if r["kind"] == "all":
+            fields = DEFAULT_FIELDS[:1]
+        else:
+            fields = (r["field"],) if r["field"] is not None else DEFAULT_FIELDS
+        head = (r["qid"], r["index_name"], required.get(r["qid"], 0))
+        for field in fields:
+            bounds = (r["lower"], r["upper"], r["incl_lower"], r["incl_upper"])
+            if r["kind"] == "range":
+                ranges.append((*head, r["clause_id"], r["occur"], field, *bounds, r["boost"]))
+                continue
+            wanted.update((r["index_name"], field, t) for t in (r["term"], DOC_MARKER))
+            if r["kind"] == "phrase":
+                place = (r["offset"], r["term"], r["n_terms"], r["slop"], r["boost"])
+                phrases.append((*head, r["clause_id"], r["occur"], field, *place))
+                continue
+            # Scores add up, so a word that a plain query repeats is one weight.
+            clause = 0 if profile.plain else r["clause_id"]
+            key = (*head, clause, r["occur"], r["kind"], field, r["term"])
+            weights[key] = weights.get(key, 0.0) + r["boost"]
+    qid = requests.schema["qid"].dataType.simpleString()
+    make = spark.createDataFrame
+    terms = [(*key, boost) for key, boost in weights.items()]
+    looked_up = [w for w in wanted if w[2] is not None]
+    return CompiledRequests(
+        requests,
+        make(terms, _TERMS.format(qid=qid)),
+        make(phrases, _PHRASES.format(qid=qid)),
+        make(ranges, _RANGES.format(qid=qid)),
+        make(looked_up, "index_name string, field string, term string"),
+        profile,
+        tuple(sorted({w[2] for w in looked_up})),
     )
-    head = ["qid", "index_name", "required", "c.clause_id", "c.occur"]
-    n_tokens = F.size("c.tokens")
-    listed = F.when(F.col("field") == "id", F.col("c.terms")).otherwise(
-        F.transform("c.terms", F.lower)
+
+
+def _compile_distributed(flat: DataFrame, heads: DataFrame) -> CompiledRequests:
+    profile = _checked(_profile(flat, heads))
+    required = F.lit(0).cast("long")
+    if profile.any_must:
+        must = flat.where(F.col("occur") == "must")
+        if profile.max_clauses <= MASK_CLAUSES:
+            value = F.bit_or(clause_bit(F.col("clause_id")))
+        else:
+            value = F.count_distinct("clause_id")
+        flat = flat.join(must.groupBy("qid").agg(value.alias("mask")), "qid", "left")
+        required = F.coalesce("mask", required)
+    default = F.array(*[F.lit(f) for f in DEFAULT_FIELDS])
+    fields = (
+        F.when(F.col("kind") == "all", F.array(F.lit(DEFAULT_FIELDS[0])))
+        .when(F.col("field").isNotNull(), F.array("field"))
+        .otherwise(default)
     )
-    words = (
-        F.when(F.col("c.kind") == "set", F.array_distinct(listed))
-        .when(F.col("c.kind") == "all", F.array(F.lit(DOC_MARKER)))
-        .when(n_tokens == 1, F.transform("c.tokens", lambda t: t["term"]))
+    rows = flat.withColumn("required", required).withColumn("field", F.explode(fields))
+    head = ["qid", "index_name", "required", "clause_id", "occur"]
+    terms = rows.where(F.col("kind").isin("term", "set", "all"))
+    if profile.plain:
+        terms = terms.withColumn("clause_id", F.lit(0))
+    terms = terms.groupBy(*head, "kind", "field", "term").agg(F.sum("boost").alias("boost"))
+    phrases = rows.where(F.col("kind") == "phrase").select(
+        *head, "field", "offset", "term", "n_terms", "slop", "boost"
     )
-    kind = F.when(F.col("c.kind").isin("set", "all"), F.col("c.kind")).otherwise(F.lit("term"))
-    terms = clause.select(
-        *head, kind.alias("kind"), "field", F.explode(words).alias("term"), "c.boost"
-    ).where((F.col("kind") == "all") | (F.col("term") != DOC_MARKER))
-    phrases = clause.where(n_tokens > 1).select(
-        *head,
-        "field",
-        F.inline("c.tokens"),
-        n_tokens.alias("n_terms"),
-        "c.slop",
-        "c.boost",
+    ranges = rows.where(F.col("kind") == "range").select(
+        *head, "field", "lower", "upper", "incl_lower", "incl_upper", "boost"
     )
+    looked_up = rows.where((F.col("kind") != "range") & F.col("term").isNotNull())
+    wanted = looked_up.select(
+        "index_name", "field", F.explode(F.array(F.col("term"), F.lit(DOC_MARKER))).alias("term")
+    ).distinct()
+    return CompiledRequests(heads, terms, phrases, ranges, wanted, profile)
 
-    def bound(name: str) -> Column:
-        value = F.col(f"c.{name}")
-        return F.when(F.col("field") == "id", value).otherwise(F.lower(value)).alias(name)
 
-    ranges = clause.where(F.col("c.kind") == "range").select(
-        *head, "field", bound("lower"), bound("upper"), "c.incl_lower", "c.incl_upper", "c.boost"
-    )
-    return CompiledRequests(filled, terms, phrases, ranges, profile)
+def _any(condition: Column) -> Column:
+    return F.coalesce(F.max(condition), F.lit(False))
+
+
+def _profile(flat: DataFrame, heads: DataFrame) -> Profile:
+    size = F.coalesce(F.octet_length("term"), F.lit(0)) + 64
+    clauses = flat.agg(
+        (F.coalesce(F.max("clause_id"), F.lit(-1)) + 1).alias("max_clauses"),
+        (F.count(F.lit(1)) * len(DEFAULT_FIELDS)).alias("term_rows"),
+        (F.coalesce(F.sum(size), F.lit(0)) * len(DEFAULT_FIELDS)).alias("text_bytes"),
+        _any(F.col("occur") == "must").alias("any_must"),
+        _any(F.col("occur") == "must_not").alias("any_must_not"),
+        _any(F.col("kind") == "set").alias("any_set"),
+        _any(F.col("kind") == "all").alias("any_all"),
+        _any(F.col("kind") == "range").alias("any_range"),
+        _any(F.col("kind") == "phrase").alias("any_phrase"),
+        _any(F.col("field") == "id").alias("any_id"),
+    ).first()
+    limits = heads.agg(
+        F.count(F.lit(1)).alias("queries"),
+        F.coalesce(F.max("limit"), F.lit(1)).alias("max_limit"),
+        F.coalesce(F.min("limit"), F.lit(1)).alias("min_limit"),
+    ).first()
+    return Profile(**clauses.asDict(), **limits.asDict())
 
 
 def clause_bit(clause_id: Column) -> Column:

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 from termloom.operators.bm25 import idf, tf_weight
 from termloom.operators.clauses import (
     DOC_MARKER,
+    MASK_CLAUSES,
+    TERM_KEY,
     CompiledRequests,
     clause_bit,
     range_predicate,
 )
-from termloom.operators.postings import TERM_KEY, with_field_totals
+from termloom.operators.postings import with_field_totals
 from termloom.operators.topk import top_k
 from termloom.schema import OVERFETCH, SCORE_DIGITS
 
@@ -45,26 +47,9 @@ def join_queries(postings: DataFrame, queries: DataFrame, keys, small: bool) ->
     return spread.join(copies, [*TERM_KEY, "salt"]).drop("salt")
 
 
-def wanted_terms(compiled: CompiledRequests) -> DataFrame:
-    """Distinct (index_name, field, term) of a batch, with the field markers."""
-    parts = [compiled.terms.select(*TERM_KEY)]
-    if compiled.profile.any_phrase:
-        parts.append(compiled.phrases.select(*TERM_KEY))
-    used = reduce(DataFrame.unionByName, parts)
-    with_marker = F.explode(F.array(F.col("term"), F.lit(DOC_MARKER)))
-    return used.select("index_name", "field", with_marker.alias("term")).distinct()
-
-
 def _term_scores(compiled, postings, weights, keys, small) -> DataFrame:
     """One row per (query, document, clause, field) with its BM25 or constant score."""
-    terms = compiled.terms
-    if compiled.profile.plain and not compiled.profile.any_all:
-        # Scores add up, so repeated words of a query fold into one weight.
-        terms = terms.groupBy("qid", "required", *TERM_KEY).agg(F.sum("boost").alias("boost"))
-        terms = terms.withColumns(
-            {"clause_id": F.lit(0), "occur": F.lit("should"), "kind": F.lit("term")}
-        )
-    rows = terms.join(weights, list(TERM_KEY))
+    rows = compiled.terms.join(weights, list(TERM_KEY))
     joined = join_queries(postings, rows, keys, small)
     scored = (
         F.col("boost") * idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")
@@ -201,9 +186,8 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
     """All matches: (qid, index_name, keys, score), score rounded and unranked."""
     profile, keys = compiled.profile, corpus.keys
     small = fits_broadcast(compiled)
-    terms = wanted_terms(compiled)
-    postings = corpus.postings_for(terms, profile.fields, profile.any_phrase, small)
-    weights = with_field_totals(corpus.statistics_for(terms, postings))
+    postings = corpus.postings_for(compiled, small)
+    weights = with_field_totals(corpus.statistics_for(compiled, postings))
     parts = [_term_scores(compiled, postings, weights, keys, small)]
     if profile.any_phrase:
         parts.append(_phrase_scores(compiled, postings, weights, keys, small))
@@ -212,7 +196,7 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
     contributions = reduce(DataFrame.unionByName, parts)
 
     doc = ["qid", "index_name", *keys]
-    if profile.plain and len(parts) == 1:
+    if profile.plain:
         total = contributions.groupBy(*doc).agg(F.sum("score").alias("score"))
     else:
         total = _combine(contributions, doc, profile)
@@ -222,7 +206,7 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
 def _combine(contributions: DataFrame, doc: list[str], profile) -> DataFrame:
     """Must, should and must-not in one aggregation."""
     is_must = F.col("occur") == "must"
-    if profile.max_clauses <= 63:
+    if profile.max_clauses <= MASK_CLAUSES:
         got = F.bit_or(
             F.when(is_must, clause_bit(F.col("clause_id"))).otherwise(F.lit(0).cast("long"))
         )

@@ -16,10 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import is_indexed_token, raw_tokens
-from termloom.operators.clauses import DOC_MARKER
-from termloom.schema import DEFAULT_FIELDS, SEARCHABLE_FIELDS
-
-TERM_KEY = ("index_name", "field", "term")
+from termloom.operators.clauses import DOC_MARKER, TERM_KEY, CompiledRequests
+from termloom.schema import DEFAULT_FIELDS
 
 
 def token_rows(
@@ -163,28 +161,23 @@ class ScanCorpus:
     documents: DataFrame
     keys: tuple[str, ...] = ("doc_key",)
 
-    def postings_for(
-        self,
-        terms: DataFrame,
-        fields: Sequence[str] = DEFAULT_FIELDS,
-        positions: bool = False,
-        broadcast: bool = True,
-    ) -> DataFrame:
-        """Postings of ``terms`` (index_name, field, term), markers included.
+    def postings_for(self, compiled: CompiledRequests, broadcast: bool = True) -> DataFrame:
+        """Postings of the wanted terms, markers included.
 
         Tokens are matched before they are shuffled, and they are shuffled by
         document key, so that scoring needs no second exchange.
         """
-        tokens = token_rows(self.documents, self.keys, fields)
-        wanted = F.broadcast(terms) if broadcast else terms
+        tokens = token_rows(self.documents, self.keys, compiled.profile.fields)
+        wanted = F.broadcast(compiled.wanted) if broadcast else compiled.wanted
         matched = tokens.join(wanted, list(TERM_KEY), "left_semi")
+        positions = compiled.profile.any_phrase
         if not positions:
             matched = matched.drop("pos")
         matched = matched.repartition(*self.keys)
         return group_tokens(matched, self.keys, positions)
 
-    def statistics_for(self, terms: DataFrame, postings: DataFrame) -> DataFrame:
-        """df and totals of ``terms``, from the same exchange as the postings."""
+    def statistics_for(self, compiled: CompiledRequests, postings: DataFrame) -> DataFrame:
+        """df and totals of the wanted terms, from the same exchange as the postings."""
         return term_statistics(postings)
 
     def postings_between(self, condition: Column, fields: Sequence[str]) -> DataFrame:
@@ -203,17 +196,3 @@ class ScanCorpus:
 
 def scan_corpus(docs: DataFrame, keys: Sequence[str] = ("doc_key",)) -> ScanCorpus:
     return ScanCorpus(documents_view(docs, keys), tuple(keys))
-
-
-__all__ = [
-    "SEARCHABLE_FIELDS",
-    "ScanCorpus",
-    "build_postings",
-    "documents_view",
-    "field_statistics",
-    "group_tokens",
-    "scan_corpus",
-    "term_statistics",
-    "token_rows",
-    "with_field_totals",
-]
