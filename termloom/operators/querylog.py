@@ -22,7 +22,8 @@ def latency_report(
     def cut(values: Column) -> Column:
         return F.percentile(values, levels) if exact else F.percentile_approx(values, levels, 10_000)
 
-    elapsed = F.unix_micros(F.max(at)) - F.unix_micros(F.min(at))
+    time = F.col(at).cast("timestamp")
+    elapsed = F.unix_micros(F.max(time)) - F.unix_micros(F.min(time))
     report = log.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"),
         elapsed.alias("elapsed_us"),

@@ -24,9 +24,18 @@ def shifted(ai_score: str) -> Column:
     return (F.coalesce(F.col(ai_score), F.lit(0.0)) + 1.0) / 2.0
 
 
-def semantic_scores(pool: DataFrame, vectors: DataFrame, query_vectors: DataFrame) -> DataFrame:
-    """Add ``ai_score`` and ``has_query_vector`` to candidates (qid, index_name, id, ...)."""
+def semantic_scores(
+    pool: DataFrame, vectors: DataFrame, query_vectors: DataFrame, few: bool = False
+) -> DataFrame:
+    """Add ``ai_score`` and ``has_query_vector`` to candidates (qid, index_name, id, ...).
+
+    With ``few`` candidates (a checked number) their ids are broadcast to the
+    vectors first, so only the vectors that are needed leave the scan.
+    """
     stored = vectors.select("index_name", "id", "embedding")
+    if few:
+        ids = pool.select("index_name", "id").distinct()
+        stored = stored.join(F.broadcast(ids), ["index_name", "id"], "left_semi")
     asked = query_vectors.select("qid", "query_embedding")
     joined = pool.join(stored, ["index_name", "id"], "left").join(asked, "qid", "left")
     return joined.withColumns(

@@ -9,8 +9,9 @@ from termloom.functions.text import candidate_text
 from termloom.functions.vector import cosine
 from termloom.operators.clauses import CompiledRequests, compile_requests
 from termloom.operators.embed import Embedder, embed_queries, embed_texts, score_pairs, supports_scoring
-from termloom.operators.match import fits_broadcast, keyword_pool
+from termloom.operators.match import BROADCAST_ROWS, fits_broadcast, keyword_pool
 from termloom.operators.rerank import fuse, semantic_scores
+from termloom.schema import OVERFETCH
 
 HIT = ("qid", "index_name", "rank", "id", "title", "body", "url", "metadata", "score")
 
@@ -39,7 +40,8 @@ def search(
         )
     compiled = compile_requests(requests)
     ranked = ranked_keys(corpus, compiled, vectors, query_vectors, embedder, embed_candidates)
-    return corpus.fetch(ranked).select(*HIT)
+    most = compiled.profile.queries * compiled.profile.max_limit
+    return corpus.fetch(ranked, most).select(*HIT)
 
 
 def ranked_keys(
@@ -112,4 +114,5 @@ def _with_ai_scores(
             .drop("embedding", "query_embedding")
         )
     ids = corpus.fetch_ids(pool)
-    return semantic_scores(ids, vectors, query_vectors)
+    most = compiled.profile.queries * compiled.profile.max_limit * OVERFETCH
+    return semantic_scores(ids, vectors, query_vectors, few=most <= BROADCAST_ROWS)

@@ -12,13 +12,23 @@ def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(rows: DataFrame, key: str) -> DataFrame:
+    """Spread a file scan over the cores when it has fewer splits than there are cores.
+
+    For plain scans only: it asks for the number of splits, which plans but does
+    not run the query.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores, key)
+
+
 def corpus_documents(spark: SparkSession, folder: str, per_language: bool = False) -> DataFrame:
     """``documents`` as (index_name, doc_key, id, title, body, url, metadata).
 
     The title is the text before the first full stop; with ``per_language`` each
     language is an index of its own.
     """
-    raw = _read(spark, folder, "documents")
+    raw = spread(_read(spark, folder, "documents"), "doc_id")
     meta = F.to_json(F.struct("lang", "source"))
     return raw.select(
         (F.col("lang") if per_language else F.lit("default")).alias("index_name"),
@@ -33,7 +43,7 @@ def corpus_documents(spark: SparkSession, folder: str, per_language: bool = Fals
 
 def web_documents(spark: SparkSession, folder: str) -> DataFrame:
     """``pages`` as documents: title from the title tag, body with tags stripped."""
-    raw = _read(spark, folder, "pages")
+    raw = spread(_read(spark, folder, "pages"), "page_id")
     return raw.select(
         F.lit("web").alias("index_name"),
         F.col("page_id").alias("doc_key"),
