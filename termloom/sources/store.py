@@ -67,6 +67,7 @@ class Store:
         self.dims = dims
         self._prefix = "store_" + hashlib.sha256(self.root.encode()).hexdigest()[:12]
         self.buckets = self._settings(buckets)
+        spark.createDataFrame([], _LOG).write.mode("ignore").parquet(f"{self.root}/log")
         for name in _COLUMNS:
             self._define(name)
 
@@ -108,10 +109,7 @@ class Store:
     # -- commits ---------------------------------------------------------
 
     def log(self) -> DataFrame:
-        path = f"{self.root}/log"
-        empty = self.spark.createDataFrame([], _LOG)
-        empty.write.mode("ignore").parquet(path)
-        return self.spark.read.schema(_LOG).parquet(path)
+        return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
 
     def _record(self, seq: int, done: bool, kind: str, added=None, stream=None, batch=None) -> None:
         row = self.spark.createDataFrame([(seq, done, kind, added, stream, batch)], _LOG)
@@ -170,8 +168,8 @@ class Store:
         return added
 
     def _sorted(self, stats: DataFrame) -> DataFrame:
-        spread = stats.repartitionByRange(*TERM_KEY)
-        return spread.sortWithinPartitions("index_name", "term", "field")
+        # Sorted files are enough for skipping by term; no range shuffle needed.
+        return stats.sortWithinPartitions("index_name", "term", "field")
 
     def _embed(self, written: DataFrame, embedder: Embedder) -> None:
         texts = written.select(
