@@ -275,8 +275,8 @@ TERM_KEY = ("index_name", "field", "term")
 class CompiledRequests:
     requests: DataFrame
     terms: DataFrame
-    phrases: DataFrame
-    ranges: DataFrame
+    phrases: DataFrame | None
+    ranges: DataFrame | None
     wanted: DataFrame
     profile: Profile
     literal: tuple[str, ...] | None = None
@@ -385,8 +385,8 @@ def _compile_local(spark, rows: list[dict], heads: list[dict], requests) -> Comp
     return CompiledRequests(
         requests,
         make(terms, _TERMS.format(qid=qid)),
-        make(phrases, _PHRASES.format(qid=qid)),
-        make(ranges, _RANGES.format(qid=qid)),
+        make(phrases, _PHRASES.format(qid=qid)) if phrases else None,
+        make(ranges, _RANGES.format(qid=qid)) if ranges else None,
         make(looked_up, "index_name string, field string, term string"),
         profile,
         tuple(sorted({w[2] for w in looked_up})),

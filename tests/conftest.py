@@ -7,10 +7,12 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
 from pyspark import cloudpickle
 
+import samples
 import termloom
 from termloom.session import local_session
 
 cloudpickle.register_pickle_by_value(termloom)
+cloudpickle.register_pickle_by_value(samples)
 
 
 @pytest.fixture(scope="session")

@@ -5,6 +5,8 @@ import re
 
 from pyspark.sql import types as T
 
+from termloom.plans.catalog import LetterModel
+
 DOC = T.StructType(
     [
         T.StructField("doc_key", T.LongType()),
@@ -71,3 +73,14 @@ def bm25(rows, query, fields=(1, 2)):
                     part = idf * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * len(t) / average))
                     scores[row[0]] = scores.get(row[0], 0.0) + part
     return scores
+
+
+class Counting(LetterModel):
+    def embed(self, texts):
+        assert 0 < len(texts) <= 100
+        return super().embed(texts)
+
+
+class Failing(LetterModel):
+    def embed(self, texts):
+        raise RuntimeError("model is down")
