@@ -47,28 +47,48 @@ def join_queries(postings: DataFrame, queries: DataFrame, keys, small: bool) ->
     return spread.join(copies, [*TERM_KEY, "salt"]).drop("salt")
 
 
+def fan_out(postings: DataFrame, queries: DataFrame, keys, small: bool) -> DataFrame:
+    """As :func:`join_queries`, for terms that many queries share.
+
+    The small form keeps the queries of a term together in one array, which is
+    read in order instead of row by row from a hash chain.
+    """
+    if not small:
+        return join_queries(postings, queries, keys, small)
+    rest = [c for c in queries.columns if c not in TERM_KEY]
+    packed = queries.groupBy(*TERM_KEY).agg(F.collect_list(F.struct(*rest)).alias("asks"))
+    joined = postings.join(F.broadcast(packed), list(TERM_KEY))
+    return joined.select(*postings.columns, F.inline("asks"))
+
+
 def _term_scores(compiled, postings, weights, keys, small) -> DataFrame:
     """One row per (query, document, clause, field) with its BM25 or constant score."""
-    rows = compiled.terms.join(weights, list(TERM_KEY))
-    joined = join_queries(postings, rows, keys, small)
-    scored = (
-        F.col("boost") * idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")
-    )
-    out = joined.withColumn(
-        "score", F.when(F.col("kind") == "term", scored).otherwise(F.col("boost"))
+    # What a posting is worth does not depend on the query, so it is computed
+    # before the postings fan out to the queries that ask for their term.
+    worth = idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")
+    valued = join_queries(postings, weights, keys, small).select(
+        *TERM_KEY, *keys, worth.alias("worth")
     )
+    score = F.col("boost") * F.col("worth")
+    terms = compiled.terms
+    if compiled.profile.plain:
+        terms = terms.select("qid", *TERM_KEY, "boost")
+        asked = fan_out(valued, terms, keys, small)
+        return asked.select("qid", *keys, score.alias("score"))
+    score = F.when(F.col("kind") == "term", score).otherwise(F.col("boost"))
+    out = fan_out(valued, terms, keys, small).withColumn("score", score)
     if not compiled.profile.any_set:
         return out.select(*_contribution(keys))
     # A set clause counts once per field however many of its terms are present.
     once = F.when(F.col("kind") == "set", F.lit("")).otherwise(F.col("term"))
     grouped = out.groupBy(
-        "qid", "index_name", *keys, "required", "clause_id", "occur", "field", once.alias("once")
+        "qid", *keys, "required", "clause_id", "occur", "field", once.alias("once")
     ).agg(F.max("score").alias("score"))
     return grouped.select(*_contribution(keys))
 
 
 def _contribution(keys) -> list[str]:
-    return ["qid", "index_name", *keys, "required", "clause_id", "occur", "score"]
+    return ["qid", *keys, "required", "clause_id", "occur", "score"]
 
 
 def phrase_frequency(slots: Column, slop: Column) -> Column:
@@ -103,7 +123,7 @@ def phrase_frequency(slots: Column, slop: Column) -> Column:
 
 
 def phrase_matches(phrases: DataFrame, postings: DataFrame, keys, small: bool) -> DataFrame:
-    """(qid, index_name, keys, clause columns, field, dl, tf) where the phrase occurs.
+    """(qid, keys, clause columns, field, dl, tf) where the phrase occurs.
 
     Carries ``idf`` (sum over the phrase's terms) and ``avgdl`` when ``phrases``
     has been joined with term weights.
@@ -126,7 +146,7 @@ def phrase_matches(phrases: DataFrame, postings: DataFrame, keys, small: bool) -
         ]
     grouped = (
         joined.groupBy(
-            "qid", "index_name", *keys, "required", "clause_id", "occur", "field",
+            "qid", *keys, "required", "clause_id", "occur", "field",
             "n_terms", "slop", "boost",
         )
         .agg(*aggregates)
@@ -183,7 +203,11 @@ def _range_scores(compiled, corpus, small) -> DataFrame:
 
 
 def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
-    """All matches: (qid, index_name, keys, score), score rounded and unranked."""
+    """All matches: (qid, keys, score), score rounded and unranked.
+
+    A request asks one index and a key belongs to one, so the index name is left
+    out of the grouping; :func:`keyword_pool` puts it back on the winners.
+    """
     profile, keys = compiled.profile, corpus.keys
     small = fits_broadcast(compiled)
     postings = corpus.postings_for(compiled, small)
@@ -195,7 +219,7 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
         parts.append(_range_scores(compiled, corpus, small))
     contributions = reduce(DataFrame.unionByName, parts)
 
-    doc = ["qid", "index_name", *keys]
+    doc = ["qid", *keys]
     if profile.plain:
         total = contributions.groupBy(*doc).agg(F.sum("score").alias("score"))
     else:
@@ -230,7 +254,9 @@ def _combine(contributions: DataFrame, doc: list[str], profile) -> DataFrame:
 def keyword_pool(corpus, compiled: CompiledRequests, overfetch: int = OVERFETCH) -> DataFrame:
     """The best ``overfetch * limit`` matches per query: (qid, index_name, keys, bm25, bm25_rank)."""
     scored = score_documents(corpus, compiled).withColumnRenamed("score", "bm25")
-    limits = compiled.requests.select("qid", (F.col("limit") * overfetch).alias("pool"))
+    limits = compiled.requests.select(
+        "qid", "index_name", (F.col("limit") * overfetch).alias("pool")
+    )
     order = [F.desc("bm25"), *[F.asc(k) for k in corpus.keys]]
     pool = top_k(
         scored, ["qid"], order, compiled.profile.max_limit * overfetch, rank="bm25_rank"

@@ -244,7 +244,8 @@ def all_query(spark, folder):
         ],
     )
     corpus = _language_corpus(spark, folder)
-    return score_documents(corpus, compile_requests(requests)).select(
+    found = score_documents(corpus, compile_requests(requests))
+    return found.join(requests.select("qid", "index_name"), "qid").select(
         "qid", "index_name", "doc_key", "score"
     )
 
