@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -286,13 +287,17 @@ class CompiledRequests:
 # relations; larger ones stay distributed tables.
 LOCAL_ROWS = 20_000
 
-_HEAD = "qid {qid}, index_name string, required bigint, clause_id int, occur string, "
-_TERMS = _HEAD + "kind string, field string, term string, boost double"
-_PHRASES = _HEAD + "field string, offset int, term string, n_terms int, slop int, boost double"
-_RANGES = (
-    _HEAD + "field string, lower string, upper string, "
-    "incl_lower boolean, incl_upper boolean, boost double"
+_HEAD = (
+    ("index_name", pa.string()), ("required", pa.int64()),
+    ("clause_id", pa.int32()), ("occur", pa.string()),
 )
+_TERMS = (*_HEAD, ("kind", pa.string()), ("field", pa.string()), ("term", pa.string()),
+          ("boost", pa.float64()))
+_PHRASES = (*_HEAD, ("field", pa.string()), ("offset", pa.int32()), ("term", pa.string()),
+            ("n_terms", pa.int32()), ("slop", pa.int32()), ("boost", pa.float64()))
+_RANGES = (*_HEAD, ("field", pa.string()), ("lower", pa.string()), ("upper", pa.string()),
+           ("incl_lower", pa.bool_()), ("incl_upper", pa.bool_()), ("boost", pa.float64()))
+_WANTED = (("index_name", pa.string()), ("field", pa.string()), ("term", pa.string()))
 MASK_CLAUSES = 63
 
 
@@ -316,8 +321,7 @@ def compile_requests(requests: DataFrame) -> CompiledRequests:
     few_heads = heads.limit(LOCAL_ROWS + 1).toArrow()
     if max(few_rows.num_rows, few_heads.num_rows) <= LOCAL_ROWS:
         spark = requests.sparkSession
-        local_heads = spark.createDataFrame(few_heads)
-        return _compile_local(spark, few_rows.to_pylist(), few_heads.to_pylist(), local_heads)
+        return _compile_local(spark, few_rows.to_pylist(), few_heads)
     return _compile_distributed(flat, heads)
 
 
@@ -327,7 +331,10 @@ def _checked(profile: Profile) -> Profile:
     return profile
 
 
-def _compile_local(spark, rows: list[dict], heads: list[dict], requests) -> CompiledRequests:
+def _compile_local(spark, rows: list[dict], heads: pa.Table) -> CompiledRequests:
+    requests = spark.createDataFrame(heads)
+    qid_type = heads.schema.field("qid").type
+    heads = heads.to_pylist()
     limits = [h["limit"] for h in heads] or [1]
     has = lambda column, value: any(r[column] == value for r in rows)
     profile = _checked(
@@ -378,16 +385,21 @@ def _compile_local(spark, rows: list[dict], heads: list[dict], requests) -> Comp
             clause = 0 if profile.plain else r["clause_id"]
             key = (*head, clause, r["occur"], r["kind"], field, r["term"])
             weights[key] = weights.get(key, 0.0) + r["boost"]
-    qid = requests.schema["qid"].dataType.simpleString()
-    make = spark.createDataFrame
+
+    def make(values: list[tuple], fields, with_qid: bool = True) -> DataFrame:
+        fields = [("qid", qid_type), *fields] if with_qid else fields
+        columns = list(zip(*values)) or [()] * len(fields)
+        arrays = [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)]
+        return spark.createDataFrame(pa.table(arrays, names=[name for name, _ in fields]))
+
     terms = [(*key, boost) for key, boost in weights.items()]
     looked_up = [w for w in wanted if w[2] is not None]
     return CompiledRequests(
         requests,
-        make(terms, _TERMS.format(qid=qid)),
-        make(phrases, _PHRASES.format(qid=qid)) if phrases else None,
-        make(ranges, _RANGES.format(qid=qid)) if ranges else None,
-        make(looked_up, "index_name string, field string, term string"),
+        make(terms, _TERMS),
+        make(phrases, _PHRASES) if phrases else None,
+        make(ranges, _RANGES) if ranges else None,
+        make(looked_up, _WANTED, with_qid=False),
         profile,
         tuple(sorted({w[2] for w in looked_up})),
     )

@@ -211,7 +211,7 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
     profile, keys = compiled.profile, corpus.keys
     small = fits_broadcast(compiled)
     postings = corpus.postings_for(compiled, small)
-    weights = with_field_totals(corpus.statistics_for(compiled, postings))
+    weights = with_field_totals(corpus.statistics_for(compiled, postings), small)
     parts = [_term_scores(compiled, postings, weights, keys, small)]
     if profile.any_phrase:
         parts.append(_phrase_scores(compiled, postings, weights, keys, small))

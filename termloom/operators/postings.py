@@ -116,12 +116,15 @@ def field_statistics(stats: DataFrame) -> DataFrame:
     )
 
 
-def with_field_totals(stats: DataFrame) -> DataFrame:
-    """Add n_docs and avgdl to each term row and drop the marker flag column.
+def with_field_totals(stats: DataFrame, few: bool = True) -> DataFrame:
+    """Add n_docs and avgdl of the field to each term row.
 
-    Use it on the statistics of query terms only: the window holds the query
-    terms of one field, not the vocabulary.
+    With ``few`` rows, a checked number of query terms, a window over each field
+    reads ``stats`` once.  Otherwise the totals are joined on.
     """
+    if not few:
+        totals = field_statistics(stats).select("index_name", "field", "n_docs", "avgdl")
+        return stats.select(*TERM_KEY, "df").join(totals, ["index_name", "field"])
     window = Window.partitionBy("index_name", "field")
     marker = F.col("term") == DOC_MARKER
 

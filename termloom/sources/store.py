@@ -20,7 +20,7 @@ import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import candidate_text
@@ -112,8 +112,13 @@ class Store:
         return self.spark.read.schema(_LOG).parquet(f"{self.root}/log")
 
     def _record(self, seq: int, done: bool, kind: str, added=None, stream=None, batch=None) -> None:
-        row = self.spark.createDataFrame([(seq, done, kind, added, stream, batch)], _LOG)
-        row.coalesce(1).write.mode("append").parquet(f"{self.root}/log")
+        values = (seq, done, kind, added, stream, batch)
+        columns = [
+            F.lit(value).cast(spec.split()[1]).alias(spec.split()[0])
+            for value, spec in zip(values, _LOG.split(", "))
+        ]
+        row = self.spark.range(1, numPartitions=1).select(*columns)
+        row.write.mode("append").parquet(f"{self.root}/log")
 
     def _begin(self, kind: str) -> int:
         last = self.log().agg(F.coalesce(F.max("commit_seq"), F.lit(0))).first()[0]
@@ -193,7 +198,16 @@ class Store:
         hidden = doomed.select("index_name", F.col("commit_seq").alias("doc_seq"), "row_id")
         self._insert("deleted", hidden, seq)
         found = self._written("deleted", seq).select("index_name", "doc_seq", "row_id")
-        gone = corpus.stored().join(
+        count = found.count()
+        # The text of the hidden rows is read once more for its terms.
+        rows = corpus.stored()
+        if count <= LITERAL_ROWS:
+            keys = found.select("doc_seq", "row_id").toArrow()
+            rows = rows.where(
+                F.col("commit_seq").isin(keys["doc_seq"].unique().to_pylist())
+                & F.col("row_id").isin(keys["row_id"].unique().to_pylist())
+            )
+        gone = rows.join(
             found.withColumnRenamed("doc_seq", "commit_seq"), ["index_name", *KEYS], "left_semi"
         )
         minus = term_statistics(build_postings(gone, KEYS, SEARCHABLE_FIELDS, positions=False))
@@ -201,7 +215,6 @@ class Store:
         self._insert("term_stats", self._sorted(negative), seq)
         markers = ids.withColumn("embedding", F.lit(None).cast("array<float>"))
         self._insert("vectors", markers, seq)
-        count = found.count()
         self._record(seq, True, "delete", count)
         return count
 
@@ -219,11 +232,14 @@ class Store:
         if self.dims is not None:
             taken = (check_dims if strict else keep_dims)(vectors, self.dims)
         seq = self._begin("vectors")
-        counted = taken.groupBy("index_name", "id").agg(
+        # Counted while they are written: a second pass could call a model again.
+        seen = Observation()
+        counted = taken.observe(seen, F.count(F.lit(1)).alias("n"))
+        last = counted.groupBy("index_name", "id").agg(
             F.max_by("embedding", F.struct(*order)).alias("embedding")
         )
-        self._insert("vectors", counted, seq)
-        count = taken.count()
+        self._insert("vectors", last, seq)
+        count = seen.get.get("n", 0)
         self._record(seq, True, "vectors", count)
         return count
 
@@ -364,6 +380,9 @@ class StoreCorpus:
         """Documents by (index_name, id), found through the id postings."""
         wanted = ids.select("index_name", F.col("id").alias("term")).distinct()
         rows = self.visible("postings").where(F.col("field") == "id")
+        few = wanted.select("term").limit(LITERAL_TERMS + 1).collect()
+        if len(few) <= LITERAL_TERMS:
+            rows = rows.where(F.col("term").isin([row["term"] for row in few]))
         found = self._live(rows).join(wanted, ["index_name", "term"], "left_semi")
         return self._with(found.select("index_name", *self.keys), None, None)
 
