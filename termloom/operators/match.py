@@ -26,6 +26,7 @@ BROADCAST_ROWS = 500_000
 BROADCAST_TEXT_BYTES = 64 * 1024 * 1024
 SALTS = 32
 RANGES_PER_SCAN = 64
+MOST_LITERAL_RANGES = 1_024
 
 
 def fits_broadcast(compiled: CompiledRequests) -> bool:
@@ -169,11 +170,13 @@ def _range_scores(compiled, corpus, small) -> DataFrame:
     """Constant score per (query, document, clause, field) with a term in the range.
 
     Distinct bounds become literal filters, a fixed number per pass over the
-    postings, so they reach the scan; all ranges are covered.
+    postings, so they reach the scan.  Very many ranges are joined instead.
     """
     bounds = ["field", "lower", "upper", "incl_lower", "incl_upper"]
-    distinct = compiled.ranges.select(*bounds).distinct().collect()
+    distinct = compiled.ranges.select(*bounds).distinct().limit(MOST_LITERAL_RANGES + 1).collect()
     keys = corpus.keys
+    if len(distinct) > MOST_LITERAL_RANGES:
+        return _joined_range_scores(compiled, corpus)
     passes = []
     for start in range(0, len(distinct), RANGES_PER_SCAN):
         chunk = list(enumerate(distinct[start : start + RANGES_PER_SCAN], start))
@@ -202,6 +205,44 @@ def _range_scores(compiled, corpus, small) -> DataFrame:
     )
 
 
+def _joined_range_scores(compiled, corpus) -> DataFrame:
+    """Ranges too many for literal filters, joined with the distinct terms.
+
+    A range meets a term only when it covers the term's first character, so the
+    join is on (index_name, field, first character); the terms that match then
+    join their postings, salted as other large query tables are.
+    """
+    keys, ranges = corpus.keys, compiled.ranges
+    postings = corpus.postings_between(
+        F.col("term") != DOC_MARKER, compiled.profile.fields
+    ).select("index_name", *keys, "field", "term")
+    words = postings.select(*TERM_KEY).distinct().withColumn("first", F.substring("term", 1, 1))
+    firsts = words.select("index_name", "field", "first").distinct()
+    edges = (
+        F.col("lower").isNull() | (F.col("first") >= F.substring("lower", 1, 1))
+    ) & (F.col("upper").isNull() | (F.col("first") <= F.substring("upper", 1, 1)))
+    covered = ranges.join(firsts, ["index_name", "field"]).where(edges)
+    term_col = F.col("term")
+    inside = (
+        F.col("lower").isNull()
+        | (term_col > F.col("lower"))
+        | (F.col("incl_lower") & (term_col == F.col("lower")))
+    ) & (
+        F.col("upper").isNull()
+        | (term_col < F.col("upper"))
+        | (F.col("incl_upper") & (term_col == F.col("upper")))
+    )
+    matched = covered.join(words, ["index_name", "field", "first"]).where(inside)
+    queries = matched.select(
+        "qid", *TERM_KEY, "required", "clause_id", "occur", "boost"
+    )
+    found = join_queries(postings, queries, keys, small=False)
+    once = found.select(
+        "qid", *keys, "required", "clause_id", "occur", "field", "boost"
+    ).distinct()
+    return once.withColumn("score", F.col("boost")).select(*_contribution(keys))
+
+
 def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
     """All matches: (qid, keys, score), score rounded and unranked.
 

@@ -13,6 +13,9 @@ from termloom.operators.match import BROADCAST_ROWS, fits_broadcast, keyword_poo
 from termloom.operators.rerank import fuse, semantic_scores
 from termloom.schema import OVERFETCH
 
+# Candidate pools up to this many rows are settled before reranking.
+SETTLED_ROWS = 50_000
+
 HIT = ("qid", "index_name", "rank", "id", "title", "body", "url", "metadata", "score")
 
 
@@ -60,8 +63,14 @@ def ranked_keys(
     settings = compiled.requests.select("qid", "q", "limit", "ai", "ai_weight")
     small = fits_broadcast(compiled)
     settings = F.broadcast(settings) if small else settings
-    pool = keyword_pool(corpus, compiled).join(settings, "qid")
-    if can_rerank(vectors, query_vectors, embedder, embed_candidates):
+    pool = keyword_pool(corpus, compiled)
+    rerank = can_rerank(vectors, query_vectors, embedder, embed_candidates)
+    if rerank and _pool_rows(compiled) <= SETTLED_ROWS:
+        # Reranking reads the pool several times: keys and scores of a small
+        # one are computed once and kept as a local relation.
+        pool = pool.sparkSession.createDataFrame(pool.toArrow())
+    pool = pool.join(settings, "qid")
+    if rerank:
         scored = _with_ai_scores(
             corpus, compiled, pool, vectors, query_vectors, embedder, embed_candidates
         )
@@ -73,6 +82,11 @@ def ranked_keys(
     )
 
 
+def _pool_rows(compiled: CompiledRequests) -> int:
+    """Most candidates a batch can have."""
+    return compiled.profile.queries * compiled.profile.max_limit * OVERFETCH
+
+
 def can_rerank(vectors, query_vectors, embedder, embed_candidates: bool) -> bool:
     has_queries = query_vectors is not None or embedder is not None
     has_documents = vectors is not None or embedder is not None and (
@@ -114,5 +128,5 @@ def _with_ai_scores(
             .drop("embedding", "query_embedding")
         )
     ids = corpus.fetch_ids(pool)
-    most = compiled.profile.queries * compiled.profile.max_limit * OVERFETCH
-    return semantic_scores(ids, vectors, query_vectors, few=most <= BROADCAST_ROWS)
+    few = _pool_rows(compiled) <= BROADCAST_ROWS
+    return semantic_scores(ids, vectors, query_vectors, few=few)

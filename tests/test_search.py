@@ -188,6 +188,8 @@ MIXED = [
     dict(clauses=[term("the", occur="must"), term("rust", occur="must_not")]),
     dict(clauses=[phrase("memory safety"), term_set(["python", "axum"])]),
     dict(clauses=[term_range("body", "sa", "sz"), match_all()]),
+    dict(clauses=[term_range("id", "rust-intro", "vector-db", incl_lower=False)]),
+    dict(clauses=[term_range(None, None, "all"), term_range("title", "we", None)]),
 ]
 
 
@@ -206,6 +208,7 @@ def test_large_batch_paths_agree(spark, monkeypatch):
     assert scores(spark, corpus) == small
     monkeypatch.setattr(match_module, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(match_module, "SALTS", 3)
+    monkeypatch.setattr(match_module, "MOST_LITERAL_RANGES", 0)
     assert scores(spark, corpus) == small
 
 
