@@ -48,7 +48,7 @@ def test_bracketed_percentiles_are_exact(spark, monkeypatch):
     monkeypatch.setattr(querylog, "SMALL_GROUP", 100)
     log = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
     got = querylog.latency_report(log, "value", "ts", exact=True).first()
-    want = duckdb.sql(
+    want = duckdb.execute(
         "SELECT quantile_cont(value, [0.5, 0.95, 0.99]) "
         "FROM '/root/testdata/sf0.01/events.parquet' WHERE value IS NOT NULL"
     ).fetchone()[0]
