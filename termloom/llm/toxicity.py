@@ -31,7 +31,7 @@ ROUNDS = 300
 REMEMBERED_WORDS = 1_000_000
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
-_ZEROS = (0.0,) * 3
+_ZEROS = (0.0,) * 4
 
 
 @dataclass
@@ -61,8 +61,8 @@ def _sentences(tokens: list[str], known: dict) -> tuple[np.ndarray, np.ndarray,
 
 
 def features(word: str) -> set[str]:
-    """The word itself and its beginnings of 4 and 5 letters, which inflected forms share."""
-    return {word, word[:4] + "-", word[:5] + "-"}
+    """The word itself and its beginnings of 3 to 5 letters, which inflected forms share."""
+    return {word, word[:3] + "-", word[:4] + "-", word[:5] + "-"}
 
 
 def _telling(bags: list[set[str]], toxic: np.ndarray) -> list[str]:
@@ -84,7 +84,7 @@ def _telling(bags: list[set[str]], toxic: np.ndarray) -> list[str]:
     return [names[i] for i in np.flatnonzero((clean + bad >= enough) & ((bad / n1 - clean / n0) / spread > CLEAR))]
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-4) -> Model:
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, penalty: float = 1e-5) -> Model:
     """Least noisy-or log loss over the bags, by Adam on the whole sample.
 
     Without both classes nothing can be learnt: the model then scores 0.
