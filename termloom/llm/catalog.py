@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import byte_bpe, toxicity
+from termloom.llm import byte_bpe, jaccard_join, toxicity
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -45,9 +45,15 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 5-word shingle sets are alike to 0.75 or more."""
+    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_byte_bpe": op2_byte_bpe,
     "op9_toxicity": op9_toxicity,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: SQL for the queries that it can express; the others are tested by brute force.
