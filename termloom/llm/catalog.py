@@ -8,12 +8,24 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import byte_bpe, jaccard_join, toxicity
+from termloom.llm import byte_bpe, jaccard_join, repeats, toxicity
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
 
+def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts without the strings of 200 bytes that occur anywhere else too."""
+    rows = repeats.remove_repeats(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every text and their decoding, as digests."""
     vocab = byte_bpe.load_vocabulary(public_tokenizers.path(RANKS))
@@ -51,6 +63,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
