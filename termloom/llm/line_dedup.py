@@ -74,7 +74,7 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
         return True
     width = 2 * edits + 1
     mask = (1 << width) - 1
-    up, down = mask >> edits + 1 << edits + 1, 0  # vertical steps of +1 and -1; rows above the first have none
+    up, down = mask >> edits << edits, 0  # vertical steps of +1 and -1; rows above the first have none
     watched = 1 << edits + more
     distance = max(more, 0)
     padded = "\0" * edits + a + "\0" * (edits + 1)
