@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import byte_bpe, jaccard_join, repeats, toxicity
+from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, toxicity
 from termloom.llm.common import table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
@@ -39,6 +39,25 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that nearly repeat an earlier line, anywhere; one row a document."""
+    rows = line_dedup.dedup_lines(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_lines",
+        "n_joined",
+        F.size("removed").cast("long").alias("n_removed"),
+        F.to_json(F.sort_array("removed")).alias("removed"),
+        F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    """Test items that each text holds, in one piece or in several."""
+    rows = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return rows.select("doc_id", "contaminated", "n_items", "items", F.round("max_coverage", 6).alias("max_coverage"))
+
+
 def _held_out() -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id"), F.lit(0)).cast("string").cast("binary")) % 5 == 0
 
@@ -65,6 +84,8 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op5_line_dedup": op5_line_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }

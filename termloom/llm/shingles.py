@@ -5,8 +5,10 @@ from __future__ import annotations
 import numpy as np
 
 WORDS = 5
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: All of ASCII but letters and digits; bytes of other letters belong to words.
+PUNCTUATION = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _U = np.uint64
 
 
@@ -27,13 +29,14 @@ _PLACE = _numbers(1 << 20, 256)
 _IN_SHINGLE = _numbers(1 << 21, 64)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[bytes], between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts, and how many words each text has.
 
-    A word is a run of bytes other than space and 0x09 to 0x0D; A-Z count as a-z.
+    A word is a run of bytes other than those ``between`` words (space and 0x09
+    to 0x0D); A-Z count as a-z.
     """
     flat = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
-    space = _SPACE[flat]
+    space = between[flat]
     ends = np.flatnonzero(space & np.r_[False, ~space[:-1]])
     starts = np.flatnonzero(~space & np.r_[True, space[:-1]])
     text_ends = np.cumsum([len(t) + 1 for t in texts])
