@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, toxicity
+from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, toxicity, warc
 from termloom.llm.common import table
+from termloom.session import work_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 
@@ -52,6 +54,25 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as archives, then found through the index and read back."""
+    archives = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
+    pages = table(spark, folder, "pages")
+    index = warc.build_index(warc.write_archives(pages, archives))
+    keys = pages.select(
+        warc.url_key(F.col("url")).alias("url_key"), F.coalesce(F.col("page_id").cast("long"), F.lit(warc.NO_ID)).alias("id")
+    )
+    rows = warc.read_ranges(warc.look_up(index, keys), archives)
+    response = F.col("record_type") == "response"
+    return rows.select(
+        "page_id",
+        F.when(response, F.length("payload").cast("long")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
+        F.when(response, F.sha1("payload")).otherwise(F.col("digest")).alias("payload_digest"),
+        "record_type",
+        "refers_to",
+    )
+
+
 def op8_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     """Test items that each text holds, in one piece or in several."""
     rows = decontaminate.contamination(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -85,10 +106,25 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
 }
 
 #: SQL for the queries that it can express; the others are tested by brute force.
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (
+            SELECT page_id, coalesce(encode(html), ''::BLOB) AS payload FROM pages
+        ), d AS (
+            SELECT page_id, octet_length(payload) AS n, sha1(payload) AS digest FROM p
+        ), g AS (
+            SELECT *, max(page_id) OVER (PARTITION BY digest) AS main FROM d
+        )
+        SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+            CASE WHEN n >= 1000 AND page_id <> main THEN 'revisit' ELSE 'response' END AS record_type,
+            CASE WHEN n >= 1000 AND page_id <> main THEN main END AS refers_to
+        FROM g
+    """,
+}
