@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, toxicity, warc
+from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, secret_scan, toxicity, warc
 from termloom.llm.common import table
 from termloom.session import work_folder
 
@@ -54,6 +54,14 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    """Secrets in every text: by fixed patterns, and by formats learnt from those."""
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    rows = secret_scan.scan(docs, secret_scan.train(docs))
+    digest = F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256")
+    return rows.select("doc_id", "n_assign", "n_access", "n_hex", digest, "spans")
+
+
 def op7_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages written as archives, then found through the index and read back."""
     archives = f"{work_folder(spark)}/warc-{uuid.uuid4().hex}"
@@ -106,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op5_line_dedup": op5_line_dedup,
+    "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
