@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, secret_scan, toxicity, warc
+from termloom.llm import ann, byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, secret_scan, toxicity, warc
 from termloom.llm.common import table
 from termloom.session import work_folder
 
@@ -54,6 +54,11 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest rows found for each embedding whose id is divisible by 20."""
+    return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     """Secrets in every text: by fixed patterns, and by formats learnt from those."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
@@ -113,6 +118,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op4_nearest": op4_nearest,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
     "op7_warc": op7_warc,
