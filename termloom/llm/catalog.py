@@ -9,11 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import ann, byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, secret_scan, toxicity, warc
+from termloom.llm import ann, byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, secret_scan, toxicity, url_filter, warc
 from termloom.llm.common import table
 from termloom.session import work_folder
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
+#: The given rules of the URL filter.
+URL_RULES = [
+    ("allow", "com/"),
+    ("block", "example.com/en/"),
+    ("allow", "www.example.com/en/"),
+    ("block", "net/es/"),
+    ("block", "net/fr/"),
+]
 
 
 def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +62,14 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's URL; labelled pages that are toxic or of low quality teach the method."""
+    labels = table(spark, folder, "labels").select(
+        F.col("doc_id").alias("page_id"), ((F.col("toxic") > 0) | (F.col("quality") < 1)).alias("block")
+    )
+    return url_filter.judge(table(spark, folder, "pages").select("page_id", "url"), labels, URL_RULES)
+
+
 def op4_nearest(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest rows found for each embedding whose id is divisible by 20."""
     return ann.nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
@@ -118,6 +134,7 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
+    "op3_url_filter": op3_url_filter,
     "op4_nearest": op4_nearest,
     "op5_line_dedup": op5_line_dedup,
     "op6_secret_scan": op6_secret_scan,
@@ -129,6 +146,46 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL for the queries that it can express; the others are tested by brute force.
 ORACLES: dict[str, str] = {
+    "op3_url_filter": r"""
+        WITH a AS (
+            SELECT page_id, url,
+                CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+            FROM pages
+        ), b AS (
+            SELECT page_id, url, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM a
+        ), c AS (
+            SELECT page_id, url, coalesce(translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+                coalesce(regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*'), '') AS path
+            FROM b
+        ), r(verdict, name, start) AS (
+            VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'),
+                ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+        ), fit AS (
+            SELECT page_id, url, arg_max(name || start, length(name || start)) AS rule,
+                arg_max(verdict, length(name || start)) AS verdict
+            FROM c JOIN r ON (host = name OR ends_with(host, '.' || name)) AND starts_with(path, start)
+            GROUP BY page_id, url
+        ), d AS (
+            SELECT c.*, list_sort(list_distinct(
+                list_transform(list_filter(string_split(host, '.'), lambda t: t <> ''), lambda t: 'host:' || t) ||
+                list_transform(list_filter(string_split_regex(lower(path), '[^a-z0-9-]+'), lambda t: t <> ''), lambda t: 'path:' || t))) AS tokens
+            FROM c
+        ), known AS (
+            SELECT doc_id, bool_or(toxic > 0 OR quality < 1) AS block FROM labels GROUP BY doc_id
+        ), labelled AS (
+            SELECT tokens, block FROM d JOIN known ON page_id = doc_id WHERE block IS NOT NULL AND len(tokens) > 0
+        ), subsets AS (
+            SELECT list_filter(tokens, lambda t, i: (mask >> (i - 1)) & 1 = 1) AS tokens, block
+            FROM (SELECT tokens, block, unnest(range(1, 1 << len(tokens))) AS mask FROM labelled)
+        ), mined AS (
+            SELECT tokens FROM subsets GROUP BY tokens
+            HAVING count(*) FILTER (WHERE block) >= greatest(20, (SELECT ceil(count(*) * 0.002) FROM labelled))
+                AND count(*) FILTER (WHERE block) >= 0.7 * count(*)
+        )
+        SELECT d.page_id, host, path, rule, coalesce(verdict,
+            CASE WHEN EXISTS (SELECT 1 FROM mined WHERE list_has_all(d.tokens, mined.tokens)) THEN 'block' ELSE 'allow' END) AS verdict
+        FROM d LEFT JOIN fit ON d.page_id = fit.page_id AND d.url = fit.url
+    """,
     "op7_warc": """
         WITH p AS (
             SELECT page_id, coalesce(encode(html), ''::BLOB) AS payload FROM pages
