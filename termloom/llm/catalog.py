@@ -36,10 +36,7 @@ def op1_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
-    """Token ids of every text and their decoding, as digests."""
-    vocab = byte_bpe.load_vocabulary(public_tokenizers.path(RANKS))
-    docs = table(spark, folder, "documents").select("doc_id", "text")
+def token_digests(docs: DataFrame, vocab: byte_bpe.Vocabulary) -> DataFrame:
     rows = byte_bpe.decode(byte_bpe.encode(docs, vocab, public_tokenizers.PATTERN), vocab)
     return rows.select(
         "doc_id",
@@ -49,6 +46,12 @@ def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    """Token ids of every text and their decoding, as digests."""
+    vocab = byte_bpe.load_vocabulary(public_tokenizers.path(RANKS))
+    return token_digests(table(spark, folder, "documents").select("doc_id", "text"), vocab)
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Lines that nearly repeat an earlier line, anywhere; one row a document."""
     rows = line_dedup.dedup_lines(table(spark, folder, "documents"))
@@ -128,7 +131,8 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets are alike to 0.75 or more."""
-    return jaccard_join.jaccard_components(table(spark, folder, "documents"))
+    rows = jaccard_join.jaccard_components(table(spark, folder, "documents"))
+    return rows.select("doc_id", "n_shingles", "component_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

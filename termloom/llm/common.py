@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -27,17 +27,25 @@ def written(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def document_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` as (doc_id, key, text_hash, text).
+def small(rows: DataFrame, most: int) -> DataFrame:
+    """``rows``, written, and marked for broadcast if there are no more than ``most``."""
+    rows = written(rows)
+    return F.broadcast(rows) if rows.count() <= most else rows
+
+
+def document_keys(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """``docs`` as (doc_id, key, text_hash, text), and the ``carried`` columns in a struct.
 
     (key, text_hash) tells documents apart even where doc_id repeats or is
-    null; only whole repeated rows share it.
+    null; only whole repeated rows share it.  The hash has 32 bits: it need only
+    tell apart the few texts under one doc_id.
     """
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
+        F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *([F.struct(*carried).alias("carried")] if carried else []),
     )
 
 

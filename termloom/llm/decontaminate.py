@@ -139,7 +139,7 @@ def seed_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_HIT = "key long, text_hash long, item_id long, covered long, words long"
+_HIT = "key long, text_hash int, item_id long, covered long, words long"
 
 
 def tiled_items(docs: DataFrame, items: DataFrame, least: int = LEAST_MATCH) -> DataFrame:
@@ -171,7 +171,7 @@ def tiled_items(docs: DataFrame, items: DataFrame, least: int = LEAST_MATCH) ->
                         for row in tests.covered(words[start:end]):
                             for n, v in zip(out, (key, text_hash, *row)):
                                 out[n].append(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "text_hash" else pa.int64()) for n, v in out.items()], list(out))
 
         hits = docs.select("key", "text_hash", "text").mapInArrow(run, _HIT)
         found = hits if found is None else found.union(hits)

@@ -19,16 +19,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import components, slices, written
-from termloom.llm.shingles import mix, shingle_sets
+from termloom.llm.common import components, document_keys, slices, small, written
+from termloom.llm.shingles import shingle_sets
 
 THRESHOLD = 75
 #: Shingles that a task gathers before it sends them on, grouped by hash range.
 FLUSH = 1_500_000
 #: Shingles that one search task holds at most; larger families are searched in blocks.
 BLOCK = 2_000_000
-#: Counters of the frequency sketch, whatever the input's size.
-SKETCH = 1 << 20
+#: The filter's prefix is longer than the least one by this fraction of the set.
+SPARE = 10
+#: Frequencies count up to here; a shingle this frequent in one task needs no exchange.
+FREQUENT = 500
+#: Classes whose keys are broadcast to read their texts; more are joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 #: DivideSkip's cost ratio between merging an entry and probing a long list.
 MU = 0.0085
 _U = np.uint64
@@ -42,10 +46,10 @@ def least_overlap(size):
 def filter_prefix(size):
     """Length of the prefix, in hash order, that the filter looks at.
 
-    Partners share ``size // 16 + 1`` of its entries at least, for the smaller
+    Partners share ``size // SPARE + 1`` of its entries at least, for the smaller
     of their sizes, and no partner is smaller than ``least_overlap(size)``.
     """
-    return np.minimum(size, size - least_overlap(size) + size // 16 + 1)
+    return np.minimum(size, size - least_overlap(size) + size // SPARE + 1)
 
 
 def _ranges(flush_h: np.ndarray, ranges: int) -> np.ndarray:
@@ -73,13 +77,13 @@ def _tally(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(docs, return_counts=True)
 
 
-_FILTER = "part int, h binary, docs binary, doc_id long, size long, sig1 long, sig2 long, sig long, shared long"
+_FILTER = "part int, h binary, docs binary, doc_id long, text_hash int, size long, sig1 long, sig2 long, sig long, shared long"
 
 
 def _filter_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows to exchange: prefixes by hash range, counts known already, and one row a document."""
     names = [c.split()[0] for c in _FILTER.split(", ")]
-    types = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 6]
+    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * 5]
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -115,11 +119,11 @@ def _filter_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
 
     for batch in batches:
         for some in slices(batch, "text"):
-            sets = shingle_sets([(t or "").encode() for t in some.column("text").to_pylist()])
+            sets = shingle_sets([t.encode() for t in some.column("text").to_pylist()])
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             sig = [(xxhash.xxh64_intdigest(s.data), xxhash.xxh64_intdigest(s.data, 1)) for s in sets]
             sig1, sig2 = np.array(sig, np.uint64).view(np.int64).T
-            yield rows(part=np.abs(sig1 % ranges), doc_id=some.column("doc_id"), size=size, sig1=sig1, sig2=sig2)
+            yield rows(part=np.abs(sig1 % ranges), doc_id=some.column("doc_id"), text_hash=some.column("text_hash"), size=size, sig1=sig1, sig2=sig2)
             for s, own, pair, cut in zip(sets, sig1, sig, filter_prefix(size)):
                 if len(s) and pair not in met:
                     met.add(pair)
@@ -156,69 +160,135 @@ def _filter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def document_sets(docs: DataFrame, ranges: int) -> DataFrame:
-    """One row a document (doc_id, size, sig1, sig2), and rows (sig, shared) for the filter.
+    """One row a document (doc_id, text_hash, size, sig1, sig2), and rows (sig, shared) for the filter.
 
     ``sig1`` and ``sig2`` are two hashes of the whole shingle set.
     """
-    rows = docs.select("doc_id", "text").mapInArrow(lambda b: _filter_rows(b, ranges), _FILTER)
+    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(lambda b: _filter_rows(b, ranges), _FILTER)
     kept = _FILTER.partition("docs binary, ")[2]
     return written(rows.repartition(ranges, "part").mapInArrow(_filter_counts, kept))
 
 
 def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(cls, size, sig1, sig2, shingles) of each class in ``reps``; cls is a number given once."""
+    """(cls, size, sig1, sig2, shingles) of each class in ``reps``; cls is a number given once.
+
+    A class whose row is repeated may come more than once; its copies then link.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[tuple[int, int]] = set()
         for batch in batches:
             for some in slices(batch, "text"):
                 sets = shingle_sets([t.encode() for t in some.column("text").to_pylist()])
-                sig = [(xxhash.xxh64_intdigest(s.data), xxhash.xxh64_intdigest(s.data, 1)) for s in sets]
-                own = np.array(sig, np.uint64).view(np.int64)
-                same = (own[:, 0] == some.column("sig1").to_numpy()) & (own[:, 1] == some.column("sig2").to_numpy())
+                own = [(xxhash.xxh64_intdigest(s.data), xxhash.xxh64_intdigest(s.data, 1)) for s in sets]
+                wanted = zip(*(some.column(c).to_numpy().view("u8").tolist() for c in ("sig1", "sig2")))
+                keep = []
+                for i, (pair, other) in enumerate(zip(own, wanted)):
+                    if pair == other and pair not in met:
+                        met.add(pair)
+                        keep.append(i)
+                signs = np.array([own[i] for i in keep], np.uint64).reshape(-1, 2).view(np.int64)
                 yield pa.RecordBatch.from_pydict(
-                    {"size": [len(s) for s, k in zip(sets, same) if k], "sig1": own[same, 0], "sig2": own[same, 1], "shingles": [s.tobytes() for s, k in zip(sets, same) if k]}
+                    {"size": pa.array([len(sets[i]) for i in keep], pa.int64()), "sig1": signs[:, 0], "sig2": signs[:, 1], "shingles": pa.array([sets[i].tobytes() for i in keep], pa.binary())}
                 )
 
-    texts = docs.select(F.coalesce("doc_id", F.lit(-(2**63))).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    found = texts.join(reps.select("key", "sig1", "sig2"), "key").select("sig1", "sig2", "text")
+    wanted = small(reps.select("key", "sig1", "sig2"), BROADCAST_CLASSES)
+    found = docs.select("key", "text").join(wanted, "key").select("sig1", "sig2", "text")
     sets = found.mapInArrow(run, "size long, sig1 long, sig2 long, shingles binary")
-    # Texts that repeat under one doc_id would give a class twice.
-    once = sets.groupBy("sig1", "sig2").agg(F.first("size").alias("size"), F.first("shingles").alias("shingles"))
-    return written(once.select(F.monotonically_increasing_id().alias("cls"), "size", "sig1", "sig2", "shingles"))
+    return written(sets.select(F.monotonically_increasing_id().alias("cls"), "size", "sig1", "sig2", "shingles"))
 
 
-def _sketch(sets: DataFrame) -> np.ndarray:
-    """About how many classes hold a shingle, by hash; the same order for all tasks."""
-    blocks, width = 64, SKETCH // 64
+_RARITY = np.dtype([("cls", "i8"), ("df", "i4"), ("h", "u8")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(SKETCH, np.int64)
-        for batch in batches:
-            for s in batch.column("shingles").to_pylist():
-                np.add.at(counts, _cells(np.frombuffer(s, np.uint64)), 1)
-        yield pa.RecordBatch.from_pydict({"block": np.arange(blocks, dtype=np.int32), "counts": [counts[i * width : (i + 1) * width].tobytes() for i in range(blocks)]})
 
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
-        for batch in batches:
-            for block, counts in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, np.int64)
-        yield pa.RecordBatch.from_pydict({"block": pa.array(list(total), pa.int32()), "counts": pa.array([c.tobytes() for c in total.values()], pa.binary())})
+def _batch(schema: dict[str, pa.DataType], **columns) -> pa.RecordBatch:
+    n = len(next(iter(columns.values())))
+    return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in schema.items()], list(schema))
 
-    schema = "block int, counts binary"
-    rows = sets.select("shingles").mapInArrow(run, schema).repartition(blocks, "block").mapInArrow(add, schema)
-    out = np.zeros(SKETCH, np.int64)
-    for block, counts in rows.collect():  # 64 rows, 8 MB, at any size
-        out[block * width : (block + 1) * width] += np.frombuffer(counts, np.int64)
-    return out
 
+def _to_classes(cls: np.ndarray, h: np.ndarray, df: np.ndarray, ranges: int) -> tuple[np.ndarray, list[bytes]]:
+    """Entries packed by the task that their class goes to."""
+    out = np.empty(len(h), _RARITY)
+    out["cls"], out["h"], out["df"] = cls, h, df
+    home = cls % ranges
+    order = np.argsort(home, kind="stable")
+    borders = np.searchsorted(home[order], np.arange(ranges + 1))
+    out = out[order]
+    used = np.flatnonzero(np.diff(borders))
+    return used, [out[borders[r] : borders[r + 1]].tobytes() for r in used]
 
-def _cells(h: np.ndarray) -> np.ndarray:
-    return (mix(h) & _U(SKETCH - 1)).astype(np.int64)
+
+def shared_shingles(sets: DataFrame, ranges: int) -> DataFrame:
+    """(home, cls, size, rare): rows that together hold each class's size, and its shingles that others have too.
+
+    ``rare`` packs (cls, df, h) of the classes of one home; df is in how many
+    classes the shingle is, up to ``FREQUENT``.
+    """
+    sent = {"part": pa.int32(), "h": pa.binary(), "ids": pa.binary(), "home": pa.int32(), "cls": pa.int64(), "size": pa.int64(), "rare": pa.binary()}
+    schema = "part int, h binary, ids binary, home int, cls long, size long, rare binary"
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, owners, waiting = [], [], 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal waiting
+            if waiting:
+                h, ids = np.concatenate(hashes), np.concatenate(owners)
+                order = np.argsort(h)
+                h, ids = h[order], ids[order]
+                first = np.r_[True, h[1:] != h[:-1]]
+                lengths = np.diff(np.r_[np.flatnonzero(first), len(h)])
+                often = np.repeat(lengths >= FREQUENT, lengths)
+                if often.any():  # known without the others; a mark tells them
+                    home, rare = _to_classes(ids[often], h[often], np.full(often.sum(), FREQUENT), ranges)
+                    yield _batch(sent, part=home, home=home, rare=rare)
+                    ids = np.where(often, -1, ids)
+                keep = ~often | first
+                part, hs, ds = zip(*_by_range(h[keep], ids[keep], ranges))
+                yield _batch(sent, part=part, h=hs, ids=ds)
+                hashes.clear()
+                owners.clear()
+                waiting = 0
+
+        for batch in batches:
+            cls = batch.column("cls").to_numpy()
+            yield _batch(sent, part=cls % ranges, home=cls % ranges, cls=cls, size=batch.column("size").to_numpy())
+            for own, s in zip(cls, batch.column("shingles").to_pylist()):
+                hashes.append(np.frombuffer(s, np.uint64))
+                owners.append(np.full(len(hashes[-1]), own))
+                waiting += len(hashes[-1])
+                if waiting >= FLUSH:
+                    yield from flush()
+        yield from flush()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = dict(list(sent.items())[3:])
+        hashes, owners = [], []
+        for batch in batches:
+            blobs = batch.filter(batch.column("h").is_valid())
+            hashes += [np.frombuffer(x, np.uint64) for x in blobs.column("h").to_pylist()]
+            owners += [np.frombuffer(x, np.int64) for x in blobs.column("ids").to_pylist()]
+            rest = batch.filter(batch.column("home").is_valid())
+            yield pa.RecordBatch.from_arrays([rest.column(c) for c in kept], list(kept))
+        if hashes:
+            h, ids = np.concatenate(hashes), np.concatenate(owners)
+            hashes, owners = [], []
+            order = np.argsort(h)
+            h, ids = h[order], ids[order]
+            first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+            lengths = np.diff(np.r_[first, len(h)])
+            df = np.minimum(np.add.reduceat(np.where(ids == -1, FREQUENT, 1), first), FREQUENT)
+            df = np.repeat(df, lengths)
+            out = (df > 1) & (ids != -1)
+            home, rare = _to_classes(ids[out], h[out], df[out], ranges)
+            yield _batch(kept, home=home, rare=rare)
+
+    rows = sets.select("cls", "size", "shingles").mapInArrow(send, schema)
+    return rows.repartition(ranges, "part").mapInArrow(meet, "home int, cls long, size long, rare binary")
 
 
 def _stars(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (least, other) of the documents of each value; and the least of each entry."""
+    """Distinct (least, other) of the documents of each value; and the least of each value."""
     order = np.lexsort((docs, h))
     h, docs = h[order], docs[order]
     first = np.r_[True, h[1:] != h[:-1]]
@@ -230,42 +300,48 @@ def _stars(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 def family_edges(sets: DataFrame, ranges: int) -> DataFrame:
     """Edges (a, b) that join all classes which share a shingle of their rarest n - T + 1.
 
-    Linked classes always share one, whatever the common order is; by the
-    sketch's order, frequent passages come last and join nobody.
+    Linked classes always share one.  A class that shares fewer than T
+    shingles with all others together has no partner and joins nobody.
     """
-    shared = sets.sparkSession.sparkContext.broadcast(_sketch(sets))
-    schema = "part int, h binary, docs binary, a long, b long"
-    empty = {"part": pa.int32(), "h": pa.binary(), "docs": pa.binary(), "a": pa.int64(), "b": pa.int64()}
-
-    def batch_of(**columns) -> pa.RecordBatch:
-        n = len(next(iter(columns.values())))
-        return pa.RecordBatch.from_arrays([pa.array(columns[k], t) if k in columns else pa.nulls(n, t) for k, t in empty.items()], list(empty))
+    sent = {"part": pa.int32(), "h": pa.binary(), "ids": pa.binary(), "a": pa.int64(), "b": pa.int64()}
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes: dict[int, int] = {}
+        blobs: list[bytes] = []
+        for batch in batches:
+            known = batch.filter(batch.column("cls").is_valid())
+            sizes.update(zip(known.column("cls").to_pylist(), known.column("size").to_pylist()))
+            blobs += batch.column("rare").drop_null().to_pylist()
+        rare = np.frombuffer(b"".join(blobs), _RARITY)
+        blobs = []
+        rare = rare[np.argsort(rare["cls"], kind="stable")]
+        borders = np.flatnonzero(np.r_[True, rare["cls"][1:] != rare["cls"][:-1], True]) if len(rare) else [0]
         hashes, owners, waiting = [], [], 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal waiting
             if waiting:
-                edges, h, docs = _stars(np.concatenate(hashes), np.concatenate(owners))
+                edges, h, ids = _stars(np.concatenate(hashes), np.concatenate(owners))
                 if len(edges):
-                    yield batch_of(part=edges[:, 0] % ranges, a=edges[:, 0], b=edges[:, 1])
-                part, hs, ds = zip(*_by_range(h, docs, ranges))
-                yield batch_of(part=part, h=hs, docs=ds)
+                    yield _batch(sent, part=edges[:, 0] % ranges, a=edges[:, 0], b=edges[:, 1])
+                part, hs, ds = zip(*_by_range(h, ids, ranges))
+                yield _batch(sent, part=part, h=hs, ids=ds)
                 hashes.clear()
                 owners.clear()
                 waiting = 0
 
-        for batch in batches:
-            for cls, s in zip(batch.column("cls").to_pylist(), batch.column("shingles").to_pylist()):
-                h = np.frombuffer(s, np.uint64)
-                cut = len(h) - least_overlap(len(h)) + 1
-                h = h[np.lexsort((h, shared.value[_cells(h)]))[:cut]]
-                hashes.append(h)
-                owners.append(np.full(len(h), cls))
-                waiting += len(h)
-                if waiting >= FLUSH:
-                    yield from flush()
+        for start, end in zip(borders[:-1], borders[1:]):
+            entries, cls = rare[start:end], int(rare["cls"][start])
+            size = sizes[cls]
+            if len(entries) < least_overlap(size):
+                continue
+            alone = size - len(entries)
+            order = np.lexsort((entries["h"], entries["df"]))[: size - least_overlap(size) + 1 - alone]
+            hashes.append(entries["h"][order])
+            owners.append(np.full(len(order), cls))
+            waiting += len(order)
+            if waiting >= FLUSH:
+                yield from flush()
         yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -273,15 +349,15 @@ def family_edges(sets: DataFrame, ranges: int) -> DataFrame:
         for batch in batches:
             blobs = batch.filter(batch.column("h").is_valid())
             hashes += [np.frombuffer(x, np.uint64) for x in blobs.column("h").to_pylist()]
-            owners += [np.frombuffer(x, np.int64) for x in blobs.column("docs").to_pylist()]
+            owners += [np.frombuffer(x, np.int64) for x in blobs.column("ids").to_pylist()]
             rest = batch.filter(batch.column("a").is_valid())
             yield pa.RecordBatch.from_arrays([rest.column("a"), rest.column("b")], ["a", "b"])
         if hashes:
             edges, _, _ = _stars(np.concatenate(hashes), np.concatenate(owners))
             yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
-    rows = sets.select("cls", "shingles").mapInArrow(send, schema)
-    return rows.repartition(ranges, "part").mapInArrow(meet, "a long, b long")
+    shared = shared_shingles(sets, ranges).repartition(ranges, "home").mapInArrow(send, "part int, h binary, ids binary, a long, b long")
+    return shared.repartition(ranges, "part").mapInArrow(meet, "a long, b long")
 
 
 class InvertedLists:
@@ -410,34 +486,37 @@ def class_links(sets: DataFrame, ranges: int, block: int = BLOCK) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, ranges: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, n_shingles, component_id, stays) of each row of ``docs`` (doc_id, text).
 
-    component_id is the smallest doc_id that links reach.  Null texts are
-    empty; an empty document is linked with nothing and keeps its own id.
-    Repeated rows are copies of each other; null ids are never the smallest.
+    component_id is the smallest doc_id that links reach; ``stays`` marks the
+    document to keep of each component: that of least doc_id.  Null texts are
+    empty; an empty document is linked with nothing, keeps its own id and
+    stays.  Repeated rows are copies of each other, and stay or go together;
+    null ids are never the smallest.
     """
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ranges = ranges or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    ranges = ranges or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = document_keys(docs)
     rows = document_sets(docs, ranges)
-    per_doc = rows.where("sig1 IS NOT NULL").select("doc_id", "size", "sig1", "sig2")
+    key = F.coalesce("doc_id", F.lit(-(2**63)))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), key.alias("key"), "text_hash")
+    per_doc = rows.where("sig1 IS NOT NULL").select("doc_id", "text_hash", "size", "sig1", "sig2", own.alias("own"))
     counts = rows.where("sig IS NOT NULL").groupBy(F.col("sig").alias("sig1")).agg(F.sum("shared").alias("shared"))
-    classes = (
-        per_doc.where("size > 0")
-        .groupBy("sig1", "sig2", "size")
-        .agg(F.min("doc_id").alias("least"), F.min(F.coalesce("doc_id", F.lit(-(2**63)))).alias("key"))
-    )
+    classes = per_doc.where("size > 0").groupBy("sig1", "sig2", "size").agg(F.min("own").alias("least"))
     # What a partner of the least possible size shares within both prefixes.
-    need = F.floor(F.ceil(F.col("size") * THRESHOLD / 100) / 16) + 1
-    reps = classes.join(counts, "sig1").where(F.col("shared") >= need)
+    need = F.floor(F.ceil(F.col("size") * THRESHOLD / 100) / SPARE) + 1
+    reps = classes.join(counts, "sig1").where(F.col("shared") >= need).select(F.col("least.key").alias("key"), "sig1", "sig2")
     sets = _candidate_sets(docs, reps)
     grouped = components(class_links(sets, ranges, block)).withColumnRenamed("node", "cls")
     named = written(classes.join(sets.select("cls", "sig1", "sig2").join(grouped, "cls"), ["sig1", "sig2"]))
     roots = named.groupBy("component").agg(F.min("least").alias("root"))
-    found = named.join(roots, "component").select("sig1", "sig2", "root")
+    found = named.join(roots, "component").groupBy("sig1", "sig2").agg(F.min("root").alias("root"))
     per_class = classes.join(found, ["sig1", "sig2"], "left").select("sig1", "sig2", F.coalesce("root", "least").alias("root"))
+    empty = F.col("size") == 0
+    root_id = F.when(~F.col("root.unnamed"), F.col("root.key"))
     return per_doc.join(per_class, ["sig1", "sig2"], "left").select(
         "doc_id",
+        "text_hash",
         F.col("size").alias("n_shingles"),
-        F.when(F.col("size") == 0, F.col("doc_id")).otherwise(F.col("root")).alias("component_id"),
+        F.when(empty, F.col("doc_id")).otherwise(root_id).alias("component_id"),
+        (empty | (F.col("own") == F.col("root"))).alias("stays"),
     )

@@ -8,7 +8,7 @@ edit distance.  Of each class of linked lines the first one stays.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -102,8 +102,8 @@ def _takes_part(line: str) -> bool:
     return len(line) >= LEAST_CHARACTERS and not line.isspace()
 
 
-_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int64(), "line": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "probe": pa.int64(), "ref": pa.int64(), "role": pa.int64()}
-_SENT_SCHEMA = "part int, blob binary, key long, text_hash long, line long, h1 long, h2 long, probe long, ref long, role long"
+_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int32(), "line": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "probe": pa.int64(), "ref": pa.int64(), "role": pa.int64()}
+_SENT_SCHEMA = "part int, blob binary, key long, text_hash int, line long, h1 long, h2 long, probe long, ref long, role long"
 _ENTRY = np.dtype([("probe", "u8"), ("ref", "u8")])
 
 
@@ -260,7 +260,7 @@ def line_links(met: DataFrame, texts: DataFrame) -> DataFrame:
 def _keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "key", "text_hash", "n_lines", "n_joined", "removed", "kept"]
     removed_type = pa.list_(pa.struct([("line", pa.int64()), ("first_doc_id", pa.int64()), ("first_line", pa.int64())]))
-    types = [*[pa.int64()] * 5, removed_type, pa.string()]
+    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), removed_type, pa.string()]
     for batch in batches:
         for some in slices(batch, "text"):
             out = {n: [] for n in names}
@@ -271,10 +271,12 @@ def _keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = "\n".join(line for i, line in enumerate(lines) if i not in numbers)
                 for n, v in zip(names, (doc_id, key, text_hash, len(lines), sum(map(_takes_part, lines)), gone, kept)):
                     out[n].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[n], t) for n, t in zip(names, types)], names)
+            carried = [n for n in some.schema.names if n == "carried"]
+            columns = [*(pa.array(out[n], t) for n, t in zip(names, types)), *map(some.column, carried)]
+            yield pa.RecordBatch.from_arrays(columns, [*names, *carried])
 
 
-def dedup_lines(docs: DataFrame, ranges: int | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, ranges: int | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) without lines that nearly repeat an earlier one.
 
     Returns (doc_id, key, text_hash, n_lines, n_joined, removed, kept): how many
@@ -283,10 +285,10 @@ def dedup_lines(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     A class is all lines that links of at most ``EDITS`` edits reach; its first
     line is that of least (doc_id, line).  Null texts are empty, null ids come
     first, and rows that repeat both doc_id and text are one document: each
-    gets the same result.
+    gets the same result.  ``carried`` names columns to pass along, in a struct.
     """
     ranges = ranges or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = document_keys(docs)
+    docs = document_keys(docs, carried)
     sent = docs.select("key", "text_hash", "text").mapInArrow(lambda b: _send_lines(b, ranges), _SENT_SCHEMA)
     rows = written(sent.repartition(ranges, "part").mapInArrow(_meet_lines, _SENT_SCHEMA.partition("blob binary, ")[2]))
     lines = rows.where("h1 IS NOT NULL").select("key", "text_hash", "line", "h1", "h2")
@@ -316,6 +318,9 @@ def dedup_lines(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     per_text = gone.groupBy("key", "text_hash").agg(
         F.collect_set(F.struct("line", source.alias("first_doc_id"), F.col("keep.line").alias("first_line"))).alias("gone")
     )
-    found = docs.join(per_text, ["key", "text_hash"], "left").select("doc_id", "key", "text_hash", "text", "gone")
-    schema = "doc_id long, key long, text_hash long, n_lines long, n_joined long, removed array<struct<line: long, first_doc_id: long, first_line: long>>, kept string"
+    extra = ["carried"] if carried else []
+    found = docs.join(per_text, ["key", "text_hash"], "left").select("doc_id", "key", "text_hash", "text", "gone", *extra)
+    schema = "doc_id long, key long, text_hash int, n_lines long, n_joined long, removed array<struct<line: long, first_doc_id: long, first_line: long>>, kept string"
+    if carried:
+        schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
     return found.mapInArrow(_keep_lines, schema)
