@@ -65,17 +65,20 @@ def features(word: str) -> set[str]:
     return {word, word[:3] + "-", word[:4] + "-", word[:5] + "-"}
 
 
-def _telling(bags: list[set[str]], toxic: np.ndarray) -> list[str]:
+def _words(text: str) -> set[str]:
+    return set(_TOKEN.findall(text.lower())) - _ENDS
+
+
+def _telling(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Features that toxic bags hold clearly more often than clean ones."""
-    counts: dict[str, list[int]] = {}
-    parts: dict[str, set[str]] = {}
-    for words, label in zip(bags, toxic):
-        for word in words.difference(parts):
-            parts[word] = features(word)
-        for name in set().union(*map(parts.__getitem__, words)):
-            counts.setdefault(name, [0, 0])[int(label)] += 1
-    names = sorted(counts)
-    clean, bad = np.array([counts[n] for n in names], float).reshape(-1, 2).T
+    counts: tuple[dict[str, int], dict[str, int]] = {}, {}
+    for text, label in zip(texts, toxic):
+        own = counts[int(label)]
+        for name in set().union(*map(features, _words(text))):
+            own[name] = own.get(name, 0) + 1
+    # Only what toxic bags hold can tell them apart.
+    names = sorted(counts[1])
+    clean, bad = (np.array([some.get(n, 0) for n in names], float) for some in counts)
     n1 = toxic.sum()
     n0 = len(toxic) - n1
     share = (clean + bad) / len(toxic)
@@ -92,14 +95,14 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, penalty: floa
     toxic = np.asarray(toxic, bool)
     if not len(texts) or toxic.all() or not toxic.any():
         return Model({}, -np.inf)
-    bags = [set(_TOKEN.findall(text.lower())) - _ENDS for text in texts]
-    number = {name: i for i, name in enumerate(_telling(bags, toxic))}
+    number = {name: i for i, name in enumerate(_telling(texts, toxic))}
     words: dict[str, int] = {}
     parts: list[tuple[int, int]] = []
-    for word in set().union(*bags):
-        if own := [number[f] for f in features(word) if f in number]:
-            parts += [(len(words), f) for f in own]
-            words[word] = len(words)
+    for text in texts:
+        for word in sorted(_words(text).difference(words)):
+            if own := [number[f] for f in sorted(features(word)) if f in number]:
+                parts += [(len(words), f) for f in own]
+                words[word] = len(words)
     part_word, part_feature = np.array(parts, np.int64).reshape(-1, 2).T
     sentence_of, word_of, bag_of, total = [], [], [], 0
     for bag, text in enumerate(texts):
@@ -116,7 +119,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, penalty: floa
         values = np.bincount(part_word, theta[part_feature], len(words))
         z = theta[-1] + np.bincount(sentence_of, values[word_of], total)
         amount = np.bincount(bag_of, np.logaddexp(0, z), len(texts))
-        grown = np.where(toxic, -1 / np.expm1(np.maximum(amount, 1e-9)), 1.0)
+        grown = np.where(toxic, -1 / np.expm1(np.clip(amount, 1e-9, 500)), 1.0)
         dz = grown[bag_of] / (1 + np.exp(-z)) / len(texts)
         by_word = np.bincount(word_of, dz[sentence_of], len(words))
         gradient = np.append(np.bincount(part_feature, by_word[part_word], len(number)), dz.sum())
