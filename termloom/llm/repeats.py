@@ -32,7 +32,9 @@ FLUSH = 500_000
 #: Bytes of segments that one task indexes at once.
 BUCKET = 1_200_000
 #: Bytes of segments under one anchor from which they are split further.
-LARGE = 1_000_000
+LARGE = 2_000_000
+#: Segments of large groups whose places are broadcast to cut them out of their texts; more are shuffled.
+BROADCAST_SEGMENTS = 200_000
 #: String starts in the parts that a frequent anchor's segments are split into, in turn.
 WIDTHS = (16, 1)
 _U = np.uint64
@@ -97,8 +99,8 @@ def text_anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield start + at, strings, anchor, content
 
 
-_FOUND = "part int, blob binary, key long, text_hash long, anchor long, content long, start int, strings int"
-_ENTRY = np.dtype([("anchor", "u8"), ("content", "u8"), ("key", "i8"), ("text_hash", "i8"), ("start", "i4"), ("strings", "i4")])
+_FOUND = "part int, blob binary, key long, text_hash int, anchor long, content long, start int, strings short"
+_ENTRY = np.dtype([("anchor", "u8"), ("content", "u8"), ("key", "i8"), ("text_hash", "i4"), ("start", "i4"), ("strings", "i2")])
 _COLUMNS = [n for n in ("key", "text_hash", "anchor", "content", "start", "strings")]
 
 
@@ -113,7 +115,7 @@ def _rows(entries: np.ndarray, schema: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, list(schema))
 
 
-_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int64(), "anchor": pa.int64(), "content": pa.int64(), "start": pa.int32(), "strings": pa.int32()}
+_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int32(), "anchor": pa.int64(), "content": pa.int64(), "start": pa.int32(), "strings": pa.int16()}
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
@@ -196,27 +198,32 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     for i in range(7):
         key = key << _U(9) | padded[i : i + n]
     ends = np.flatnonzero(symbols == 0)
-    to_end = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n)
-    order = np.argsort(key, kind="stable")
-    sorted_key = key[order]
+    near_end = np.repeat(ends, np.diff(np.r_[-1, ends])) - np.arange(n) < 7
+    order = np.argsort(key)
+    key = key[order]
     # A suffix whose end is within reach is told apart by its end's place.
-    apart = np.r_[True, (sorted_key[1:] != sorted_key[:-1]) | (to_end[order[1:]] < 7)]
+    short = np.flatnonzero(near_end[order])
+    order[short] = order[short[np.lexsort((order[short], key[short]))]]
+    apart = np.r_[True, (key[1:] != key[:-1]) | near_end[order[1:]]]
+    order = order.astype(np.uint32)
     reach = 7
-    rank = np.empty(n, np.int64)
-    while True:
-        group = np.maximum.accumulate(np.where(apart, np.arange(n), 0))
-        rank[order] = group
-        tied = ~apart | ~np.r_[apart[1:], True]
-        open_ = np.flatnonzero(tied)
-        if not len(open_):
-            return order
+    rank = np.empty(n, np.uint32)
+    group = np.maximum.accumulate(np.where(apart, np.arange(n, dtype=np.uint32), 0))
+    rank[order] = group
+    open_ = np.flatnonzero(~apart | ~np.r_[apart[1:], True])
+    while len(open_):
         places = order[open_]
-        ahead = rank[places + reach]
-        again = np.lexsort((ahead, group[open_]))
-        order[open_] = places[again]
-        ahead, own = ahead[again], group[open_]
-        apart[open_] = np.r_[True, (own[1:] != own[:-1]) | (ahead[1:] != ahead[:-1])]
+        # Group and next group in one number: sorted at once.
+        key = group[open_].astype(np.uint64) << _U(32) | rank[places + np.uint32(reach)]
+        again = np.argsort(key)
+        key, places = key[again], places[again]
+        order[open_] = places
+        first = np.r_[True, key[1:] != key[:-1]]
+        group[open_] = np.maximum.accumulate(np.where(first, open_, 0))
+        rank[places] = group[open_]
+        open_ = open_[~first | ~np.r_[first[1:], True]]
         reach *= 2
+    return order.astype(np.int32)
 
 
 def open_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -230,25 +237,25 @@ def open_prefixes(symbols: np.ndarray, length: int) -> tuple[np.ndarray, np.ndar
     n = len(symbols)
     order = suffix_array(symbols)
     before = symbols[order - 1]  # the transform; the first segment's start meets the last end
-    by_symbol = np.argsort(before, kind="stable")
-    forward = np.empty(n, np.int64)
-    forward[by_symbol] = np.arange(n)
+    by_symbol = np.argsort(before, kind="stable").astype(np.int32)
+    forward = np.empty(n, np.int32)
+    forward[by_symbol] = np.arange(n, dtype=np.int32)
     same = before[by_symbol][1:] == before[by_symbol][:-1]
-    after = np.full(n, n, np.int64)
+    after = np.full(n, n, np.int32)  # the next suffix with the same symbol before it
     after[by_symbol[:-1][same]] = by_symbol[1:][same]
-    earlier = np.full(n, -1, np.int64)
+    earlier = np.full(n, -1, np.int32)
     earlier[by_symbol[1:][same]] = by_symbol[:-1][same]
     fixed = np.zeros(n + 1, bool)  # fixed[i]: the common prefix of suffixes i - 1 and i is known
     # The ends of segments differ from each other: each is an interval of level 1.
-    ends = np.arange(np.count_nonzero(symbols == 0))
+    ends = np.arange(np.count_nonzero(symbols == 0), dtype=np.int32)
     fixed[: len(ends) + 1] = fixed[n] = True
-    low, high = np.array([0]), np.array([n])
+    low, high = np.array([0], np.int32), np.array([n], np.int32)
     for level in range(length):
         if not len(low):
             break
         sizes = high - low
         total = np.cumsum(sizes)
-        rows = np.repeat(low - (total - sizes), sizes) + np.arange(total[-1])
+        rows = np.repeat(low - (total - sizes).astype(np.int32), sizes) + np.arange(total[-1], dtype=np.int32)
         inside = before[rows] > 0
         rows, to, start = rows[inside], np.repeat(high, sizes)[inside], np.repeat(low, sizes)[inside]
         new_high = np.sort(forward[rows[after[rows] >= to]]) + 1
@@ -428,17 +435,19 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     total = distinct.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
     large = distinct.groupBy("anchor").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > LARGE).select("anchor")
 
-    def with_bytes(some: DataFrame) -> DataFrame:
+    def with_bytes(some: DataFrame, few: bool = False) -> DataFrame:
         wanted = some.groupBy("key", "text_hash").agg(F.collect_list(F.struct("anchor", "content", "weight", "start", "strings")).alias("wanted"))
-        texts = docs.join(wanted, ["key", "text_hash"]).select("text", "wanted")
+        texts = docs.join(F.broadcast(wanted) if few else wanted, ["key", "text_hash"]).select("text", "wanted")
         return texts.mapInArrow(_cut_segments, "anchor long, content long, weight long, data binary")
 
     if large.isEmpty():
         runs = _repeated_runs(with_bytes(distinct), total)
     else:
         large = written(large)
+        frequent = written(distinct.join(large, "anchor", "left_semi"))
+        few = frequent.count() <= BROADCAST_SEGMENTS
         runs = _repeated_runs(with_bytes(distinct.join(large, "anchor", "left_anti")), total).union(
-            _large_runs(written(with_bytes(distinct.join(large, "anchor", "left_semi")).dropDuplicates(["anchor", "content"])), WIDTHS)
+            _large_runs(written(with_bytes(frequent, few).dropDuplicates(["anchor", "content"])), WIDTHS)
         )
     spans = found.join(runs, ["anchor", "content"]).select(
         "key", "text_hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")
