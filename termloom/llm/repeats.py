@@ -88,7 +88,8 @@ def anchors(flat: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[n
     size = strings + length - 1
     h = hashes[128]
     content = _pair(_pair(h[first], h[first + (size - 128) // 2]), _pair(h[first + size - 128], size.astype(np.uint64)))
-    return first, strings, grams[at[first]], content, at[first]
+    # Least hashes are all small; mixed again they spread evenly.
+    return first, strings, mix(grams[at[first]]), content, at[first]
 
 
 def text_anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
@@ -452,7 +453,7 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     spans = found.join(runs, ["anchor", "content"]).select(
         "key", "text_hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")
     )
-    per_text = spans.distinct().groupBy("key", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    per_text = spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
     rows = docs.join(per_text, ["key", "text_hash"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     return rows.mapInArrow(_apply_spans, schema)
