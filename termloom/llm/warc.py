@@ -219,7 +219,7 @@ def _look_up(wanted: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
     blocks = blocks.sort_values("block")
     directory = [_order(k, i) for k, i in zip(blocks["first_key"], blocks["first_id"])]
     data, found = list(blocks["data"]), []
-    asked = sorted(_order(k, i) for k, i in zip(wanted["url_key"], wanted["id"]))
+    asked = sorted(_order(k, i) for k, i in zip(wanted["url_key"], wanted["id"])) if data else []
     # Equal captures may run over a block's end, so the search starts a block early.
     last, rows, keys = -1, [], []
     for key in asked:
