@@ -30,6 +30,7 @@ from termloom.schema import (
 )
 
 OCCURS = ("should", "must", "must_not")
+KINDS = ("term", "phrase", "range", "set", "all")
 
 # Each document has one posting with this term per field.  It carries the field
 # length, so corpus totals and match-all are ordinary term lookups.
@@ -183,9 +184,43 @@ def _word_rows(requests: DataFrame) -> DataFrame:
     ).select(*_FLAT)
 
 
+def _problem(clause: Column) -> Column:
+    """What is wrong with a clause that came in a table; NULL if nothing is."""
+
+    def outside(name: str, values: tuple[str, ...]) -> Column:
+        return ~F.coalesce(clause[name].isin(*values), F.lit(False))
+
+    kind = clause["kind"]
+    no_bound = clause["lower"].isNull() & clause["upper"].isNull()
+    no_slop = (kind == "phrase") & (F.coalesce(clause["slop"], F.lit(-1)) < 0)
+    return (
+        F.when(clause.isNull(), "clause is missing")
+        .when(outside("kind", KINDS), "unknown kind")
+        .when(outside("occur", OCCURS), "unknown occur")
+        .when(clause["field"].isNotNull() & outside("field", SEARCHABLE_FIELDS), "field cannot be searched")
+        .when(clause["boost"].isNull() | F.isnan(clause["boost"]), "boost is missing")
+        .when(kind.isin("term", "phrase") & clause["text"].isNull(), "text is missing")
+        .when(no_slop, "slop is missing or negative")
+        .when((kind == "range") & no_bound, "a range needs at least one bound")
+        .when((kind == "set") & clause["terms"].isNull(), "terms are missing")
+    )
+
+
 def _clause_rows(requests: DataFrame) -> DataFrame:
+    """One row per token, set member or bound; a bad clause fails the query that reads it."""
+    only_excludes = (F.size("clauses") > 0) & F.forall("clauses", lambda c: c["occur"] == "must_not")
     opened = requests.select(
-        "qid", "index_name", F.posexplode("clauses").alias("clause_id", "c")
+        "qid", "index_name", only_excludes.alias("negative"), F.posexplode("clauses").alias("clause_id", "c")
+    )
+    problem = F.coalesce(
+        _problem(F.col("c")), F.when(F.col("negative"), "a query with only must_not clauses matches nothing")
+    )
+    failure = F.raise_error(
+        F.concat(F.lit("request "), F.coalesce(F.col("qid").cast("string"), F.lit("NULL")), F.lit(": "), problem)
+    )
+    # Every column comes out of the checked clause, so none can be read past the check.
+    opened = opened.select(
+        "qid", "index_name", "clause_id", F.when(problem.isNull(), F.col("c")).otherwise(failure).alias("c")
     ).select("qid", "index_name", "clause_id", "c.*")
     whole = F.col("field") == "id"
     is_text = F.col("kind").isin("term", "phrase")

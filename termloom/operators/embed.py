@@ -43,8 +43,9 @@ def embed_texts(
 ) -> DataFrame:
     """Add the vector of ``text``; models see at most 100 texts per call.
 
-    With ``keep_failures`` a failing call gives NULL vectors for its texts and a
-    log line, otherwise it fails the job.  Columns other than ``text`` pass
+    With ``keep_failures`` a failing call is repeated in halves, and the texts
+    that fail by themselves get NULL vectors and a log line; otherwise it fails
+    the job.  Columns other than ``text`` pass
     through untouched, so row order does not matter.
     """
     schema = T.StructType(
@@ -60,8 +61,11 @@ def embed_texts(
         except Exception:
             if not keep_failures:
                 raise
+            if len(texts) > 1:
+                half = len(texts) // 2
+                return call(texts[:half]) + call(texts[half:])
             logging.getLogger("termloom").warning("embedding call failed", exc_info=True)
-            return [None] * len(texts)
+            return [None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

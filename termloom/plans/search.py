@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from termloom.functions.text import candidate_text
@@ -116,13 +116,15 @@ def _with_ai_scores(
         texts = corpus.fetch(wanted).select("index_name", *keys, candidate_text().alias("text"))
         made = embed_texts(texts, embedder, keep_failures=True).drop("text")
         asked = query_vectors.select("qid", "query_embedding")
+        # One candidate without a vector, and the whole query keeps its keyword order.
+        complete = F.min(F.col("embedding").isNotNull()).over(Window.partitionBy("qid"))
         return (
             pool.join(made, ["index_name", *keys], "left")
             .join(asked, "qid", "left")
             .withColumns(
                 {
                     "ai_score": cosine("query_embedding", "embedding"),
-                    "has_query_vector": F.col("query_embedding").isNotNull(),
+                    "has_query_vector": F.col("query_embedding").isNotNull() & complete,
                 }
             )
             .drop("embedding", "query_embedding")

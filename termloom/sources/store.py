@@ -152,11 +152,14 @@ class Store:
         """Append documents in one commit and return how many were added.
 
         Equal ids are kept side by side.  With an ``embedder`` the vectors of
-        the new documents follow in a commit of their own; if that fails the
-        documents stay searchable.
+        the new documents follow in a commit of their own; documents that it
+        fails on stay searchable, and :meth:`fill_vectors` can try them again.
         """
         seq = self._begin("add")
-        numbered = fill_ids(to_storage(docs)).withColumn("row_id", F.monotonically_increasing_id())
+        # The commit number in the upper bits gives each commit row ids of its
+        # own, so that many small commits spread over all buckets.
+        number = F.monotonically_increasing_id().bitwiseXOR(F.lit(seq << 40))
+        numbered = fill_ids(to_storage(docs)).withColumn("row_id", number)
         self._insert("documents", numbered, seq)
         # From here on everything derives from what was written: ids are fixed.
         written = self._written("documents", seq)
@@ -176,15 +179,22 @@ class Store:
         # Sorted files are enough for skipping by term; no range shuffle needed.
         return stats.sortWithinPartitions("index_name", "term", "field")
 
-    def _embed(self, written: DataFrame, embedder: Embedder) -> None:
+    def _embed(self, written: DataFrame, embedder: Embedder) -> int:
         texts = written.select(
             "index_name", "id", "commit_seq", "row_id", candidate_text().alias("text")
         )
+        made = embed_texts(texts, embedder, keep_failures=True).drop("text")
         try:
-            made = embed_texts(texts, embedder).drop("text")
-            self._put_vectors(made, ["commit_seq", "row_id"])
+            return self._put_vectors(made.where(F.col("embedding").isNotNull()), KEYS)
         except Exception:
             logging.getLogger("termloom").warning("storing embeddings failed", exc_info=True)
+            return 0
+
+    def fill_vectors(self, embedder: Embedder) -> int:
+        """Embed the live documents whose id has no vector; returns how many got one."""
+        corpus = self.snapshot()
+        have = corpus.vectors().select("index_name", "id")
+        return self._embed(corpus.stored().join(have, ["index_name", "id"], "left_anti"), embedder)
 
     def delete_documents(self, ids: DataFrame) -> int:
         """Delete every live document with one of the given (index_name, id).

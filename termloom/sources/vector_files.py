@@ -5,36 +5,22 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# In compact form every entry but the last ends with these three characters.
-ENTRY_END = '],"'
-
 
 def read_vector_object(spark: SparkSession, path: str, index_name: str = "default") -> DataFrame:
-    """(index_name, id, embedding) from compactly written JSON objects.
+    """(index_name, id, embedding) from JSON objects, one per file.
 
-    The file is split at entry ends, so many tasks can read one large object.
-    Text that is not a well-formed entry fails the job.
+    Any JSON string is an id, so a file cannot be cut at a pattern: each is
+    parsed whole by one task, and many files by many.  A file that is no object
+    of number arrays fails the job.
     """
-    pieces = spark.read.text(path, lineSep=ENTRY_END).select(
-        F.regexp_replace(F.trim("value"), r'^\{|\}$', "").alias("piece")
-    )
-    entry = F.concat(
-        F.lit("{"),
-        F.when(F.col("piece").startswith('"'), F.lit("")).otherwise(F.lit('"')),
-        F.col("piece"),
-        F.when(F.col("piece").endswith("]"), F.lit("")).otherwise(F.lit("]")),
-        F.lit("}"),
-    )
-    parsed = pieces.where(F.col("piece") != "").select(
-        "piece",
-        F.from_json(entry, "map<string, array<float>>", {"mode": "PERMISSIVE"}).alias("entry"),
-    )
-    good = (F.col("entry").isNotNull()) & (F.size("entry") == 1)
-    checked = parsed.select(
-        F.when(F.coalesce(good, F.lit(False)), F.col("entry"))
-        .otherwise(F.raise_error(F.concat(F.lit("not a vector entry: "), F.substring("piece", 1, 80))))
-        .alias("entry")
+    files = spark.read.text(path, wholetext=True)
+    parsed = F.from_json("value", "map<string, array<float>>", {"mode": "FAILFAST"})
+    sound = F.forall(F.map_values("entries"), lambda v: v.isNotNull() & F.forall(v, lambda x: x.isNotNull()))
+    checked = files.select(parsed.alias("entries")).select(
+        F.when(F.coalesce(sound, F.lit(False)), F.col("entries"))
+        .otherwise(F.raise_error(F.lit("not an object of number arrays")))
+        .alias("entries")
     )
     return checked.select(
-        F.lit(index_name).alias("index_name"), F.explode("entry").alias("id", "embedding")
+        F.lit(index_name).alias("index_name"), F.explode("entries").alias("id", "embedding")
     )

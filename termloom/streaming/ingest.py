@@ -20,12 +20,15 @@ def ingest_stream(
     """Start adding a stream of documents to ``store``.
 
     ``name`` identifies the stream in the commit log: a micro-batch that is
-    replayed after a failure finds its commit there and is not added again.
+    replayed after a failure finds its commit there and is not added again, but
+    the vectors that the failure may have cost are made.
     """
 
     def commit(batch: DataFrame, batch_id: int) -> None:
         if store.stream_commit(name, batch_id) is None:
             store.add_documents(batch, embedder, stream=name, batch=batch_id)
+        elif embedder is not None:
+            store.fill_vectors(embedder)
 
     writer = documents.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()

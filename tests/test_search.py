@@ -2,6 +2,7 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from samples import SEEDS, bm25, documents
 from termloom import (
@@ -20,7 +21,9 @@ from termloom.operators import clauses as clause_module
 from termloom.operators import match as match_module
 from termloom.operators.clauses import validate
 from termloom.operators.match import score_documents
+from termloom.schema import CLAUSE
 
+# The known-answer case of two documents.
 PAIR = [
     ("1", "Rust programming", "systems language with memory safety"),
     ("2", "Python scripting", "dynamic language for data science"),
@@ -188,7 +191,7 @@ MIXED = [
     dict(clauses=[term("the", occur="must"), term("rust", occur="must_not")]),
     dict(clauses=[phrase("memory safety"), term_set(["python", "axum"])]),
     dict(clauses=[term_range("body", "sa", "sz"), match_all()]),
-    dict(clauses=[term_range("id", "rust-intro", "vector-db", incl_lower=False)]),
+    dict(clauses=[term_range("id", "rust-notes", "vector-atlas", incl_lower=False)]),
     dict(clauses=[term_range(None, None, "all"), term_range("title", "we", None)]),
 ]
 
@@ -199,6 +202,34 @@ def scores(spark, corpus):
     return sorted((r.qid, r.doc_key, r.score) for r in found)
 
 
+BAD_CLAUSES = {
+    "kind": dict(kind="prefix"),
+    "no kind": dict(kind=None),
+    "occur": dict(occur="maybe"),
+    "field": dict(field="url"),
+    "boost": dict(boost=None),
+    "slop": dict(kind="phrase", slop=-1),
+    "text": dict(text=None),
+    "bounds": dict(kind="range"),
+    "terms": dict(kind="set"),
+    "only negative": dict(occur="must_not"),
+}
+
+
+@pytest.mark.parametrize("limit", [0, clause_module.LOCAL_ROWS])
+@pytest.mark.parametrize("name", BAD_CLAUSES)
+def test_bad_clause_tables_fail_in_both_forms(spark, monkeypatch, name, limit):
+    monkeypatch.setattr(clause_module, "LOCAL_ROWS", limit)
+    good = clause_requests(spark, [dict(qid=1, clauses=[term("tea")]), dict(qid=2, q="tea")])
+    row = dict(term("tea")) | BAD_CLAUSES[name]
+    bad = spark.createDataFrame([(77, None, [tuple(row[n] for n in CLAUSE.names)])], T.StructType([good.schema[c] for c in ("qid", "q", "clauses")]))
+    requests = good.select("qid", "q", "clauses").union(bad)
+    corpus = scan_corpus(documents(spark, SEEDS))
+    with pytest.raises(Exception, match="request 77"):
+        search(corpus, requests).collect()
+    assert search(corpus, requests.where("qid < 77")).count() == 0
+
+
 def test_large_batch_paths_agree(spark, monkeypatch):
     """Distributed compilation and the salted join give what the small path gives."""
     corpus = scan_corpus(documents(spark, SEEDS))
@@ -231,7 +262,7 @@ def test_scope(spark):
         spark, [dict(qid=n, q="rust", index_name=i) for n, i in enumerate("abx")]
     )
     found = search(scan_corpus(docs), requests).collect()
-    assert sorted((r.qid, r.id) for r in found) == [(0, "rust-intro"), (1, "web-frameworks")]
+    assert sorted((r.qid, r.id) for r in found) == [(0, "rust-notes"), (1, "web-kitchen")]
 
 
 def test_response_keeps_requests_without_hits(spark):
@@ -240,6 +271,6 @@ def test_response_keeps_requests_without_hits(spark):
     )
     found = search(scan_corpus(documents(spark, SEEDS)), requests)
     rows = {r.qid: r for r in response(requests, found, ai_available=True).collect()}
-    assert [h.id for h in rows[1].hits] == ["rust-intro", "web-frameworks"]
+    assert [h.id for h in rows[1].hits] == ["rust-notes", "web-kitchen"]
     assert rows[1].ai_enabled and not rows[2].ai_enabled
     assert rows[2].hits == [] and rows[3].hits == []

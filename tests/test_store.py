@@ -1,12 +1,12 @@
 import pytest
 from pyspark.sql import functions as F
 
-from samples import SEEDS, Failing, documents
+from samples import SEEDS, Failing, FailingOn, documents
 from termloom import Store, clause_requests, ingest_stream, scan_corpus, search, search_stream
 from termloom.operators.clauses import compile_requests
 from termloom.operators.match import keyword_pool
 from termloom.plans.catalog import LetterModel
-from termloom.sources.documents import from_storage, read_documents, to_storage
+from termloom.sources.documents import from_storage, read_documents, read_documents_apart, to_storage
 
 
 def found(corpus, spark, *queries, **options):
@@ -51,8 +51,8 @@ def test_life_of_a_document(spark, store):
 def test_statistics_after_delete_equal_a_fresh_corpus(spark, store):
     store.add_documents(documents(spark, SEEDS[:3]))
     store.add_documents(documents(spark, SEEDS[2:]))
-    store.delete_documents(ids_frame(spark, "search-engines"))
-    left = [s for s in SEEDS if s[0] != "search-engines"]
+    store.delete_documents(ids_frame(spark, "library-search"))
+    left = [s for s in SEEDS if s[0] != "library-search"]
     queries = ("rust safety the", "vector databases", "machine-learning")
     expected = found(scan_corpus(documents(spark, left)), spark, *queries)
     assert found(store.snapshot(), spark, *queries) == expected
@@ -119,11 +119,38 @@ def test_embedding_follows_the_documents(spark, store):
     assert snapshot.documents.count() == 3
     live = {r.id: r.embedding for r in snapshot.vectors().collect()}
     text = SEEDS[0][1] + " " + SEEDS[0][2]
-    assert live.keys() == {"rust-intro", "python-ml"}
-    assert live["rust-intro"] == LetterModel().embed([text])[0]
+    assert live.keys() == {"rust-notes", "herb-garden"}
+    assert live["rust-notes"] == LetterModel().embed([text])[0]
     asked = clause_requests(spark, [dict(qid=1, q="safety language", ai=True, ai_weight=0.9)])
     hits = search(snapshot, asked, snapshot.vectors(), embedder=LetterModel())
-    assert {r.id for r in hits.collect()} == {"rust-intro", "python-ml"}
+    assert {r.id for r in hits.collect()} == {"rust-notes", "herb-garden"}
+
+
+def test_missing_vectors_are_filled(spark, store):
+    store.add_documents(documents(spark, SEEDS), embedder=FailingOn("herbs"))
+    assert store.snapshot().vectors().count() == len(SEEDS) - 1
+    assert store.fill_vectors(FailingOn("herbs")) == 0
+    assert store.fill_vectors(LetterModel()) == 1
+    live = {r.id: r.embedding for r in store.snapshot().vectors().collect()}
+    assert live == {s[0]: LetterModel().embed([f"{s[1]} {s[2]}"])[0] for s in SEEDS}
+
+
+def test_replayed_batch_makes_missing_vectors(spark, store, tmp_path):
+    source = str(tmp_path / "in")
+    documents(spark, SEEDS).drop("doc_key").coalesce(1).write.parquet(source)
+    stream = spark.readStream.schema("id string, title string, body string, url string").parquet(source)
+    for n, model in enumerate((Failing(), LetterModel())):  # the second run replays the batch
+        ingest_stream(store, stream, "s", str(tmp_path / f"cp{n}"), model, once=True).awaitTermination()
+    assert store.snapshot().documents.count() == store.snapshot().vectors().count() == len(SEEDS)
+
+
+def test_small_commits_spread_over_buckets(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "spread"), buckets=8)
+    for n in range(12):
+        store.add_documents(documents(spark, [(f"{n}", "tea", "time")]).coalesce(1))
+    rows = store.table("postings").select("commit_seq", "row_id").distinct()
+    assert rows.select(F.pmod(F.hash("row_id"), F.lit(8))).distinct().count() >= 5
+    assert rows.select("row_id").distinct().count() == 12
 
 
 def test_streams(spark, store, tmp_path):
@@ -164,3 +191,23 @@ def test_json_documents(spark, tmp_path):
     back = from_storage(to_storage(docs)).orderBy("title")
     rows = back.select("id", "url", F.to_json("metadata").alias("m")).collect()
     assert [(r.id, r.url, r.m) for r in rows] == [("1", None, '{"a":[2],"b":1}'), ("", None, None)]
+
+
+def test_json_rejects(spark, tmp_path):
+    lines = ['{"id":"1","title":"t","body":"b"}', '{"id":"2","title":"t"', "", '{"id":"3","title":7,"body":"b"}',
+             '{"title":"t","body":"b","id":null,"url":null,"metadata":null}', '{"id":"4","title":"t"}', '"text"', '{"id":5,"title":"t","body":"b"}']
+    path = tmp_path / "docs.jsonl"
+    path.write_text("\n".join(lines))
+    good, bad = read_documents_apart(spark, str(path), lines=True)
+    assert sorted(str(r.id) for r in good.collect()) == ["1", "None"]
+    reasons = {r.raw: r.reason for r in bad.collect()}
+    assert reasons == {lines[1]: "not JSON", lines[3]: "title is not a string", lines[5]: "body is not a string",
+                       lines[6]: "not an object", lines[7]: "id is not a string"}
+    with pytest.raises(Exception, match="not JSON|not a string|not an object"):
+        read_documents(spark, str(path), lines=True).select("url").collect()
+    whole = tmp_path / "docs.json"
+    whole.write_text(f"[{lines[0]}, {lines[3]}]")
+    good, bad = read_documents_apart(spark, str(whole))
+    assert good.first().id == "1" and bad.count() == 1
+    whole.write_text(f"[{lines[0]}, ")
+    assert [r.reason for r in read_documents_apart(spark, str(whole))[1].collect()] == ["not JSON"]

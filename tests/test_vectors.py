@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from samples import Counting, Failing, documents
+from samples import Counting, Failing, FailingOn, documents
 from termloom import clause_requests, knn, scan_corpus, search
 from termloom.functions.vector import cosine
 from termloom.operators import knn as knn_module
@@ -138,12 +138,33 @@ def test_failing_model(spark):
     assert broken.select(columns).collect() == plain.select(columns).collect()
 
 
+def test_failing_candidate_keeps_keyword_order(spark):
+    docs = scan_corpus(documents(spark, [("1", "tea", "tea time"), ("2", "", "tea cup zebra"), ("3", "", "tea pot"), ("4", "", "milk jug")]))
+    asked = [dict(qid=1, q="tea", ai=True, ai_weight=1.0), dict(qid=2, q="milk", ai=True, ai_weight=1.0)]
+    got = search(docs, clause_requests(spark, asked), embedder=FailingOn("zebra"), embed_candidates=True)
+    plain = search(docs, clause_requests(spark, [dict(qid=1, q="tea")]))
+    columns = ["rank", "id", "score"]
+    assert got.where("qid = 1").select(columns).collect() == plain.select(columns).collect()
+    milk = [r for r in got.collect() if r.qid == 2]
+    assert len(milk) == 1 and milk[0].score <= 1.0
+
+
+def test_one_bad_text_costs_no_other(spark):
+    texts = spark.createDataFrame([(n, "zebra" if n in (3, 250) else f"text {n}") for n in range(300)], "id int, text string")
+    rows = embed_texts(texts.coalesce(1), FailingOn("zebra"), keep_failures=True).collect()
+    assert {r.id for r in rows if r.embedding is None} == {3, 250}
+
+
 def test_vector_object_file(spark, tmp_path):
     wanted = {f'k"{n}': [float(n), -1.5] for n in range(50)} | {"x]y": [1.0, 2.0]}
     path = tmp_path / "v.json"
     path.write_text(json.dumps(wanted, separators=(",", ":")))
     got = {r.id: r.embedding for r in read_vector_object(spark, str(path)).collect()}
     assert got == wanted
-    path.write_text('{"a],":[1.0],"b":[2.0]}')
-    with pytest.raises(Exception, match="not a vector entry"):
-        read_vector_object(spark, str(path)).collect()
+    odd = {"{650e}": [1.0], " lead ": [2.0], "a],": [3.0], "}": [], '"],"': [4.0], ":[3": [5.0], "": [6.0]}
+    path.write_text(json.dumps(odd, indent=1))
+    assert {r.id: r.embedding for r in read_vector_object(spark, str(path)).collect()} == odd
+    for bad in ('{"a":[1.0],"b":2}', '{"a":[1.0, null]}', '{"a":null}', '["a"]', '{"a":[1.0]'):
+        path.write_text(bad)
+        with pytest.raises(Exception):
+            read_vector_object(spark, str(path)).collect()
