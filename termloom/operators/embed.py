@@ -58,20 +58,23 @@ def embed_texts(
             if len(vectors) != len(texts):
                 raise ValueError(f"{embedder.name}: {len(vectors)} vectors for {len(texts)} texts")
             return vectors
-        except Exception:
+        except Exception as error:
             if not keep_failures:
                 raise
-            if len(texts) > 1:
-                half = len(texts) // 2
-                return call(texts[:half]) + call(texts[half:])
-            logging.getLogger("termloom").warning("embedding call failed", exc_info=True)
-            return [None]
+            failure = error
+        if len(texts) > 1:
+            half = len(texts) // 2
+            return call(texts[:half]) + call(texts[half:])
+        logging.getLogger("termloom").info("no vector for a text: %s", failure)
+        return [None]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             vectors: list = []
             for start in range(0, len(batch), TEXTS_PER_CALL):
                 vectors.extend(call(batch[text].iloc[start : start + TEXTS_PER_CALL].tolist()))
+            if missing := sum(v is None for v in vectors):
+                logging.getLogger("termloom").warning("%d of %d texts have no vector", missing, len(vectors))
             yield batch.assign(**{into: pd.Series(vectors, index=batch.index, dtype=object)})
 
     return rows.mapInPandas(run, schema)

@@ -5,7 +5,6 @@ Every entry takes a session and a table folder and returns a DataFrame.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Sequence
 from functools import partial
 
@@ -27,7 +26,13 @@ from termloom.operators.clauses import (
 )
 from termloom.operators.embed import embed_texts
 from termloom.operators.knn import knn
-from termloom.operators.match import keyword_pool, phrase_matches, score_documents
+from termloom.operators.match import (
+    BROADCAST_ROWS,
+    fits_broadcast,
+    keyword_pool,
+    phrase_matches,
+    score_documents,
+)
 from termloom.operators.postings import (
     build_postings,
     field_statistics,
@@ -50,7 +55,13 @@ from termloom.plans.response import response
 from termloom.plans.search import search
 from termloom.session import work_folder
 from termloom.sources import tables
-from termloom.sources.documents import fill_ids, from_storage, read_documents, to_storage
+from termloom.sources.documents import (
+    fill_ids,
+    from_storage,
+    read_documents,
+    read_documents_apart,
+    to_storage,
+)
 from termloom.sources.store import Store
 from termloom.sources.vector_files import read_vector_object
 from termloom.streaming.ingest import ingest_stream
@@ -73,6 +84,18 @@ class LetterModel:
         return [[float(text.count(letter)) for letter in LETTERS] for text in texts]
 
 
+class FussyModel(LetterModel):
+    """The letter model, failing on texts whose length is divisible by ``step``."""
+
+    def __init__(self, step: int):
+        self.step = step
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        if any(len(text) % self.step == 0 for text in texts):
+            raise ValueError("no vector for this text")
+        return super().embed(texts)
+
+
 class LengthScorer(LetterModel):
     """A model that scores (query, text) pairs itself: -1..1 by the text's length."""
 
@@ -129,7 +152,8 @@ def corpus_stats(spark, folder):
 def doc_freq(spark, folder):
     corpus = _corpus(spark, folder)
     compiled = compile_requests(tables.benchmark_requests(spark, folder))
-    stats = corpus.statistics_for(compiled, corpus.postings_for(compiled))
+    postings = corpus.postings_for(compiled, broadcast=fits_broadcast(compiled))
+    stats = corpus.statistics_for(compiled, postings)
     return stats.where(F.col("term") != DOC_MARKER).select("field", "term", "df")
 
 
@@ -442,11 +466,12 @@ def _pool_with_ids(spark, folder) -> DataFrame:
 
 
 def semantic_rerank(spark, folder):
+    pool = _pool_with_ids(spark, folder)
     scored = semantic_scores(
-        _pool_with_ids(spark, folder),
+        pool,
         tables.vector_table(spark, folder),
         _query_vectors(spark, folder),
-        few=True,
+        few=pool.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS,
     )
     known = scored.where("ai_score is not null").withColumn("ai_score", F.round("ai_score", 6))
     order = [F.desc("ai_score"), F.asc("bm25_rank")]
@@ -489,6 +514,29 @@ def rerank_on_the_fly(spark, folder):
     ).select("qid", "rank", "id", "score")
 
 
+def rerank_candidate_failure(spark, folder):
+    """A model that fails on some texts: their queries keep the keyword order."""
+    requests = tables.benchmark_requests(spark, folder).withColumns(
+        {"ai": F.lit(True), "ai_weight": F.lit(0.5)}
+    )
+    return search(
+        _corpus(spark, folder), requests, embedder=FussyModel(50), embed_candidates=True
+    ).select("qid", "rank", "id", "score")
+
+
+def empty_pools(spark, folder):
+    """A third of the requests is empty and a third matches nothing; the rest is reranked."""
+    requests = tables.benchmark_requests(spark, folder).withColumns(
+        {
+            "q": F.when(F.col("qid") % 3 == 0, "").when(F.col("qid") % 3 == 1, "zzzzqqqq").otherwise(F.col("q")),
+            "ai": F.lit(True),
+        }
+    )
+    vectors = tables.vector_table(spark, folder)
+    found = search(_corpus(spark, folder), requests, vectors, _query_vectors(spark, folder))
+    return found.select("qid", "rank", "id", "score")
+
+
 def rerank_by_model(spark, folder):
     """A model that scores pairs itself replaces the cosine."""
     requests = tables.benchmark_requests(spark, folder).withColumns(
@@ -560,6 +608,28 @@ def json_documents(spark, folder):
     )
 
 
+def json_rejects(spark, folder):
+    """Lines and arrays with malformed documents among them: what is read, what is set apart."""
+    path = _scratch(spark)
+    docs = _docs(spark, folder).select("doc_key", "id", "title", "body")
+    good = F.to_json(F.struct("body", "id", "title"))
+    number = F.concat(F.lit('{"body":"b","id":"'), "id", F.lit('","title":'), "id", F.lit("}"))
+    broken = F.concat(F.lit('{"id":"'), "id", F.lit('","title":'))
+    kind = F.col("doc_key") % 5
+    lines = docs.select(F.when(kind == 0, broken).when(kind == 1, number).otherwise(good).alias("value"))
+    lines.write.text(f"{path}/lines")
+    arrays = docs.groupBy(F.floor(F.col("doc_key") / 100)).agg(
+        F.concat(F.lit("["), F.array_join(F.collect_list(F.when(kind == 1, number).otherwise(good)), ","), F.lit("]")).alias("value")
+    )
+    arrays.select("value").write.option("lineSep", " ").option("maxRecordsPerFile", 1).text(f"{path}/arrays")
+    parts = []
+    for form in ("lines", "arrays"):
+        taken, rest = read_documents_apart(spark, f"{path}/{form}", lines=form == "lines")
+        parts.append(taken.select(F.lit(form).alias("form"), "id", "title", F.lit(None).cast("string").alias("raw")))
+        parts.append(rest.select(F.lit(form).alias("form"), F.lit(None).cast("string"), "reason", "raw"))
+    return parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+
+
 def storage_form(spark, folder):
     docs = _pages_with_gaps(spark, folder)
     return to_storage(docs).select("id", "title", "url", "metadata")
@@ -646,6 +716,16 @@ def store_vectors(spark, folder):
     return live.select("id", F.size("embedding").alias("dims"), _rounded_sum("embedding"))
 
 
+def vectors_refilled(spark, folder):
+    """Documents added with a model that fails on some; a second model fills the gaps."""
+    store = Store(spark, _scratch(spark), buckets=8)
+    store.add_documents(_docs(spark, folder), embedder=FussyModel(7))
+    before = store.snapshot().vectors().select("index_name", "id", F.lit(True).alias("at_once"))
+    store.fill_vectors(LetterModel())
+    live = store.snapshot().vectors().join(before, ["index_name", "id"], "left")
+    return live.select("id", F.coalesce("at_once", F.lit(False)).alias("at_once"), _rounded_sum("embedding"))
+
+
 # -- streams and logs ---------------------------------------------------------
 
 _STREAM_DOC = "doc_key long, index_name string, id string, title string, body string"
@@ -732,9 +812,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_search": hybrid_search,
     "rerank_fallback": rerank_fallback,
     "rerank_on_the_fly": rerank_on_the_fly,
+    "rerank_candidate_failure": rerank_candidate_failure,
+    "empty_pools": empty_pools,
     "rerank_by_model": rerank_by_model,
     "id_fill": id_fill,
     "json_documents": json_documents,
+    "json_rejects": json_rejects,
     "storage_form": storage_form,
     "stored_fields": stored_fields,
     "add_append": add_append,
@@ -744,6 +827,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "list_indexes": list_indexes,
     "store_search": store_search,
     "store_vectors": store_vectors,
+    "vectors_refilled": vectors_refilled,
     "stream_ingest": stream_ingest,
     "stream_search": stream_search,
     "latency_report": latency,

@@ -418,6 +418,24 @@ ORACLES: dict[str, str] = {
     ).replace("SELECT pool.*,", "SELECT pool.qid, pool.doc_key, pool.bm25, pool.bm25_rank,").replace(
         "OVER (PARTITION BY qid) AS low", "OVER (PARTITION BY pool.qid) AS low"
     ).replace("OVER (PARTITION BY qid) AS high", "OVER (PARTITION BY pool.qid) AS high"),
+    "rerank_candidate_failure": searched(40)
+    + _fused(
+        COSINE.format(a="qt.e", b="dt.e"),
+        "0.5e0",
+        20,
+        reranked="qt.good AND bool_and(dt.good) OVER (PARTITION BY pool.qid)",
+        extra="JOIN (SELECT doc_key, length(title || ' ' || body) % 50 <> 0 AS good, "
+        + letter_counts("(title || ' ' || body)")
+        + " AS e FROM docs) dt USING (doc_key) JOIN (SELECT qid, "
+        "length(array_to_string(words, ' ')) % 50 <> 0 AS good, "
+        + letter_counts("array_to_string(words, ' ')")
+        + " AS e FROM request) qt ON qt.qid = pool.qid",
+    ).replace("SELECT pool.*,", "SELECT pool.qid, pool.doc_key, pool.bm25, pool.bm25_rank,").replace(
+        "OVER (PARTITION BY qid) AS low", "OVER (PARTITION BY pool.qid) AS low"
+    ).replace("OVER (PARTITION BY qid) AS high", "OVER (PARTITION BY pool.qid) AS high"),
+    "empty_pools": searched(40)
+    + _fused(AI, "0.3e0", 20, "q.embedding IS NOT NULL", WITH_VECTORS)
+    + " AND qid % 3 = 2",
     "rerank_by_model": searched(40)
     + _fused(
         "(length(title || ' ' || body) % 100) / 50e0 - 1e0",
@@ -430,6 +448,15 @@ ORACLES: dict[str, str] = {
     "json_documents": "SELECT CAST(doc_id AS VARCHAR) AS id, split_part(text, '.', 1) AS title, "
     "text AS body, CAST(NULL AS VARCHAR) AS url, "
     "'{\"lang\":\"' || lang || '\",\"source\":\"' || source || '\"}' AS metadata FROM documents",
+    "json_rejects": """
+WITH forms AS (SELECT unnest(['lines', 'arrays']) AS form),
+d AS (SELECT form, doc_id % 5 AS kind, CAST(doc_id AS VARCHAR) AS id, split_part(text, '.', 1) AS title
+      FROM documents, forms)
+SELECT form, CASE WHEN good THEN id END AS id,
+       CASE WHEN good THEN title WHEN kind = 0 THEN 'not JSON' ELSE 'title is not a string' END AS title,
+       CASE WHEN good THEN NULL WHEN kind = 0 THEN '{"id":"' || id || '","title":'
+            ELSE '{"body":"b","id":"' || id || '","title":' || id || '}' END AS raw
+FROM (SELECT *, NOT (kind = 1 OR kind = 0 AND form = 'lines') AS good FROM d)""",
     "storage_form": f"WITH {GAPS} SELECT id, title, coalesce(url, '') AS url, "
     "coalesce(metadata, '') AS metadata FROM gaps",
     "stored_fields": f"WITH {GAPS} SELECT id, title, nullif(url, '') AS url, "
@@ -449,6 +476,9 @@ ORACLES: dict[str, str] = {
     + "SELECT qid, CAST(bm25_rank AS INTEGER) AS rank, CASE WHEN "
     "count(*) OVER (PARTITION BY qid, bm25) = 1 AND bm25 > min(bm25) OVER (PARTITION BY qid) "
     "THEN CAST(doc_key % 100000000 AS VARCHAR) END AS id, bm25 AS score FROM pool",
+    "vectors_refilled": "WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, "
+    "split_part(text, '.', 1) || ' ' || text AS x FROM documents) SELECT id, length(x) % 7 <> 0 AS at_once, "
+    f"round(list_sum({letter_counts('x')}), 4) AS total FROM t",
     "store_vectors": "SELECT CAST(vec_id AS VARCHAR) AS id, CAST(len(embedding) AS INTEGER) AS dims, "
     "round(list_sum(CAST(embedding AS DOUBLE[])), 4) AS total FROM embeddings "
     "WHERE vec_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)",
