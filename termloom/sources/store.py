@@ -19,6 +19,7 @@ import hashlib
 import logging
 from collections.abc import Sequence
 from dataclasses import dataclass
+from itertools import zip_longest
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,9 @@ KEYS = ("commit_seq", "row_id")
 # that Parquet can use to skip data; larger sets are joined.
 LITERAL_TERMS = 1_000
 LITERAL_ROWS = 10_000
+# Parquet gets an IN of up to this many values (Spark's default threshold) value by
+# value, a longer one only as the range from its least to its largest.
+PUSHED_VALUES = 10
 
 _COLUMNS = {
     "documents": "row_id BIGINT, id STRING, title STRING, body STRING, url STRING, metadata STRING",
@@ -53,6 +57,17 @@ _LAYOUT = {
 _LOG = "commit_seq BIGINT, done BOOLEAN, kind STRING, added BIGINT, stream STRING, batch BIGINT"
 
 
+def one_of(column: str, values: Sequence) -> Column:
+    """``column`` is one of ``values``, in groups short enough to skip data by each value."""
+    values = sorted(values)
+    if len(values) > LITERAL_TERMS:
+        return F.col(column).isin(values)
+    groups = [F.col(column).isin(values[i : i + PUSHED_VALUES]) for i in range(0, len(values), PUSHED_VALUES)]
+    while len(groups) > 1:  # by halves, so that the condition stays shallow
+        groups = [a if b is None else a | b for a, b in zip_longest(groups[::2], groups[1::2])]
+    return groups[0] if groups else F.lit(False)
+
+
 class Store:
     """Open or create the store at ``root``.
 
@@ -341,7 +356,7 @@ class StoreCorpus:
         """Rows of a term-sorted table; few terms become a filter that skips data."""
         rows = self.visible(name).where(F.col("field").isin(list(compiled.profile.fields)))
         if compiled.literal is not None and len(compiled.literal) <= LITERAL_TERMS:
-            rows = rows.where(F.col("term").isin(list(compiled.literal)))
+            rows = rows.where(one_of("term", compiled.literal))
         return rows
 
     def postings_for(self, compiled: CompiledRequests, broadcast: bool = True) -> DataFrame:
@@ -381,7 +396,7 @@ class StoreCorpus:
             table = hits.toArrow()
             if table.num_rows:
                 for key in self.keys:
-                    docs = docs.where(F.col(key).isin(table[key].unique().to_pylist()))
+                    docs = docs.where(one_of(key, table[key].unique().to_pylist()))
             hits = F.broadcast(self.store.spark.createDataFrame(table))
         docs = docs.select("index_name", *self.keys, only) if only else from_storage(docs)
         return docs.join(hits, ["index_name", *self.keys])
@@ -392,7 +407,7 @@ class StoreCorpus:
         rows = self.visible("postings").where(F.col("field") == "id")
         few = wanted.select("term").limit(LITERAL_TERMS + 1).collect()
         if len(few) <= LITERAL_TERMS:
-            rows = rows.where(F.col("term").isin([row["term"] for row in few]))
+            rows = rows.where(one_of("term", {row["term"] for row in few if row["term"] is not None}))
         found = self._live(rows).join(wanted, ["index_name", "term"], "left_semi")
         return self._with(found.select("index_name", *self.keys), None, None)
 

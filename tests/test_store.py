@@ -7,6 +7,7 @@ from termloom.operators.clauses import compile_requests
 from termloom.operators.match import keyword_pool
 from termloom.plans.catalog import LetterModel
 from termloom.sources.documents import from_storage, read_documents, read_documents_apart, to_storage
+from termloom.sources.store import one_of
 
 
 def found(corpus, spark, *queries, **options):
@@ -153,6 +154,25 @@ def test_small_commits_spread_over_buckets(spark, tmp_path):
     assert rows.select("row_id").distinct().count() == 12
 
 
+def scanned_rows(frame):
+    plan = frame._jdf.queryExecution().executedPlan()
+    plan.execute().count()
+    while plan.children().size():
+        plan = plan.children().apply(0)
+    return plan.metrics().apply("numOutputRows").value()
+
+
+@pytest.mark.parametrize("count", [5, 13, 50, 400])
+def test_literals_skip_data(spark, tmp_path, count):
+    path = str(tmp_path / "terms")
+    rows = spark.range(0, 200_000, numPartitions=1).select(F.format_string("%08d", "id").alias("term"), "id")
+    rows.write.option("parquet.page.row.count.limit", 500).parquet(path)
+    terms = [f"{n:08d}" for n in range(0, 200_000, 200_000 // count)][:count]
+    found = spark.read.parquet(path).where(one_of("term", ["", *terms]))
+    assert found.count() == count
+    assert scanned_rows(found) <= 500 * (count + 1)
+
+
 def test_streams(spark, store, tmp_path):
     source = str(tmp_path / "in")
     documents(spark, SEEDS).drop("doc_key").repartition(3).write.parquet(source)
