@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from termloom.llm.common import components, document_keys, slices, written
+from termloom.llm.shingles import mix
 
 EDITS = 2
 #: Shorter lines take no part: two edits would change what they say.
@@ -33,31 +34,38 @@ _U = np.uint64
 _MARK = 2**64 - 2
 
 
-def segment_cuts(length: int, edits: int = EDITS) -> list[tuple[int, int]]:
-    """(start, size) of ``edits + 1`` segments, as even as can be; the longer ones last."""
-    base, more = divmod(length, edits + 1)
-    out, at = [], 0
-    for i in range(edits + 1):
-        size = base + (i >= edits + 1 - more)
-        out.append((at, size))
-        at += size
-    return out
+def segment_cuts(length: np.ndarray, edits: int = EDITS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(start, size) of each of ``edits + 1`` segments, as even as can be; the longer ones last."""
+    base, more = np.divmod(length, edits + 1)
+    long = edits + 1 - more  # from this segment on they are longer by one
+    return [(base * i + np.maximum(0, i - long), base + (i >= long)) for i in range(edits + 1)]
 
 
-def probe_places(length: int, edits: int = EDITS) -> list[tuple[int, int, int, int]]:
-    """(indexed length, segment, start, size) of the substrings that a line must be probed with.
+def probe_places(length: np.ndarray, edits: int = EDITS) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(shift, segment, start, size, valid): the substrings that lines of ``length`` must be probed with.
 
     With ``shift`` characters more than the indexed line, and i segments to the
     left without a match, the i-th can be moved by i places at most, seen from
     either end.
     """
-    out = []
-    for shift in range(min(edits, length) + 1):
-        for i, (start, size) in enumerate(segment_cuts(length - shift, edits)):
-            low = max(start - i, start + shift - (edits - i), 0)
-            high = min(start + i, start + shift + (edits - i), length - size)
-            out += [(length - shift, i, at, size) for at in range(low, high + 1)]
-    return out
+    for shift in range(edits + 1):
+        for i, (start, size) in enumerate(segment_cuts(np.maximum(length - shift, 0), edits)):
+            low = np.maximum.reduce([start - i, start + shift - (edits - i), np.zeros_like(start)])
+            high = np.minimum.reduce([start + i, start + shift + (edits - i), length - size])
+            for step in range(2 * min(i, edits - i) + shift + 1):
+                yield shift, i, low + step, size, (low + step <= high) & (length >= shift)
+
+
+def _common(a: str, b: str) -> int:
+    """Length of the common beginning, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return low
 
 
 def within(a: str, b: str, edits: int = EDITS) -> bool:
@@ -67,11 +75,16 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     band moves down one row.  The distance is followed on the diagonal that
     ends in the last cell, on which it never falls.
     """
-    more = len(a) - len(b)
-    if abs(more) > edits:
+    if abs(len(a) - len(b)) > edits:
         return False
     if a == b:
         return True
+    # What both begin or end with does not change the distance.
+    same = _common(a, b)
+    a, b = a[same:], b[same:]
+    same = _common(a[::-1], b[::-1])
+    a, b = a[: len(a) - same], b[: len(b) - same]
+    more = len(a) - len(b)
     width = 2 * edits + 1
     mask = (1 << width) - 1
     up, down = mask >> edits << edits, 0  # vertical steps of +1 and -1; rows above the first have none
@@ -98,10 +111,41 @@ def within(a: str, b: str, edits: int = EDITS) -> bool:
     return True
 
 
+#: Code points that are white space, as a table; all lie below its end.
+_BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
+
+
 def _takes_part(line: str) -> bool:
     return len(line) >= LEAST_CHARACTERS and not line.isspace()
 
 
+def _lines_of(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, takes part) of all lines of ``letters`` (code points, each line ended by a line feed)."""
+    ends = np.flatnonzero(letters == 10)
+    starts = np.r_[0, ends[:-1] + 1]
+    solid = np.r_[0, np.cumsum(~_BLANK[np.minimum(letters, 0x3000)] | (letters > 0x3000))]
+    return starts, ends, (ends - starts >= LEAST_CHARACTERS) & (solid[ends] > solid[starts])
+
+
+class _Substrings:
+    """Hashes of any substrings of a text, from sums over its beginnings."""
+
+    base = 0x9E3779B97F4A7C15
+    powers = inverse = np.ones(1, np.uint64)
+
+    def __init__(self, letters: np.ndarray):
+        if len(self.powers) <= len(letters):
+            for name, base in (("powers", self.base), ("inverse", pow(self.base, -1, 2**64))):
+                factors = np.full(2 * len(letters) + 1, base, np.uint64)
+                factors[0] = 1
+                setattr(_Substrings, name, np.multiply.accumulate(factors))
+        weights = mix(letters.astype(np.uint64) + _U(1)) * self.powers[: len(letters)]
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(weights, dtype=np.uint64)])
+
+    def at(self, start: np.ndarray, size: np.ndarray, salt: np.ndarray) -> np.ndarray:
+        return mix((self.sums[start + size] - self.sums[start]) * self.inverse[start] + salt.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+
+
 _SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int32(), "line": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "probe": pa.int64(), "ref": pa.int64(), "role": pa.int64()}
 _SENT_SCHEMA = "part int, blob binary, key long, text_hash int, line long, h1 long, h2 long, probe long, ref long, role long"
 _ENTRY = np.dtype([("probe", "u8"), ("ref", "u8")])
@@ -129,16 +173,17 @@ def _send_lines(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.R
     side tells the other tasks.
     """
     met: set[int] = set()
-    probes: list[int] = []
-    refs: list[int] = []
-    plans: dict[int, list[tuple[int, int, int, int]]] = {}
+    waiting: list[np.ndarray] = []
+    count = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        if not probes:
+        nonlocal count
+        if not count:
             return
-        entries = np.empty(len(probes), _ENTRY)
-        entries["probe"], entries["ref"] = np.array(probes, np.uint64), np.array(refs, np.uint64)
-        entries = np.unique(entries)
+        entries = np.concatenate(waiting)
+        # By probe, then line and side; each once.
+        entries = entries[np.lexsort((entries["ref"], entries["probe"]))]
+        entries = entries[np.r_[True, entries[1:] != entries[:-1]]]
         hot = _matched(entries)
         known = entries[hot]
         if len(known):
@@ -146,44 +191,57 @@ def _send_lines(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.R
             marks = np.repeat(np.unique(known["probe"]), 2)
             known = np.empty(len(marks), _ENTRY)
             known["probe"], known["ref"] = marks, _U(_MARK) | (np.arange(len(marks)) & 1).astype(np.uint64)
-        sent = np.sort(np.concatenate([entries[~hot], known]))
+        sent = np.concatenate([entries[~hot], known])
+        sent = sent[np.argsort(sent["probe"])]
         parts = (sent["probe"] >> _U(40)).astype(np.int64) * ranges >> 24
         borders = np.searchsorted(parts, np.arange(ranges + 1))
         used = np.flatnonzero(np.diff(borders))
         yield _batch(_SENT, part=used, blob=[sent[borders[r] : borders[r + 1]].tobytes() for r in used])
-        for some in (met, probes, refs):
-            some.clear()
+        met.clear()
+        waiting.clear()
+        count = 0
+
+    def entries_of(hashes: _Substrings, start: np.ndarray, length: np.ndarray, h1: np.ndarray) -> Iterator[np.ndarray]:
+        def pack(at: np.ndarray, size: np.ndarray, salt: np.ndarray, ref: np.ndarray) -> np.ndarray:
+            out = np.empty(len(at), _ENTRY)
+            out["probe"], out["ref"] = hashes.at(at, size, salt), ref
+            return out
+
+        segment, probe = h1 >> _U(1) << _U(1), h1 | _U(1)
+        for i, (at, size) in enumerate(segment_cuts(length)):
+            yield pack(start + at, size, length * 8 + i, segment)
+        for shift, i, at, size, valid in probe_places(length):
+            yield pack((start + at)[valid], size[valid], ((length - shift) * 8 + i)[valid], probe[valid])
 
-    digest = xxhash.xxh64_intdigest
     for batch in batches:
         for some in slices(batch, "text"):
-            rows = {n: [] for n in ("key", "text_hash", "line", "h1", "h2")}
-            for key, text_hash, text in zip(*(some.column(c).to_pylist() for c in ("key", "text_hash", "text"))):
-                for number, line in enumerate(text.split("\n")):
-                    if not _takes_part(line):
-                        continue
-                    raw = line.encode("utf-32-le")
-                    h1 = digest(raw)
-                    for n, v in zip(rows, (key, text_hash, number, h1, digest(raw, 1))):
-                        rows[n].append(v)
-                    if h1 in met:
-                        continue
-                    met.add(h1)
-                    length, view = len(line), memoryview(raw)
-                    if length not in plans:
-                        own = [(length, i, at, size) for i, (at, size) in enumerate(segment_cuts(length))]
-                        plans[length] = [(ln * 8 + i, 4 * at, 4 * (at + size)) for ln, i, at, size in own + probe_places(length)]
-                        if len(plans) > 20_000:
-                            plans = {length: plans[length]}
-                    plan = plans[length]
-                    probes += [digest(view[a:b], seed) for seed, a, b in plan]
-                    segment, probe = h1 >> 1 << 1, h1 | 1
-                    refs += [segment] * (EDITS + 1) + [probe] * (len(plan) - EDITS - 1)
-            if rows["key"]:
-                for n in ("h1", "h2"):
-                    rows[n] = np.array(rows[n], np.uint64).view("i8")
-                yield _batch(_SENT, part=((rows["h1"].view("u8") >> _U(40)).astype(np.int64) * ranges >> 24), **rows)
-            if len(probes) >= FLUSH:
+            texts = some.column("text").to_pylist()
+            raw = ("\n".join(texts) + "\n").encode("utf-32-le")
+            letters = np.frombuffer(raw, np.uint32)
+            start, end, joins = _lines_of(letters)
+            per_text = np.array([t.count("\n") + 1 for t in texts])
+            text_of = np.repeat(np.arange(len(texts)), per_text)
+            number = np.arange(len(start)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+            start, end, text_of, number = start[joins], end[joins], text_of[joins], number[joins]
+            if not len(start):
+                continue
+            view = memoryview(raw)
+            digests = b"".join(xxhash.xxh128_digest(view[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist()))
+            h1, h2 = np.frombuffer(digests, "<u8").reshape(-1, 2).T
+            yield _batch(
+                _SENT,
+                part=((h1 >> _U(40)).astype(np.int64) * ranges >> 24),
+                key=some.column("key").take(pa.array(text_of)),
+                text_hash=some.column("text_hash").take(pa.array(text_of)),
+                line=number,
+                h1=np.ascontiguousarray(h1).view("i8"),
+                h2=np.ascontiguousarray(h2).view("i8"),
+            )
+            new = [i for i, h in enumerate(h1.tolist()) if h not in met and not met.add(h)]
+            for entries in entries_of(_Substrings(letters), start[new], (end - start)[new], h1[new]):
+                waiting.append(entries)
+                count += len(entries)
+            if count >= FLUSH:
                 yield from flush()
     yield from flush()
 

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from termloom.llm import line_dedup
@@ -40,8 +41,10 @@ def test_distance_and_filter():
             assert line_dedup.within(a, b, edits) == (true <= edits)
         for edits in range(max(1, true), 4):
             long, short = (a, b) if len(a) >= len(b) else (b, a)
-            index = {(len(short), i, short[p : p + n]) for i, (p, n) in enumerate(line_dedup.segment_cuts(len(short), edits))}
-            assert any((n, i, long[p : p + size]) in index for n, i, p, size in line_dedup.probe_places(len(long), edits))
+            cuts = line_dedup.segment_cuts(np.array([len(short)]), edits)
+            index = {(len(short), i, short[p[0] : p[0] + n[0]]) for i, (p, n) in enumerate(cuts)}
+            probes = line_dedup.probe_places(np.array([len(long)]), edits)
+            assert any((len(long) - shift, i, long[p[0] : p[0] + n[0]]) in index for shift, i, p, n, valid in probes if valid[0])
 
 
 def brute(rows: list[tuple]) -> list[tuple]:
