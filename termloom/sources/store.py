@@ -38,6 +38,8 @@ KEYS = ("commit_seq", "row_id")
 # that Parquet can use to skip data; larger sets are joined.
 LITERAL_TERMS = 1_000
 LITERAL_ROWS = 10_000
+# Keys of deleted rows up to this count are broadcast to the documents.
+BROADCAST_DELETED = 1_000_000
 # Parquet gets an IN of up to this many values (Spark's default threshold) value by
 # value, a longer one only as the range from its least to its largest.
 PUSHED_VALUES = 10
@@ -290,14 +292,18 @@ class Store:
     def snapshot(self, seq: int | None = None, index_name: str | None = None) -> StoreCorpus:
         """The store as of commit ``seq`` (default: the last finished one)."""
         commits = self.log().groupBy("commit_seq").agg(
-            F.max("done").alias("done"), F.max("kind").alias("kind")
+            F.max("done").alias("done"), F.max("kind").alias("kind"), F.max("added").alias("added")
         )
+        counted = F.col("done") & (F.col("kind") == "delete")
+        if seq is not None:
+            counted = counted & (F.col("commit_seq") <= seq)
         state = commits.agg(
             F.coalesce(F.max(F.when(F.col("done"), F.col("commit_seq"))), F.lit(0)).alias("last"),
             F.coalesce(
                 F.min(F.when(F.col("done") & (F.col("kind") == "delete"), F.col("commit_seq"))),
                 F.lit(None),
             ).alias("first_delete"),
+            F.coalesce(F.sum(F.when(counted, F.col("added"))), F.lit(0)).alias("hidden"),
         ).first()
         last = state["last"] if seq is None else min(seq, state["last"])
         # Attempts that never finished; a handful at most.
@@ -306,7 +312,7 @@ class Store:
             for row in commits.where(~F.col("done") & (F.col("commit_seq") < last)).collect()
         ]
         has_deletes = state["first_delete"] is not None and state["first_delete"] <= last
-        return StoreCorpus(self, last, tuple(open_commits), has_deletes, index_name)
+        return StoreCorpus(self, last, tuple(open_commits), has_deletes, state["hidden"], index_name)
 
     def list_indexes(self) -> DataFrame:
         """Names of all indexes that were ever written to."""
@@ -323,6 +329,7 @@ class StoreCorpus:
     seq: int
     open_commits: tuple[int, ...] = ()
     has_deletes: bool = False
+    hidden: int = 0
     index_name: str | None = None
     keys: tuple[str, ...] = KEYS
 
@@ -345,8 +352,15 @@ class StoreCorpus:
         return rows.join(gone, (F.col("row_id") == F.col("gone_row")) & same_commit, "left_anti")
 
     def stored(self) -> DataFrame:
-        """Live documents in storage form, with their keys."""
-        return self._live(self.visible("documents"))
+        """Live documents in storage form, with their keys.
+
+        Deleted keys, whose number the log knows, go to the documents while they
+        are few enough, so that no text is shuffled to leave the deleted out.
+        """
+        if not self.has_deletes or self.hidden > BROADCAST_DELETED:
+            return self._live(self.visible("documents"))
+        gone = self.visible("deleted").select("index_name", F.col("doc_seq").alias("commit_seq"), "row_id")
+        return self.visible("documents").join(F.broadcast(gone), ["index_name", *KEYS], "left_anti")
 
     @property
     def documents(self) -> DataFrame:

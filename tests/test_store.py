@@ -6,6 +6,7 @@ from termloom import Store, clause_requests, ingest_stream, scan_corpus, search,
 from termloom.operators.clauses import compile_requests
 from termloom.operators.match import keyword_pool
 from termloom.plans.catalog import LetterModel
+from termloom.sources import store as store_module
 from termloom.sources.documents import from_storage, read_documents, read_documents_apart, to_storage
 from termloom.sources.store import one_of
 
@@ -154,6 +155,23 @@ def test_small_commits_spread_over_buckets(spark, tmp_path):
     assert rows.select("row_id").distinct().count() == 12
 
 
+@pytest.mark.parametrize("limit", [store_module.BROADCAST_DELETED, 0])
+def test_deletes_shuffle_no_text_while_few(spark, store, monkeypatch, limit):
+    monkeypatch.setattr(store_module, "BROADCAST_DELETED", limit)
+    monkeypatch.setattr(store_module, "LITERAL_ROWS", 0)
+    store.add_documents(documents(spark, SEEDS[:3]))
+    store.add_documents(documents(spark, SEEDS[2:]))
+    first = store.snapshot().seq
+    assert store.delete_documents(ids_frame(spark, SEEDS[2][0], "unknown")) == 2
+    assert store.delete_documents(ids_frame(spark, SEEDS[4][0])) == 1
+    live = store.snapshot()
+    assert sorted(r.id for r in live.documents.collect()) == sorted(s[0] for s in (*SEEDS[:2], SEEDS[3]))
+    assert store.snapshot(first).documents.count() == 6 and live.hidden == 3
+    plan = live.stored()._jdf.queryExecution().executedPlan().toString()
+    if limit:
+        assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
 def scanned_rows(frame):
     plan = frame._jdf.queryExecution().executedPlan()
     plan.execute().count()
