@@ -31,6 +31,8 @@ _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
 INFERRED = "inferred"
 #: Distinct labelled strings of a kind that an automaton is built from at most: those of least hash.
 SAMPLE = 1_000
+#: Longer strings are found and scored, but no automaton is built from them.
+LONGEST = 500
 #: Confidence of the test by which two states differ.
 ALPHA = 0.05
 #: Share of the labelled strings that may score below the limit of their own automaton.
@@ -187,7 +189,10 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
 
 
 def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most ``sample`` distinct strings of each kind, and of ordinary tokens ("other"): those of least hash."""
+    """At most ``sample`` distinct strings of each kind, and of ordinary tokens ("other").
+
+    Of those up to ``LONGEST`` characters, the ones of least hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,7 +208,7 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
     rows = written(docs.select("text").mapInArrow(run, "kind string, string string").distinct())
     out = {}
     for kind in (*KINDS, "other"):
-        some = rows.where(F.col("kind") == kind).orderBy(F.xxhash64("string"), "string").limit(sample)
+        some = rows.where((F.col("kind") == kind) & (F.length("string") <= LONGEST)).orderBy(F.xxhash64("string"), "string").limit(sample)
         out[kind] = [r.string for r in some.select("string").collect()]
     return out
 

@@ -22,6 +22,8 @@ from termloom.llm.common import slices
 
 #: Labelled rows that a model is fitted on at most: those of least hash of doc_id.
 SAMPLE_ROWS = 10_000
+#: Longer texts are scored, but no model is fitted on them; so the sample's size is bounded.
+LONGEST_TEXT = 20_000
 #: A word must be in so many sampled documents to get a weight.
 LEAST_DOCUMENTS = 5
 #: Standard errors by which its share of toxic documents must exceed that of clean ones.
@@ -133,6 +135,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, penalty: floa
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """(text, toxic) of at most ``sample_rows`` labelled documents, those of least hash of doc_id.
 
+    Texts of more than ``LONGEST_TEXT`` characters are left out of them.
     Labels of one doc_id count as toxic if any does; null labels and ids are left out.
     """
     marked = (
@@ -143,6 +146,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
         .limit(sample_rows)
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT)
     return texts.join(F.broadcast(marked), "doc_id").select("text", "toxic")
 
 
