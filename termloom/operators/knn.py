@@ -85,14 +85,26 @@ def _result_schema(queries: DataFrame) -> tuple[str, pa.Schema]:
     return ddl, pa.schema([("qid", arrow), ("id", pa.string()), ("score", pa.float64())])
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, dims: int) -> DataFrame:
+# Joins index and id into one name; sorts before any character of either.
+_SEPARATOR = "\0"
+
+
+def knn(
+    vectors: DataFrame, queries: DataFrame, k: int, dims: int, by_index: bool = False
+) -> DataFrame:
     """(qid, id, score, rank): the ``k`` most similar vectors of each query.
 
     ``vectors`` has (id, embedding), ``queries`` has (qid, query_embedding); both
-    are checked against ``dims``.
+    are checked against ``dims``.  With ``by_index`` vectors are told apart by
+    (index_name, id), and the result names the index too.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
+    if by_index:
+        named = vectors.withColumn("id", F.concat_ws(_SEPARATOR, "index_name", "id"))
+        found = knn(named, queries, k, dims)
+        parts = F.split("id", _SEPARATOR, 2)
+        return found.withColumns({"index_name": parts[0], "id": parts[1]})
     vectors = check_dims(vectors.select("id", "embedding"), dims)
     queries = check_dims(queries.select("qid", "query_embedding"), dims, "query_embedding")
     n_queries = queries.select("qid").count()

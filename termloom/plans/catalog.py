@@ -419,6 +419,14 @@ def knn_topk(spark, folder):
     return knn(tables.vector_table(spark, folder), _query_vectors(spark, folder), 10, DIMS)
 
 
+def knn_by_index(spark, folder):
+    """Equal ids in several indexes: the index is part of the result and of the tie order."""
+    vectors = tables.vector_table(spark, folder).withColumns(
+        {"index_name": F.concat(F.lit("part"), F.col("label") % 3), "id": (F.col("id").cast("long") % 100).cast("string")}
+    )
+    return knn(vectors, _query_vectors(spark, folder), 10, DIMS, by_index=True)
+
+
 def vector_object_import(spark, folder):
     """Vectors written as JSON objects of 250 entries, one per file, and read back."""
     target = _scratch(spark) + "/vectors"
@@ -804,6 +812,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_delete": vector_delete,
     "vectors_left": vectors_left,
     "knn_topk": knn_topk,
+    "knn_by_index": knn_by_index,
     "vector_object_import": vector_object_import,
     "candidate_texts": candidate_texts,
     "embed_documents": embed_documents,
