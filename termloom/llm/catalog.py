@@ -150,6 +150,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 #: SQL for the queries that it can express; the others are tested by brute force.
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH b AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents
+        ), strings AS (
+            SELECT doc_id, i, md5(substr(h, 2 * i + 1, 400)) AS m FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS i FROM b)
+        ), again AS (
+            SELECT doc_id, i FROM strings JOIN (SELECT m FROM strings GROUP BY m HAVING count(*) > 1) USING (m)
+        ), cut AS (
+            SELECT doc_id, i, sum(CASE WHEN i <= before + 200 THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run
+            FROM (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS before FROM again)
+        ), runs AS (
+            SELECT doc_id, min(i) AS first, max(i) + 200 AS last FROM cut GROUP BY doc_id, run
+        ), per AS (
+            SELECT doc_id, sum(last - first) AS removed, count(*) AS spans,
+                list(first ORDER BY first) AS firsts, list(last ORDER BY first) AS lasts
+            FROM runs GROUP BY doc_id
+        ), whole AS (
+            SELECT b.doc_id, h, n, coalesce(removed, 0) AS removed, coalesce(spans, 0) AS spans,
+                list_prepend(0, coalesce(lasts, [])) AS starts, list_append(coalesce(firsts, []), n) AS ends
+            FROM b LEFT JOIN per ON b.doc_id = per.doc_id
+        )
+        SELECT doc_id, n AS n_bytes, removed AS n_removed, spans AS n_spans,
+            sha256(unhex(array_to_string(list_transform(range(1, len(starts) + 1),
+                lambda j: substr(h, 2 * starts[j] + 1, 2 * (ends[j] - starts[j]))), ''))) AS kept_sha256
+        FROM whole
+    """,
+    "op10_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(string_split_regex(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words
+            FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(words) = 0 THEN []
+                WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i + 4], ' ')))
+                END AS shingles
+            FROM w
+        ), e AS (
+            SELECT doc_id, unnest(shingles) AS shingle FROM s
+        ), n AS (
+            SELECT doc_id, len(shingles) AS n FROM s
+        ), pairs AS (
+            SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+            FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+        ), links AS (
+            SELECT x, y FROM pairs JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+            WHERE 100 * shared >= 75 * (p.n + q.n - shared)
+        ), ways AS (
+            SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+        ), reach(doc_id, other) AS (
+            SELECT doc_id, doc_id FROM n
+            UNION
+            SELECT reach.doc_id, ways.y FROM reach JOIN ways ON reach.other = ways.x
+        )
+        SELECT n.doc_id, n.n AS n_shingles, min(other) AS component_id FROM n JOIN reach ON n.doc_id = reach.doc_id GROUP BY n.doc_id, n.n
+    """,
     "op3_url_filter": r"""
         WITH a AS (
             SELECT page_id, url,
