@@ -24,9 +24,9 @@ from termloom.llm.shingles import shingle_sets
 
 THRESHOLD = 75
 #: Shingles that a task gathers before it sends them on, grouped by hash range.
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: Shingles that one search task holds at most; larger families are searched in blocks.
-BLOCK = 2_000_000
+BLOCK = 1_000_000
 #: The filter's prefix is longer than the least one by this fraction of the set.
 SPARE = 10
 #: Frequencies count up to here; a shingle this frequent in one task needs no exchange.
@@ -92,7 +92,7 @@ def _filter_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
         )
 
     met: set[tuple[int, int]] = set()
-    hashes, owners, waiting = [], [], 0
+    hashes, owners, waiting, turn = [], [], 0, 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal waiting
@@ -123,7 +123,9 @@ def _filter_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
             size = np.fromiter(map(len, sets), np.int64, len(sets))
             sig = [(xxhash.xxh64_intdigest(s.data), xxhash.xxh64_intdigest(s.data, 1)) for s in sets]
             sig1, sig2 = np.array(sig, np.uint64).view(np.int64).T
-            yield rows(part=np.abs(sig1 % ranges), doc_id=some.column("doc_id"), text_hash=some.column("text_hash"), size=size, sig1=sig1, sig2=sig2)
+            # Dealt in turn: copies have one signature, and may be very many.
+            turn += len(sets)
+            yield rows(part=np.arange(turn - len(sets), turn) % ranges, doc_id=some.column("doc_id"), text_hash=some.column("text_hash"), size=size, sig1=sig1, sig2=sig2)
             for s, own, pair, cut in zip(sets, sig1, sig, filter_prefix(size)):
                 if len(s) and pair not in met:
                     met.add(pair)
@@ -287,14 +289,36 @@ def shared_shingles(sets: DataFrame, ranges: int) -> DataFrame:
     return rows.repartition(ranges, "part").mapInArrow(meet, "home int, cls long, size long, rare binary")
 
 
+def spanning(edges: np.ndarray) -> np.ndarray:
+    """Edges (least, other) that join the same nodes as ``edges`` (pairs), one for each node but the least."""
+    if not len(edges):
+        return np.zeros((0, 2), np.int64)
+    nodes, flat = np.unique(edges, return_inverse=True)
+    a, b = flat.reshape(-1, 2).T
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, a, least)
+        np.minimum.at(new, b, least)
+        # The old label's node learns too, so whole trees move at once.
+        np.minimum.at(new, label[a], least)
+        np.minimum.at(new, label[b], least)
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(nodes)))
+    return np.stack([nodes[label[other]], nodes[other]], 1)
+
+
 def _stars(h: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct (least, other) of the documents of each value; and the least of each value."""
+    """Edges that join all documents of each value; and the least of each value."""
     order = np.lexsort((docs, h))
     h, docs = h[order], docs[order]
     first = np.r_[True, h[1:] != h[:-1]]
     least = np.repeat(docs[first], np.diff(np.r_[np.flatnonzero(first), len(h)]))
-    edges = np.unique(np.stack([least, docs], 1)[least != docs], axis=0)
-    return edges, h[first], docs[first]
+    return spanning(np.stack([least, docs], 1)[least != docs]), h[first], docs[first]
 
 
 def family_edges(sets: DataFrame, ranges: int) -> DataFrame:
@@ -395,8 +419,8 @@ class InvertedLists:
         return docs[close], overlap[close]
 
 
-def spanning_links(ids: np.ndarray, families: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the given documents just as all their links would.
+def spanning_links(ids: np.ndarray, families: np.ndarray, sets: list[np.ndarray]) -> np.ndarray:
+    """Edges that join the given documents just as all their links would.
 
     Leaders are searched first and take what they reach.  Then every document
     that a leader took is searched too, but for the largest group of a family:
@@ -417,7 +441,7 @@ def spanning_links(ids: np.ndarray, families: np.ndarray, sets: list[np.ndarray]
         if leader[x] != x and leader[x] not in largest:
             near, _ = lists.search(sets[x])
             links += [(int(ids[x]), int(ids[y])) for y in near if leader[y] != leader[x]]
-    return links
+    return spanning(np.array(links, np.int64))
 
 
 def _sets_of(rows: pd.DataFrame) -> list[np.ndarray]:
@@ -427,7 +451,7 @@ def _sets_of(rows: pd.DataFrame) -> list[np.ndarray]:
 def _search_bin(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("cls")
     links = spanning_links(rows["cls"].to_numpy(), rows["family"].to_numpy(), _sets_of(rows))
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(links, columns=["a", "b"])
 
 
 def _search_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
@@ -435,11 +459,11 @@ def _search_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     lists = InvertedLists(_sets_of(right)) if len(left) and len(right) else None
     ids = right["cls"].to_numpy()
     links = [(int(c), int(ids[y])) for c, s in zip(left["cls"], _sets_of(left)) for y in lists.search(s)[0] if ids[y] != c] if lists else []
-    return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
+    return pd.DataFrame(spanning(np.array(links, np.int64)), columns=["a", "b"])
 
 
 def class_links(sets: DataFrame, ranges: int, block: int = BLOCK) -> DataFrame:
-    """Links (a, b) between classes that span the components of all links."""
+    """Edges (a, b) between classes that span the components of all links."""
     families = components(family_edges(sets, ranges)).withColumnsRenamed({"node": "cls", "component": "family"})
     members = written(sets.join(families, "cls").select("cls", "family", "size", "shingles"))
     totals = members.groupBy("family").agg(F.sum("size").alias("total"))
@@ -510,7 +534,8 @@ def jaccard_components(docs: DataFrame, ranges: int | None = None, block: int =
     named = written(classes.join(sets.select("cls", "sig1", "sig2").join(grouped, "cls"), ["sig1", "sig2"]))
     roots = named.groupBy("component").agg(F.min("least").alias("root"))
     found = named.join(roots, "component").groupBy("sig1", "sig2").agg(F.min("root").alias("root"))
-    per_class = classes.join(found, ["sig1", "sig2"], "left").select("sig1", "sig2", F.coalesce("root", "least").alias("root"))
+    # Written, so that the join below can split a class of very many copies.
+    per_class = written(classes.join(found, ["sig1", "sig2"], "left").select("sig1", "sig2", F.coalesce("root", "least").alias("root")))
     empty = F.col("size") == 0
     root_id = F.when(~F.col("root.unnamed"), F.col("root.key"))
     return per_doc.join(per_class, ["sig1", "sig2"], "left").select(

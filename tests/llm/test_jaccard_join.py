@@ -96,6 +96,24 @@ def test_search_finds_all_within_the_threshold():
         assert dict(zip(near.tolist(), overlap.tolist())) == want
 
 
+def test_spanning_edges():
+    rnd = random.Random(7)
+    for _ in range(200):
+        edges = [(rnd.randint(0, 30), rnd.randint(0, 30)) for _ in range(rnd.randint(0, 40))]
+        root = {n: n for e in edges for n in e}
+
+        def find(x, root=root):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for a, b in edges:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        want = {(find(n), n) for n in root if find(n) != n}
+        got = jaccard_join.spanning(np.array(edges, np.int64).reshape(-1, 2))
+        assert {tuple(e) for e in got.tolist()} == want and len(got) == len(want)
+
+
 def test_shingles():
     texts = ["", "a", "A b c d", "a b c d e f a b c d e f", "\xa0 q", "x" * 5000 + " y"]
     assert [len(s) for s in shingle_sets([t.encode() for t in texts])] == [len(shingles(t)) for t in texts]
