@@ -17,19 +17,21 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import components, document_keys, slices, written
+from termloom.llm.common import components, document_keys, slices, small, written
 from termloom.llm.shingles import mix
 
 EDITS = 2
 #: Shorter lines take no part: two edits would change what they say.
 LEAST_CHARACTERS = 30
 #: Segment and probe entries that a task gathers before it sends them on, grouped by hash range.
-FLUSH = 1_500_000
+FLUSH = 500_000
 #: Lines of one side of a search that one task compares at most.
 BLOCK = 500
 #: Lines that one verifying task gets about.
 BIN = 4_000
 _U = np.uint64
+#: Repeated lines that are broadcast to find their copies; more are joined by a shuffle.
+BROADCAST_LINES = 500_000
 #: Stands for "some line of another task" in an exchanged entry.
 _MARK = 2**64 - 2
 
@@ -174,7 +176,7 @@ def _send_lines(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.R
     """
     met: set[int] = set()
     waiting: list[np.ndarray] = []
-    count = 0
+    count = turn = 0
 
     def flush() -> Iterator[pa.RecordBatch]:
         nonlocal count
@@ -225,12 +227,14 @@ def _send_lines(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.R
             start, end, text_of, number = start[joins], end[joins], text_of[joins], number[joins]
             if not len(start):
                 continue
+            turn += len(start)
             view = memoryview(raw)
             digests = b"".join(xxhash.xxh128_digest(view[4 * a : 4 * b]) for a, b in zip(start.tolist(), end.tolist()))
             h1, h2 = np.frombuffer(digests, "<u8").reshape(-1, 2).T
             yield _batch(
                 _SENT,
-                part=((h1 >> _U(40)).astype(np.int64) * ranges >> 24),
+                # Dealt in turn: copies of a line may be very many.
+                part=np.arange(turn - len(start), turn) % ranges,
                 key=some.column("key").take(pa.array(text_of)),
                 text_hash=some.column("text_hash").take(pa.array(text_of)),
                 line=number,
@@ -278,17 +282,22 @@ def _cut_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verify(rows: pd.DataFrame) -> pd.DataFrame:
     """Links among the lines that met; each pair is compared once."""
+    rows = rows.drop_duplicates(["probe", "left", "right", "role", "node"]).sort_values(["probe", "left", "right", "role", "node"])
+    group = rows[["probe", "left", "right"]].to_numpy()
+    first = np.r_[True, (group[1:] != group[:-1]).any(1)] if len(rows) else np.zeros(0, bool)
+    borders = np.r_[np.flatnonzero(first), len(rows)].tolist()
+    roles, nodes, texts = (rows[c].tolist() for c in ("role", "node", "text"))
     seen: set[tuple[int, int]] = set()
     links = []
-    for _, group in rows.groupby(["probe", "left", "right"], sort=False):
-        sides = [group[group["role"] == r].drop_duplicates("node") for r in (0, 1)]
-        probed = list(zip(sides[1]["node"], sides[1]["text"]))
-        for a, text in zip(sides[0]["node"], sides[0]["text"]):
-            for b, other in probed:
+    for start, end in zip(borders, borders[1:]):
+        middle = start + roles[start:end].count(0)
+        for i in range(start, middle):
+            for j in range(middle, end):
+                a, b = nodes[i], nodes[j]
                 pair = (a, b) if a < b else (b, a)
                 if a != b and pair not in seen:
                     seen.add(pair)
-                    if within(text, other):
+                    if within(texts[i], texts[j]):
                         links.append(pair)
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
@@ -371,6 +380,8 @@ def dedup_lines(docs: DataFrame, ranges: int | None = None, carried: Sequence[st
         .where((F.col("n") > 1) | F.col("class_first").isNotNull())
         .select("h1", "h2", F.coalesce("class_first", "first").alias("keep"))
     )
+    # Written, so that a very common line can be split where the join is shuffled.
+    repeated = small(repeated, BROADCAST_LINES)
     gone = lines.join(repeated, ["h1", "h2"]).where(place != F.col("keep"))
     source = F.when(F.col("keep.key") != -(2**63), F.col("keep.key"))
     per_text = gone.groupBy("key", "text_hash").agg(

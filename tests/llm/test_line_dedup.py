@@ -93,9 +93,10 @@ def sample() -> list[tuple]:
     return rows
 
 
-@pytest.mark.parametrize(("block", "flush"), [(line_dedup.BLOCK, line_dedup.FLUSH), (3, 200)])
-def test_lines_against_all_pairs(spark, monkeypatch, block, flush):
+@pytest.mark.parametrize(("block", "flush", "few"), [(line_dedup.BLOCK, line_dedup.FLUSH, line_dedup.BROADCAST_LINES), (3, 200, 0)])
+def test_lines_against_all_pairs(spark, monkeypatch, block, flush, few):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", few)
     monkeypatch.setattr(line_dedup, "FLUSH", flush)
     rows = sample()
     assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == brute(rows)
