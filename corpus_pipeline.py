@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from termloom.llm.catalog import RANKS, token_digests
-from termloom.llm.common import document_keys, small, table
+from termloom.llm.common import document_keys, small, small_batches, table
 from termloom.session import work_folder
 
 #: Contaminated documents whose keys are broadcast; more are joined by a shuffle.
@@ -25,6 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that nearly repeat an earlier one go, and documents of which nothing else took part."""
+    small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     rows = line_dedup.dedup_lines(docs, carried=["doc_id", "text", *others])
     removed = F.size("removed")
@@ -39,6 +40,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by shingle sets that are alike to 0.75 or more, that of least doc_id stays."""
+    small_batches(spark)
     keys = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")
     found = jaccard_join.jaccard_components(docs)
     stay = found.where("stays").select(keys, "text_hash").distinct()
@@ -58,6 +60,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of what is left, and their decoding, as digests."""
+    small_batches(spark)
     vocab = byte_bpe.load_vocabulary(public_tokenizers.path(RANKS))
     return token_digests(docs.select("doc_id", "text"), vocab)
 

@@ -23,7 +23,7 @@ NONE = np.int32(2**31 - 1)
 #: Rows longer than this many bytes are merged one at a time, all safe places of a pair at once.
 LONGEST_ROW = 64
 #: Words that a task remembers before it starts afresh.
-REMEMBERED_WORDS = 300_000
+REMEMBERED_WORDS = 200_000
 #: Words of one text that are held at once.
 WORDS_AT_ONCE = 200_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)

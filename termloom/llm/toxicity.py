@@ -30,7 +30,7 @@ LEAST_DOCUMENTS = 5
 CLEAR = 4.0
 ROUNDS = 300
 #: Words that a task remembers the value of before it starts afresh.
-REMEMBERED_WORDS = 1_000_000
+REMEMBERED_WORDS = 200_000
 _TOKEN = re.compile(r"[^\W_]+|[.!?\n]")
 _ENDS = frozenset(".!?\n")
 _ZEROS = (0.0,) * 4
