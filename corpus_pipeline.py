@@ -24,7 +24,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that nearly repeat an earlier one go, and documents of which nothing else took part."""
+    """Lines that nearly repeat an earlier one go, and documents of which only blank text is left."""
     small_batches(spark)
     others = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
     rows = line_dedup.dedup_lines(docs, carried=["doc_id", "text", *others])
@@ -34,7 +34,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         "text": F.when(removed == 0, F.col("carried.text")).otherwise(F.col("kept")),
         "n_chars": F.length(F.coalesce("kept", F.lit(""))).cast("long"),
     } | {c: F.col(f"carried.{c}") for c in others}
-    left = rows.where((removed == 0) | (removed < F.col("n_joined")))
+    left = rows.where((removed == 0) | F.col("kept").rlike(r"(?U)\S"))
     return left.select(*[own[c].alias(c) for c in docs.columns])
 
 

@@ -84,6 +84,15 @@ def test_run(spark, folder):
     assert not {1, 3, 5, 8, 9, 0, 6} & {r.doc_id for r in rows.collect()}
 
 
+def test_documents_keep_the_short_lines_of_their_own(spark, folder):
+    head = "A heading that several documents have in common"
+    texts = [f"{head}\nroses are red", f"{head}\nviolets are blue\n", f"{head}\n \u3000\n\n", head, "", f"- eggs\n{head}x\n{head}"]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], COLUMNS)
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.drop_lines(spark, docs, folder).collect()}
+    want = {0: texts[0], 1: "violets are blue\n", 4: "", 5: "- eggs"}
+    assert got == {i: (t, len(t)) for i, t in want.items()}
+
+
 def test_repeated_rows_and_empty_table(spark, folder):
     docs = spark.createDataFrame([(1, "a b c d e f g", "en", "s", 3)] * 3 + [(None, None, None, None, None)] * 2, COLUMNS)
     for name, stage in corpus_pipeline.STAGES[:-1]:
