@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from termloom.llm import byte_bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from termloom.llm.catalog import RANKS, token_digests
-from termloom.llm.common import document_keys, small, small_batches, table
+from termloom.llm.common import IDENTITY, document_keys, small, small_batches, table
 from termloom.session import work_folder
 
 #: Contaminated documents whose keys are broadcast; more are joined by a shuffle.
@@ -43,9 +43,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     small_batches(spark)
     keys = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key")
     found = jaccard_join.jaccard_components(docs)
-    stay = found.where("stays").select(keys, "text_hash").distinct()
-    rows = document_keys(docs, docs.columns).select("key", "text_hash", "carried")
-    once = rows.join(stay, ["key", "text_hash"], "left_semi").dropDuplicates(["key", "text_hash"])
+    stay = found.where("stays").select(keys, "text_hash", "text_hash2").distinct()
+    rows = document_keys(docs, docs.columns).select(*IDENTITY, "carried")
+    once = rows.join(stay, IDENTITY, "left_semi").dropDuplicates(IDENTITY)
     return once.select("carried.*")
 
 
@@ -53,8 +53,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, whole or in pieces, go."""
     rows = document_keys(docs, docs.columns)
     hits = decontaminate.tiled_items(rows, table(spark, sf_dir, "benchmark"))
-    bad = hits.where(F.col("covered") >= decontaminate.COVERAGE * F.col("words")).select("key", "text_hash").distinct()
-    clean = rows.join(small(bad, BROADCAST_KEYS), ["key", "text_hash"], "left_anti")
+    bad = hits.where(F.col("covered") >= decontaminate.COVERAGE * F.col("words")).select(*IDENTITY).distinct()
+    clean = rows.join(small(bad, BROADCAST_KEYS), IDENTITY, "left_anti")
     return clean.select("carried.*")
 
 

@@ -45,18 +45,27 @@ def small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() <= most else rows
 
 
+#: The columns that tell documents apart.
+IDENTITY = ["key", "text_hash", "text_hash2"]
+
+
 def document_keys(docs: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
-    """``docs`` as (doc_id, key, text_hash, text), and the ``carried`` columns in a struct.
+    """``docs`` as (doc_id, key, text_hash, text_hash2, text), and the ``carried`` columns in a struct.
 
-    (key, text_hash) tells documents apart even where doc_id repeats or is
-    null; only whole repeated rows share it.  The hash has 32 bits: it need only
-    tell apart the few texts under one doc_id.
+    ``IDENTITY`` tells documents apart even where doc_id repeats or is null;
+    only rows that repeat both id and text share it.  The two hashes have 128
+    bits in all, and each covers the key too: any number of rows may have one
+    doc_id, and the hashes alone will do where no order by key is needed.
     """
+    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)))
+    text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
-        F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("key"),
-        F.hash(F.coalesce(F.col("text"), F.lit(""))).alias("text_hash"),
-        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        key.alias("key"),
+        F.xxhash64(key, text).alias("text_hash"),
+        # What comes first seeds the hash of what follows.
+        F.xxhash64(F.lit(1), key, text).alias("text_hash2"),
+        text.alias("text"),
         *([F.struct(*carried).alias("carried")] if carried else []),
     )
 

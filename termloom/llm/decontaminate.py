@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import document_keys, slices
+from termloom.llm.common import IDENTITY, document_keys, slices
 from termloom.llm.shingles import PUNCTUATION, mix, word_hashes
 
 #: Words that a tile has at least; items with fewer words need a tile of their length.
@@ -139,11 +139,11 @@ def seed_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-_HIT = "key long, text_hash int, item_id long, covered long, words long"
+_HIT = "key long, text_hash long, text_hash2 long, item_id long, covered long, words long"
 
 
 def tiled_items(docs: DataFrame, items: DataFrame, least: int = LEAST_MATCH) -> DataFrame:
-    """(key, text_hash, item_id, covered, words) of each text and item that share a seed.
+    """(key, text_hash, text_hash2, item_id, covered, words) of each text and item that share a seed.
 
     ``docs`` as by :func:`document_keys`.  Items (item_id, text) are searched in
     passes of about ``PASS_WORDS`` words, each of which reads all texts once.
@@ -166,20 +166,20 @@ def tiled_items(docs: DataFrame, items: DataFrame, least: int = LEAST_MATCH) ->
                     words, counts = word_hashes([t.encode() for t in some.column("text").to_pylist()], PUNCTUATION)
                     ends = np.cumsum(counts)
                     out = {n.split()[0]: [] for n in _HIT.split(", ")}
-                    keys = zip(some.column("key").to_pylist(), some.column("text_hash").to_pylist(), ends - counts, ends)
-                    for key, text_hash, start, end in keys:
+                    keys = zip(*(some.column(c).to_pylist() for c in IDENTITY), ends - counts, ends)
+                    for *own, start, end in keys:
                         for row in tests.covered(words[start:end]):
-                            for n, v in zip(out, (key, text_hash, *row)):
+                            for n, v in zip(out, (*own, *row)):
                                 out[n].append(v)
-                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int32() if n == "text_hash" else pa.int64()) for n, v in out.items()], list(out))
+                    yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in out.values()], list(out))
 
-        hits = docs.select("key", "text_hash", "text").mapInArrow(run, _HIT)
+        hits = docs.select(*IDENTITY, "text").mapInArrow(run, _HIT)
         found = hits if found is None else found.union(hits)
     return found
 
 
 def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE, least: int = LEAST_MATCH) -> DataFrame:
-    """(doc_id, key, text_hash, contaminated, n_items, items, max_coverage) of each row of ``docs``.
+    """(doc_id, key, text_hash, text_hash2, contaminated, n_items, items, max_coverage) of each row of ``docs``.
 
     ``items`` lists the ids (ascending) of test items of whose words tiles cover
     ``coverage`` or more, ``max_coverage`` is the largest share of any item that
@@ -190,19 +190,18 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     share = F.col("covered") / F.col("words")
     per_text = (
         tiled_items(docs, items, least)
-        .select("key", "text_hash", "item_id", share.alias("share"))
-        .groupBy("key", "text_hash")
+        .select(*IDENTITY, "item_id", share.alias("share"))
+        .groupBy(*IDENTITY)
         .agg(
             F.sort_array(F.collect_set(F.when(F.col("share") >= coverage, F.col("item_id")))).alias("items"),
             F.max("share").alias("max_coverage"),
         )
     )
-    rows = docs.select("doc_id", "key", "text_hash").join(per_text, ["key", "text_hash"], "left")
+    rows = docs.select("doc_id", *IDENTITY).join(per_text, IDENTITY, "left")
     items = F.coalesce("items", F.array().cast("array<long>"))
     return rows.select(
         "doc_id",
-        "key",
-        "text_hash",
+        *IDENTITY,
         (F.size(items) > 0).alias("contaminated"),
         F.size(items).cast("long").alias("n_items"),
         items.alias("items"),

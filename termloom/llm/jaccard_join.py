@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import components, document_keys, slices, small, written
+from termloom.llm.common import IDENTITY, components, document_keys, slices, small, written
 from termloom.llm.shingles import shingle_sets
 
 THRESHOLD = 75
@@ -77,13 +77,13 @@ def _tally(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(docs, return_counts=True)
 
 
-_FILTER = "part int, h binary, docs binary, doc_id long, text_hash int, size long, sig1 long, sig2 long, sig long, shared long"
+_FILTER = "part int, h binary, docs binary, doc_id long, text_hash long, text_hash2 long, size long, sig1 long, sig2 long, sig long, shared long"
 
 
 def _filter_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
     """Rows to exchange: prefixes by hash range, counts known already, and one row a document."""
     names = [c.split()[0] for c in _FILTER.split(", ")]
-    types = [pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int32(), *[pa.int64()] * 5]
+    types = [pa.int32(), pa.binary(), pa.binary(), *[pa.int64()] * 8]
 
     def rows(**columns) -> pa.RecordBatch:
         n = len(next(iter(columns.values())))
@@ -125,7 +125,7 @@ def _filter_rows(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.
             sig1, sig2 = np.array(sig, np.uint64).view(np.int64).T
             # Dealt in turn: copies have one signature, and may be very many.
             turn += len(sets)
-            yield rows(part=np.arange(turn - len(sets), turn) % ranges, doc_id=some.column("doc_id"), text_hash=some.column("text_hash"), size=size, sig1=sig1, sig2=sig2)
+            yield rows(part=np.arange(turn - len(sets), turn) % ranges, doc_id=some.column("doc_id"), text_hash=some.column("text_hash"), text_hash2=some.column("text_hash2"), size=size, sig1=sig1, sig2=sig2)
             for s, own, pair, cut in zip(sets, sig1, sig, filter_prefix(size)):
                 if len(s) and pair not in met:
                     met.add(pair)
@@ -162,15 +162,21 @@ def _filter_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def document_sets(docs: DataFrame, ranges: int) -> DataFrame:
-    """One row a document (doc_id, text_hash, size, sig1, sig2), and rows (sig, shared) for the filter.
+    """One row a document (doc_id, text_hash, text_hash2, size, sig1, sig2), and rows (sig, shared) for the filter.
 
     ``sig1`` and ``sig2`` are two hashes of the whole shingle set.
     """
-    rows = docs.select("doc_id", "text_hash", "text").mapInArrow(lambda b: _filter_rows(b, ranges), _FILTER)
+    rows = docs.select("doc_id", "text_hash", "text_hash2", "text").mapInArrow(lambda b: _filter_rows(b, ranges), _FILTER)
     kept = _FILTER.partition("docs binary, ")[2]
     return written(rows.repartition(ranges, "part").mapInArrow(_filter_counts, kept))
 
 
+def _texts_of(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """(sig1, sig2, text) of each document in ``reps``: one row, and one more for each repeat of its row."""
+    wanted = small(reps.select(*IDENTITY, "sig1", "sig2"), BROADCAST_CLASSES)
+    return docs.select(*IDENTITY, "text").join(wanted, IDENTITY).select("sig1", "sig2", "text")
+
+
 def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """(cls, size, sig1, sig2, shingles) of each class in ``reps``; cls is a number given once.
 
@@ -194,9 +200,7 @@ def _candidate_sets(docs: DataFrame, reps: DataFrame) -> DataFrame:
                     {"size": pa.array([len(sets[i]) for i in keep], pa.int64()), "sig1": signs[:, 0], "sig2": signs[:, 1], "shingles": pa.array([sets[i].tobytes() for i in keep], pa.binary())}
                 )
 
-    wanted = small(reps.select("key", "sig1", "sig2"), BROADCAST_CLASSES)
-    found = docs.select("key", "text").join(wanted, "key").select("sig1", "sig2", "text")
-    sets = found.mapInArrow(run, "size long, sig1 long, sig2 long, shingles binary")
+    sets = _texts_of(docs, reps).mapInArrow(run, "size long, sig1 long, sig2 long, shingles binary")
     return written(sets.select(F.monotonically_increasing_id().alias("cls"), "size", "sig1", "sig2", "shingles"))
 
 
@@ -510,7 +514,7 @@ def class_links(sets: DataFrame, ranges: int, block: int = BLOCK) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, ranges: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(doc_id, text_hash, n_shingles, component_id, stays) of each row of ``docs`` (doc_id, text).
+    """(doc_id, text_hash, text_hash2, n_shingles, component_id, stays) of each row of ``docs`` (doc_id, text).
 
     component_id is the smallest doc_id that links reach; ``stays`` marks the
     document to keep of each component: that of least doc_id.  Null texts are
@@ -522,13 +526,13 @@ def jaccard_components(docs: DataFrame, ranges: int | None = None, block: int =
     docs = document_keys(docs)
     rows = document_sets(docs, ranges)
     key = F.coalesce("doc_id", F.lit(-(2**63)))
-    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), key.alias("key"), "text_hash")
-    per_doc = rows.where("sig1 IS NOT NULL").select("doc_id", "text_hash", "size", "sig1", "sig2", own.alias("own"))
+    own = F.struct(F.col("doc_id").isNull().alias("unnamed"), key.alias("key"), "text_hash", "text_hash2")
+    per_doc = rows.where("sig1 IS NOT NULL").select("doc_id", "text_hash", "text_hash2", "size", "sig1", "sig2", own.alias("own"))
     counts = rows.where("sig IS NOT NULL").groupBy(F.col("sig").alias("sig1")).agg(F.sum("shared").alias("shared"))
     classes = per_doc.where("size > 0").groupBy("sig1", "sig2", "size").agg(F.min("own").alias("least"))
     # What a partner of the least possible size shares within both prefixes.
     need = F.floor(F.ceil(F.col("size") * THRESHOLD / 100) / SPARE) + 1
-    reps = classes.join(counts, "sig1").where(F.col("shared") >= need).select(F.col("least.key").alias("key"), "sig1", "sig2")
+    reps = classes.join(counts, "sig1").where(F.col("shared") >= need).select(*[F.col(f"least.{c}").alias(c) for c in IDENTITY], "sig1", "sig2")
     sets = _candidate_sets(docs, reps)
     grouped = components(class_links(sets, ranges, block)).withColumnRenamed("node", "cls")
     named = written(classes.join(sets.select("cls", "sig1", "sig2").join(grouped, "cls"), ["sig1", "sig2"]))
@@ -541,6 +545,7 @@ def jaccard_components(docs: DataFrame, ranges: int | None = None, block: int =
     return per_doc.join(per_class, ["sig1", "sig2"], "left").select(
         "doc_id",
         "text_hash",
+        "text_hash2",
         F.col("size").alias("n_shingles"),
         F.when(empty, F.col("doc_id")).otherwise(root_id).alias("component_id"),
         (empty | (F.col("own") == F.col("root"))).alias("stays"),

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from termloom.llm.common import components, document_keys, slices, small, written
+from termloom.llm.common import IDENTITY, components, document_keys, slices, small, written
 from termloom.llm.shingles import mix
 
 EDITS = 2
@@ -148,8 +148,8 @@ class _Substrings:
         return mix((self.sums[start + size] - self.sums[start]) * self.inverse[start] + salt.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
 
 
-_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int32(), "line": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "probe": pa.int64(), "ref": pa.int64(), "role": pa.int64()}
-_SENT_SCHEMA = "part int, blob binary, key long, text_hash int, line long, h1 long, h2 long, probe long, ref long, role long"
+_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int64(), "text_hash2": pa.int64(), "line": pa.int64(), "h1": pa.int64(), "h2": pa.int64(), "probe": pa.int64(), "ref": pa.int64(), "role": pa.int64()}
+_SENT_SCHEMA = "part int, blob binary, key long, text_hash long, text_hash2 long, line long, h1 long, h2 long, probe long, ref long, role long"
 _ENTRY = np.dtype([("probe", "u8"), ("ref", "u8")])
 
 
@@ -235,8 +235,7 @@ def _send_lines(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.R
                 _SENT,
                 # Dealt in turn: copies of a line may be very many.
                 part=np.arange(turn - len(start), turn) % ranges,
-                key=some.column("key").take(pa.array(text_of)),
-                text_hash=some.column("text_hash").take(pa.array(text_of)),
+                **{c: some.column(c).take(pa.array(text_of)) for c in IDENTITY},
                 line=number,
                 h1=np.ascontiguousarray(h1).view("i8"),
                 h2=np.ascontiguousarray(h2).view("i8"),
@@ -325,18 +324,18 @@ def line_links(met: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "key", "text_hash", "n_lines", "n_joined", "removed", "kept"]
+    names = ["doc_id", *IDENTITY, "n_lines", "n_joined", "removed", "kept"]
     removed_type = pa.list_(pa.struct([("line", pa.int64()), ("first_doc_id", pa.int64()), ("first_line", pa.int64())]))
-    types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), removed_type, pa.string()]
+    types = [*[pa.int64()] * 6, removed_type, pa.string()]
     for batch in batches:
         for some in slices(batch, "text"):
             out = {n: [] for n in names}
-            for doc_id, key, text_hash, text, gone in zip(*(some.column(c).to_pylist() for c in ("doc_id", "key", "text_hash", "text", "gone"))):
+            for *own, text, gone in zip(*(some.column(c).to_pylist() for c in ("doc_id", *IDENTITY, "text", "gone"))):
                 lines = text.split("\n") if text else []
                 gone = sorted(gone or [], key=lambda g: g["line"])
                 numbers = {g["line"] for g in gone}
                 kept = "\n".join(line for i, line in enumerate(lines) if i not in numbers)
-                for n, v in zip(names, (doc_id, key, text_hash, len(lines), sum(map(_takes_part, lines)), gone, kept)):
+                for n, v in zip(names, (*own, len(lines), sum(map(_takes_part, lines)), gone, kept)):
                     out[n].append(v)
             carried = [n for n in some.schema.names if n == "carried"]
             columns = [*(pa.array(out[n], t) for n, t in zip(names, types)), *map(some.column, carried)]
@@ -346,7 +345,7 @@ def _keep_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def dedup_lines(docs: DataFrame, ranges: int | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """Each row of ``docs`` (doc_id, text) without lines that nearly repeat an earlier one.
 
-    Returns (doc_id, key, text_hash, n_lines, n_joined, removed, kept): how many
+    Returns (doc_id, key, text_hash, text_hash2, n_lines, n_joined, removed, kept): how many
     lines the text has and how many take part (``LEAST_CHARACTERS`` or more, not
     blank), the removed ones with the first line of their class, and the rest.
     A class is all lines that links of at most ``EDITS`` edits reach; its first
@@ -356,21 +355,21 @@ def dedup_lines(docs: DataFrame, ranges: int | None = None, carried: Sequence[st
     """
     ranges = ranges or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = document_keys(docs, carried)
-    sent = docs.select("key", "text_hash", "text").mapInArrow(lambda b: _send_lines(b, ranges), _SENT_SCHEMA)
+    sent = docs.select(*IDENTITY, "text").mapInArrow(lambda b: _send_lines(b, ranges), _SENT_SCHEMA)
     rows = written(sent.repartition(ranges, "part").mapInArrow(_meet_lines, _SENT_SCHEMA.partition("blob binary, ")[2]))
-    lines = rows.where("h1 IS NOT NULL").select("key", "text_hash", "line", "h1", "h2")
+    lines = rows.where("h1 IS NOT NULL").select(*IDENTITY, "line", "h1", "h2")
     met = rows.where("probe IS NOT NULL").select("probe", "ref", "role").distinct()
-    place = F.struct("key", "text_hash", "line")
+    place = F.struct(*IDENTITY, "line")
     distinct = lines.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     wanted = met.select("ref").distinct()
     reference = F.shiftrightunsigned("h1", 1).alias("ref")
     near = written(
         distinct.select("h1", "h2", "first", reference).join(wanted, "ref").select(F.monotonically_increasing_id().alias("node"), "ref", "h1", "h2", "first")
     )
-    by_text = near.groupBy(F.col("first.key").alias("key"), F.col("first.text_hash").alias("text_hash")).agg(
+    by_text = near.groupBy(*[F.col(f"first.{c}").alias(c) for c in IDENTITY]).agg(
         F.collect_list(F.struct("node", "ref", F.col("first.line").alias("line"))).alias("wanted")
     )
-    cut = docs.join(by_text, ["key", "text_hash"]).select("text", "wanted").mapInArrow(_cut_lines, "node long, ref long, text string")
+    cut = docs.join(by_text, IDENTITY).select("text", "wanted").mapInArrow(_cut_lines, "node long, ref long, text string")
     texts = written(cut.dropDuplicates(["node"]))
     classes = written(components(line_links(met, texts)).join(near, "node").select("component", "h1", "h2", "first"))
     firsts = classes.groupBy("component").agg(F.min("first").alias("class_first"))
@@ -384,12 +383,12 @@ def dedup_lines(docs: DataFrame, ranges: int | None = None, carried: Sequence[st
     repeated = small(repeated, BROADCAST_LINES)
     gone = lines.join(repeated, ["h1", "h2"]).where(place != F.col("keep"))
     source = F.when(F.col("keep.key") != -(2**63), F.col("keep.key"))
-    per_text = gone.groupBy("key", "text_hash").agg(
+    per_text = gone.groupBy(*IDENTITY).agg(
         F.collect_set(F.struct("line", source.alias("first_doc_id"), F.col("keep.line").alias("first_line"))).alias("gone")
     )
     extra = ["carried"] if carried else []
-    found = docs.join(per_text, ["key", "text_hash"], "left").select("doc_id", "key", "text_hash", "text", "gone", *extra)
-    schema = "doc_id long, key long, text_hash int, n_lines long, n_joined long, removed array<struct<line: long, first_doc_id: long, first_line: long>>, kept string"
+    found = docs.join(per_text, IDENTITY, "left").select("doc_id", *IDENTITY, "text", "gone", *extra)
+    schema = "doc_id long, key long, text_hash long, text_hash2 long, n_lines long, n_joined long, removed array<struct<line: long, first_doc_id: long, first_line: long>>, kept string"
     if carried:
         schema += f", carried {docs.schema['carried'].dataType.simpleString()}"
     return found.mapInArrow(_keep_lines, schema)

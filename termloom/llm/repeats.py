@@ -100,9 +100,9 @@ def text_anchors(text: bytes) -> Iterator[tuple[np.ndarray, ...]]:
         yield start + at, strings, anchor, content
 
 
-_FOUND = "part int, blob binary, key long, text_hash int, anchor long, content long, start int, strings short"
-_ENTRY = np.dtype([("anchor", "u8"), ("content", "u8"), ("key", "i8"), ("text_hash", "i4"), ("start", "i4"), ("strings", "i2")])
-_COLUMNS = [n for n in ("key", "text_hash", "anchor", "content", "start", "strings")]
+_FOUND = "part int, blob binary, text_hash long, text_hash2 long, anchor long, content long, start int, strings short"
+_ENTRY = np.dtype([("anchor", "u8"), ("content", "u8"), ("text_hash", "i8"), ("text_hash2", "i8"), ("start", "i4"), ("strings", "i2")])
+_COLUMNS = [n for n in ("text_hash", "text_hash2", "anchor", "content", "start", "strings")]
 
 
 def _rows(entries: np.ndarray, schema: dict[str, pa.DataType]) -> pa.RecordBatch:
@@ -116,7 +116,7 @@ def _rows(entries: np.ndarray, schema: dict[str, pa.DataType]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays(columns, list(schema))
 
 
-_SENT = {"part": pa.int32(), "blob": pa.binary(), "key": pa.int64(), "text_hash": pa.int32(), "anchor": pa.int64(), "content": pa.int64(), "start": pa.int32(), "strings": pa.int16()}
+_SENT = {"part": pa.int32(), "blob": pa.binary(), "text_hash": pa.int64(), "text_hash2": pa.int64(), "anchor": pa.int64(), "content": pa.int64(), "start": pa.int32(), "strings": pa.int16()}
 
 
 def _send_anchors(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.RecordBatch]:
@@ -153,10 +153,10 @@ def _send_anchors(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa
 
     for batch in batches:
         for some in slices(batch, "text"):
-            for text, key, text_hash in zip(*(some.column(c).to_pylist() for c in ("text", "key", "text_hash"))):
+            for text, text_hash, text_hash2 in zip(*(some.column(c).to_pylist() for c in ("text", "text_hash", "text_hash2"))):
                 for start, strings, anchor, content in text_anchors(text.encode()):
                     entries = np.empty(len(start), _ENTRY)
-                    entries["key"], entries["text_hash"] = key, text_hash
+                    entries["text_hash"], entries["text_hash2"] = text_hash, text_hash2
                     entries["start"], entries["strings"], entries["anchor"], entries["content"] = start, strings, anchor, content
                     waiting.append(entries)
                     count += len(entries)
@@ -186,8 +186,8 @@ def _meet_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def repeated_anchors(docs: DataFrame, ranges: int) -> DataFrame:
-    """(key, text_hash, anchor, content, start, strings) of segments whose anchor is not unique."""
-    rows = docs.select("key", "text_hash", "text").mapInArrow(lambda b: _send_anchors(b, ranges), _FOUND)
+    """(text_hash, text_hash2, anchor, content, start, strings) of segments whose anchor is not unique."""
+    rows = docs.select("text_hash", "text_hash2", "text").mapInArrow(lambda b: _send_anchors(b, ranges), _FOUND)
     return written(rows.repartition(ranges, "part").mapInArrow(_meet_anchors, _FOUND.partition("blob binary, ")[2]))
 
 
@@ -428,7 +428,7 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     ranges = ranges or max(8, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     docs = document_keys(docs)
     found = repeated_anchors(docs, ranges)
-    place = F.min(F.struct("key", "text_hash", "start", "strings"))
+    place = F.min(F.struct("text_hash", "text_hash2", "start", "strings"))
     distinct = written(
         found.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("weight"), place.alias("at")).select("anchor", "content", "weight", "at.*")
     )
@@ -437,8 +437,8 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     large = distinct.groupBy("anchor").agg(F.sum(size).alias("bytes")).where(F.col("bytes") > LARGE).select("anchor")
 
     def with_bytes(some: DataFrame, few: bool = False) -> DataFrame:
-        wanted = some.groupBy("key", "text_hash").agg(F.collect_list(F.struct("anchor", "content", "weight", "start", "strings")).alias("wanted"))
-        texts = docs.join(F.broadcast(wanted) if few else wanted, ["key", "text_hash"]).select("text", "wanted")
+        wanted = some.groupBy("text_hash", "text_hash2").agg(F.collect_list(F.struct("anchor", "content", "weight", "start", "strings")).alias("wanted"))
+        texts = docs.join(F.broadcast(wanted) if few else wanted, ["text_hash", "text_hash2"]).select("text", "wanted")
         return texts.mapInArrow(_cut_segments, "anchor long, content long, weight long, data binary")
 
     if large.isEmpty():
@@ -451,9 +451,9 @@ def remove_repeats(docs: DataFrame, ranges: int | None = None) -> DataFrame:
             _large_runs(written(with_bytes(frequent, few).dropDuplicates(["anchor", "content"])), WIDTHS)
         )
     spans = found.join(runs, ["anchor", "content"]).select(
-        "key", "text_hash", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")
+        "text_hash", "text_hash2", (F.col("start") + F.col("first")).alias("first"), (F.col("start") + F.col("last")).alias("last")
     )
-    per_text = spans.groupBy("key", "text_hash").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    rows = docs.join(per_text, ["key", "text_hash"], "left").select("doc_id", "text", "runs")
+    per_text = spans.groupBy("text_hash", "text_hash2").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    rows = docs.join(per_text, ["text_hash", "text_hash2"], "left").select("doc_id", "text", "runs")
     schema = "doc_id long, n_bytes long, n_removed long, spans array<struct<start: long, end: long>>, kept binary"
     return rows.mapInArrow(_apply_spans, schema)
