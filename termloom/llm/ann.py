@@ -3,6 +3,8 @@
 Vectors are dealt into blocks, each with its own hash tables.  A query visits
 its bucket and perturbed ones in the order of their estimated success, merges
 the candidates of all tables and ranks them by their exact inner product.
+A query that meets too few in a block is compared with all of it, and so is
+every query where no number of probes reaches the recall on the sample.
 """
 
 from __future__ import annotations
@@ -23,10 +25,15 @@ SAMPLE = 16_000
 TRIALS = 200
 TABLES = 8
 FUNCTIONS = 16
-#: Bucket width, in distances between a query and the last of its neighbours.
+#: Bucket width, in distances between a query and the last of its neighbours: the distance that
+#: this share of the trials outside groups of (near-)copies is within.
 WIDTH = 3.0
+WITHIN = 0.9
+#: Trials whose neighbours lie within this share of the norm, or of that distance, are in such groups.
+COPIES = 1e-3
+NEAR = 0.1
 #: Recall that the number of probes is chosen for, on the sample.
-TARGET = 0.94
+TARGET = 0.96
 MOST_PROBES = 8192
 
 
@@ -40,6 +47,7 @@ class Hashing:
     mixers: np.ndarray  # tables x functions, to one number a bucket
     probes: np.ndarray  # probes x places: which boundaries, from the nearest on, are crossed
     norm: float
+    exact: bool = False  # too little recall at all probes: all vectors are candidates
 
 
 def probe_order(functions: int, count: int) -> np.ndarray:
@@ -93,6 +101,8 @@ class Tables:
     def candidates(self, queries: np.ndarray) -> np.ndarray:
         """Which vectors (columns) each query (rows) meets in its probes."""
         h = self.hashing
+        if h.exact:
+            return np.ones((len(queries), len(self.vectors)), bool)
         seen = np.zeros((len(queries), len(self.vectors)), bool)
         points = np.c_[queries, np.zeros(len(queries))]
         for table, (keys, order) in enumerate(self.sorted):
@@ -115,7 +125,10 @@ class Tables:
 
 
 def fit(sample: np.ndarray, norm: float, neighbours: int, tables: int = TABLES, functions: int = FUNCTIONS, seed: int = 7) -> Hashing:
-    """Bucket width from the sample's neighbour distances, probes from its recall."""
+    """Bucket width from the sample's neighbour distances, probes from its recall.
+
+    Groups of copies, found whatever the width, count for neither.
+    """
     rng = np.random.default_rng(seed)
     dims = sample.shape[1] + 1
     trials = sample[:TRIALS]
@@ -124,12 +137,15 @@ def fit(sample: np.ndarray, norm: float, neighbours: int, tables: int = TABLES,
     k = min(neighbours, max(1, len(sample) - 1))
     top = np.argpartition(-products, k - 1, axis=1)[:, :k]
     reached = np.take_along_axis(products, top, 1).min(1)
-    reached = reached[np.isfinite(reached)]
-    near = np.median(np.sqrt(np.maximum((trials**2).sum(1).mean() + norm**2 - 2 * reached, 0))) if len(reached) else 1.0
+    reached[~np.isfinite(reached)] = 0
+    distance = np.sqrt(np.maximum((trials**2).sum(1) + norm**2 - 2 * reached, 0))
+    apart = distance[distance > COPIES * norm]
+    near = np.quantile(apart, WITHIN) if len(apart) else norm
+    far = distance > NEAR * near if len(apart) else np.ones(len(trials), bool)
     hashing = Hashing(
         rng.standard_normal((tables, functions, dims)),
         np.zeros((tables, functions)),
-        max(WIDTH * float(near), 1e-6 * norm),
+        WIDTH * float(near),
         rng.integers(1, 2**63, (tables, functions), np.int64).view(np.uint64) | np.uint64(1),
         np.zeros((1, 2 * functions), np.int64),
         norm,
@@ -139,14 +155,15 @@ def fit(sample: np.ndarray, norm: float, neighbours: int, tables: int = TABLES,
     index, count = Tables(hashing, sample), 32
     while True:
         hashing.probes = order[:count]
-        recall = np.take_along_axis(index.candidates(trials), top, 1).mean()
-        if recall >= TARGET or count >= len(order):
+        recall = np.take_along_axis(index.candidates(trials[far]), top[far], 1).mean()
+        hashing.exact = bool(recall < TARGET and count >= len(order))
+        if recall >= TARGET or hashing.exact:
             return hashing
         count += count // 4
 
 
 def _search(hashing: Hashing, neighbours: int, queries: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    """The nearest candidates of each query in one block."""
+    """The nearest candidates of each query in one block; of all of it where a query meets too few."""
     found = {"query_id": [], "vec_id": [], "score": []}
     if len(queries) and len(block):
         block = block.sort_values("vec_id")
@@ -158,6 +175,8 @@ def _search(hashing: Hashing, neighbours: int, queries: pd.DataFrame, block: pd.
         for at in range(0, len(asked), 128):
             for i, seen in enumerate(tables.candidates(asked[at : at + 128]), at):
                 near = np.flatnonzero(seen & (ids != names[i]))
+                if len(near) < neighbours:
+                    near = np.flatnonzero(ids != names[i])
                 # Summed row by row, so that equal vectors have equal scores.
                 scores = (vectors[near] * asked[i]).sum(1)
                 best = np.lexsort((ids[near], -scores))[:neighbours] if len(near) <= 4 * neighbours else _best(scores, neighbours)

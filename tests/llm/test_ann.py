@@ -48,6 +48,47 @@ def test_odd_rows_and_ties(spark):
     assert got == {0: [(1, 1, 1.0), (2, 2, 1.0), (3, 3, 1.0), (4, 5, 0.0)]}
 
 
+def exact(vectors, k=20):
+    out = {}
+    for q in range(0, len(vectors), 20):
+        scores = np.where(np.arange(len(vectors)) == q, -np.inf, vectors @ vectors[q])
+        out[q] = np.argsort(-scores, kind="stable")[: min(k, len(vectors) - 1)].tolist()
+    return out
+
+
+def copied(n: int = 800, dims: int = 24) -> np.ndarray:
+    """Unit vectors, three in five of which lie in three groups of near-copies."""
+    rng = np.random.default_rng(3)
+    vectors = rng.standard_normal((n, dims))
+    group = np.flatnonzero(rng.random(n) < 0.6)
+    vectors[group] = rng.standard_normal((3, dims))[group % 3] + 1e-9 * rng.standard_normal((len(group), dims))
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+
+def test_copies_do_not_hide_the_neighbours_of_others(spark):
+    vectors = copied()
+    want = exact(vectors)
+    got = found(frame(spark, range(len(vectors)), vectors))
+    assert {len(r) for r in got.values()} == {20}
+    others = [q for q in want if vectors[want[q][-1]] @ vectors[q] < 0.99]
+    assert len(others) > 5
+    assert np.mean([len({v for _, v, _ in got[q]} & set(want[q])) / 20 for q in others]) >= 0.9
+
+
+def test_small_tables_are_searched_whole(spark):
+    for n in (2, 12, 21):
+        vectors = np.random.default_rng(n).standard_normal((n, 32))
+        assert {q: [v for _, v, _ in r] for q, r in found(frame(spark, range(n), vectors)).items()} == exact(vectors)
+
+
+def test_all_are_candidates_where_probes_do_not_reach_the_recall(monkeypatch):
+    monkeypatch.setattr(ann, "MOST_PROBES", 2)
+    monkeypatch.setattr(ann, "WIDTH", 0.05)
+    vectors = clustered(500)
+    hashing = ann.fit(vectors, float(np.linalg.norm(vectors, axis=1).max()), 20)
+    assert hashing.exact and ann.Tables(hashing, vectors).candidates(vectors[:7]).all()
+
+
 def test_tables_without_vectors(spark):
     rows = frame(spark, [0, 20], [[1.0], None])
     assert found(rows) == {} and found(rows.limit(0)) == {}
