@@ -9,7 +9,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from termloom.llm import ann, byte_bpe, decontaminate, jaccard_join, line_dedup, repeats, secret_scan, toxicity, url_filter, warc
+from termloom.llm import (
+    ann,
+    byte_bpe,
+    decontaminate,
+    jaccard_join,
+    line_dedup,
+    periodic_runs,
+    repeats,
+    secret_scan,
+    toxicity,
+    url_filter,
+    warc,
+)
 from termloom.llm.common import table
 from termloom.session import work_folder
 
@@ -135,6 +147,40 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("doc_id", "n_shingles", "component_id")
 
 
+def _with_repetition(docs: DataFrame) -> DataFrame:
+    """Documents of which a tenth, by the hash of doc_id, repeat some of their words to the end."""
+    words = F.regexp_extract_all("text", F.lit(r"([^\x20\x09-\x0D]+)"))
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    parts = docs.select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), F.floor(h / 10).alias("g"))
+    n = F.size("words")
+    sized = parts.select("*", n.alias("n"), F.when(n > 0, F.col("g") % n).cast("int").alias("a"))
+    left = F.col("n") - F.col("a")
+    p = (1 + F.floor(left / (3 + F.col("g") % 8))).cast("int")
+    times = F.ceil(left / p).cast("int")
+    again = F.slice(F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, p), times)), F.lit(1), left)
+    text = F.array_join(F.concat(F.slice("words", F.lit(1), F.col("a")), again), " ")
+    return sized.select("doc_id", F.when(F.col("n") > 0, text).otherwise(F.col("text")).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Runs of words that repeat with a fixed period, and the texts without the repetitions."""
+    rows = periodic_runs.find_runs(_with_repetition(table(spark, folder, "documents")))
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r.length, -r.start, -r.period)))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r.start, r.length, r.period), F.lit("\n")))
+    picked = rows.select("*", longest.alias("longest"), F.array_join(lines, "").alias("lines"))
+    length, period = F.col("longest.length"), -F.col("longest.col3")
+    return picked.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("longest.col2")).alias("start"),
+        length.alias("length"),
+        period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(F.col("lines").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -146,6 +192,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
+    "op11_periodic_runs": op11_periodic_runs,
 }
 
 #: SQL for the queries that it can express; the others are tested by brute force.
