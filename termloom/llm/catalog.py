@@ -18,6 +18,7 @@ from termloom.llm import (
     periodic_runs,
     repeats,
     secret_scan,
+    source_divergence,
     toxicity,
     url_filter,
     warc,
@@ -181,6 +182,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    """Divergence of every source from each other one of its language, and the terms that mark it."""
+    return source_divergence.audit(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_byte_bpe": op2_byte_bpe,
@@ -193,6 +199,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
 
 #: SQL for the queries that it can express; the others are tested by brute force.
@@ -307,4 +314,41 @@ ORACLES: dict[str, str] = {
             CASE WHEN n >= 1000 AND page_id <> main THEN main END AS refers_to
         FROM g
     """,
+    "op13_source_divergence": r"""
+        WITH d AS (
+            SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS row, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+            FROM documents
+        ), t AS (
+            SELECT lang, source, row, unnest(terms) AS term FROM d
+        ), k AS (
+            SELECT lang, term, count(*) AS lang_n FROM t GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+        ), c AS (
+            SELECT lang, source, term, count(*) AS n FROM t SEMI JOIN k USING (lang, term) GROUP BY lang, source, term
+        ), l AS (
+            SELECT lang, count(*) AS v, sum(lang_n) AS total FROM k GROUP BY lang
+        ), g AS (
+            SELECT lang, source, coalesce(any_value(total), 0) AS total
+            FROM d LEFT JOIN (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source) USING (lang, source)
+            GROUP BY lang, source
+        ), p AS (
+            SELECT g.lang, g.source, k.term, c.n, 1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS p,
+                1 + (1000000000::HUGEINT * (k.lang_n + 1)) // (l.total + l.v) AS q
+            FROM g JOIN l ON g.lang = l.lang JOIN k ON g.lang = k.lang
+            LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+        ), sums AS (
+            SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+            FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+        ), found AS (
+            SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0)::BIGINT AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+            UNION ALL
+            SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE n > 0 AND p > q
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM found
+        )
+        SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 200
+    """,
 }
