@@ -13,6 +13,7 @@ from termloom.llm import (
     ann,
     byte_bpe,
     decontaminate,
+    html_text,
     jaccard_join,
     line_dedup,
     periodic_runs,
@@ -182,6 +183,11 @@ def op11_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_html_text(spark: SparkSession, folder: str) -> DataFrame:
+    """The main text of every page, by a tree learnt from the package's labelled table."""
+    return html_text.extract(table(spark, folder, "pages"), html_text.train())
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     """Divergence of every source from each other one of its language, and the terms that mark it."""
     return source_divergence.audit(table(spark, folder, "documents"))
@@ -199,6 +205,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_toxicity": op9_toxicity,
     "op10_jaccard_join": op10_jaccard_join,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_html_text": op12_html_text,
     "op13_source_divergence": op13_source_divergence,
 }
 
