@@ -87,7 +87,7 @@ def test_held_out_pages_of_the_table():
 
 def test_tree():
     rows = np.array([[0, 5], [0, 6], [1, 5], [1, 6], [0, 5], [1, 6.0]])
-    labels = np.array([0, 1, 1, 0, 0, 0], bool)
+    labels = np.array([0, 1, 0, 0, 0, 0], bool)
     tree = html_text.grow(np.repeat(rows, 4, 0), np.repeat(labels, 4))
     assert tree.predict(rows).tolist() == labels.tolist()
     assert not html_text.train([]).predict(np.zeros((2, 16))).any()
