@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,9 +15,9 @@ from termloom.operators.clauses import (
     TERM_KEY,
     CompiledRequests,
     clause_bit,
-    range_predicate,
 )
 from termloom.operators.postings import with_field_totals
+from termloom.operators.ranges import range_matches
 from termloom.operators.topk import top_k
 from termloom.schema import OVERFETCH, SCORE_DIGITS
 
@@ -25,8 +26,6 @@ from termloom.schema import OVERFETCH, SCORE_DIGITS
 BROADCAST_ROWS = 500_000
 BROADCAST_TEXT_BYTES = 64 * 1024 * 1024
 SALTS = 32
-RANGES_PER_SCAN = 64
-MOST_LITERAL_RANGES = 1_024
 
 
 def fits_broadcast(compiled: CompiledRequests) -> bool:
@@ -34,18 +33,20 @@ def fits_broadcast(compiled: CompiledRequests) -> bool:
     return profile.term_rows <= BROADCAST_ROWS and profile.text_bytes <= BROADCAST_TEXT_BYTES
 
 
-def join_queries(postings: DataFrame, queries: DataFrame, keys, small: bool) -> DataFrame:
-    """Join postings with query rows on (index_name, field, term).
+def join_queries(
+    postings: DataFrame, queries: DataFrame, keys, small: bool, on: Sequence[str] = TERM_KEY
+) -> DataFrame:
+    """Join postings with query rows, on (index_name, field, term) unless told otherwise.
 
     The large form spreads each term over ``SALTS`` groups by document key, as a
     frequent term may hold a large share of all postings.
     """
     if small:
-        return postings.join(F.broadcast(queries), list(TERM_KEY))
+        return postings.join(F.broadcast(queries), list(on))
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
     spread = postings.withColumn("salt", salt)
     copies = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [*TERM_KEY, "salt"]).drop("salt")
+    return spread.join(copies, [*on, "salt"]).drop("salt")
 
 
 def fan_out(postings: DataFrame, queries: DataFrame, keys, small: bool) -> DataFrame:
@@ -166,81 +167,15 @@ def _phrase_scores(compiled, postings, weights, keys, small) -> DataFrame:
     return matches.withColumn("score", score).select(*_contribution(keys))
 
 
-def _range_scores(compiled, corpus, small) -> DataFrame:
-    """Constant score per (query, document, clause, field) with a term in the range.
+def _range_scores(compiled, corpus) -> DataFrame:
+    """Constant score per (query, document, clause, field) with a term in the range."""
 
-    Distinct bounds become literal filters, a fixed number per pass over the
-    postings, so they reach the scan.  Very many ranges are joined instead.
-    """
-    bounds = ["field", "lower", "upper", "incl_lower", "incl_upper"]
-    distinct = compiled.ranges.select(*bounds).distinct().limit(MOST_LITERAL_RANGES + 1).collect()
-    keys = corpus.keys
-    if len(distinct) > MOST_LITERAL_RANGES:
-        return _joined_range_scores(compiled, corpus)
-    passes = []
-    for start in range(0, len(distinct), RANGES_PER_SCAN):
-        chunk = list(enumerate(distinct[start : start + RANGES_PER_SCAN], start))
-        tests = [
-            (n, (F.col("field") == row["field"]) & range_predicate(F.col("term"), row))
-            for n, row in chunk
-        ]
-        condition = reduce(lambda a, b: a | b, [test for _, test in tests])
-        found = corpus.postings_between(condition, sorted({row["field"] for row in distinct}))
-        labels = F.array_compact(F.array(*[F.when(test, F.lit(n)) for n, test in tests]))
-        passes.append(found.select("index_name", *keys, F.explode(labels).alias("range_id")))
-    spark = compiled.ranges.sparkSession
-    numbered = spark.createDataFrame(
-        [(n, *row) for n, row in enumerate(distinct)],
-        "range_id int, field string, lower string, upper string, "
-        "incl_lower boolean, incl_upper boolean",
-    )
-    same = [compiled.ranges[c].eqNullSafe(numbered[c]) for c in bounds]
-    queries = compiled.ranges.join(F.broadcast(numbered), reduce(lambda a, b: a & b, same)).select(
-        "qid", "index_name", "required", "clause_id", "occur", "boost", "range_id"
-    )
-    docs = reduce(DataFrame.unionByName, passes).distinct()
-    right = F.broadcast(queries) if small else queries
-    return docs.join(right, ["index_name", "range_id"]).withColumn("score", F.col("boost")).select(
-        *_contribution(keys)
-    )
+    def join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+        return join_queries(rows, table, corpus.keys, table.count() <= BROADCAST_ROWS, on)
 
-
-def _joined_range_scores(compiled, corpus) -> DataFrame:
-    """Ranges too many for literal filters, joined with the distinct terms.
-
-    A range meets a term only when it covers the term's first character, so the
-    join is on (index_name, field, first character); the terms that match then
-    join their postings, salted as other large query tables are.
-    """
-    keys, ranges = corpus.keys, compiled.ranges
-    postings = corpus.postings_between(
-        F.col("term") != DOC_MARKER, compiled.profile.fields
-    ).select("index_name", *keys, "field", "term")
-    words = postings.select(*TERM_KEY).distinct().withColumn("first", F.substring("term", 1, 1))
-    firsts = words.select("index_name", "field", "first").distinct()
-    edges = (
-        F.col("lower").isNull() | (F.col("first") >= F.substring("lower", 1, 1))
-    ) & (F.col("upper").isNull() | (F.col("first") <= F.substring("upper", 1, 1)))
-    covered = ranges.join(firsts, ["index_name", "field"]).where(edges)
-    term_col = F.col("term")
-    inside = (
-        F.col("lower").isNull()
-        | (term_col > F.col("lower"))
-        | (F.col("incl_lower") & (term_col == F.col("lower")))
-    ) & (
-        F.col("upper").isNull()
-        | (term_col < F.col("upper"))
-        | (F.col("incl_upper") & (term_col == F.col("upper")))
-    )
-    matched = covered.join(words, ["index_name", "field", "first"]).where(inside)
-    queries = matched.select(
-        "qid", *TERM_KEY, "required", "clause_id", "occur", "boost"
-    )
-    found = join_queries(postings, queries, keys, small=False)
-    once = found.select(
-        "qid", *keys, "required", "clause_id", "occur", "field", "boost"
-    ).distinct()
-    return once.withColumn("score", F.col("boost")).select(*_contribution(keys))
+    columns = ["required", "clause_id", "occur", "boost"]
+    found = range_matches(compiled.ranges, corpus, join, columns)
+    return found.withColumn("score", F.col("boost")).select(*_contribution(corpus.keys))
 
 
 def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
@@ -257,7 +192,7 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
     if profile.any_phrase:
         parts.append(_phrase_scores(compiled, postings, weights, keys, small))
     if profile.any_range:
-        parts.append(_range_scores(compiled, corpus, small))
+        parts.append(_range_scores(compiled, corpus))
     contributions = reduce(DataFrame.unionByName, parts)
 
     doc = ["qid", *keys]

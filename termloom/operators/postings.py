@@ -187,6 +187,10 @@ class ScanCorpus:
         """Postings (index_name, keys, field, term) whose field and term meet ``condition``."""
         return token_rows(self.documents, self.keys, fields).where(condition)
 
+    def terms_between(self, condition: Column, fields: Sequence[str]) -> DataFrame:
+        """Distinct (index_name, field, term) that meet ``condition``."""
+        return self.postings_between(condition, fields).select(*TERM_KEY).distinct()
+
     def fetch(self, hits: DataFrame, rows: int | None = None) -> DataFrame:
         """Join stored fields onto ranked hits."""
         return hits.join(self.documents, ["index_name", *self.keys])

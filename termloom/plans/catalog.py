@@ -247,6 +247,12 @@ def range_query(spark, folder):
     )
 
 
+def many_ranges(spark, folder):
+    """Documents that meet most ranges of terms, for thousands of ranges in one batch."""
+    found = search(_corpus(spark, folder), tables.benchmark_range_requests(spark, folder))
+    return found.select("qid", "rank", "id", "score")
+
+
 def set_query(spark, folder):
     return _scored(
         spark,
@@ -796,6 +802,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "field_term": field_term,
     "boosted": boosted,
     "term_range": range_query,
+    "term_ranges_many": many_ranges,
     "term_set": set_query,
     "match_all": all_query,
     "bm25_topk": bm25_topk,

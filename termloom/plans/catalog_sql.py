@@ -311,6 +311,20 @@ ORACLES: dict[str, str] = {
             ),
         ]
     ),
+    "term_ranges_many": _with(*corpus(), REQUESTS) + """, spans AS (
+      SELECT DISTINCT qid, unnest(words) AS w FROM request
+    ), vocabulary AS (
+      SELECT DISTINCT term FROM post WHERE field = 'body'
+    ), met AS (
+      SELECT DISTINCT qid, w, doc_key FROM spans
+      JOIN vocabulary ON term >= w AND term < w || 'm'
+      JOIN (SELECT doc_key, term FROM post WHERE field = 'body') USING (term)
+    ), scored AS (
+      SELECT qid, doc_key, CAST(count(*) AS DOUBLE) AS score FROM met GROUP BY ALL
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_key) AS rank FROM scored
+    )
+    SELECT qid, CAST(rank AS INTEGER) AS rank, CAST(doc_key AS VARCHAR) AS id, score FROM ranked WHERE rank <= 20""",
     "term_set": BASE
     + " UNION ALL ".join(
         [

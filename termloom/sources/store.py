@@ -392,6 +392,11 @@ class StoreCorpus:
         rows = self.visible("postings").where(F.col("field").isin(list(fields))).where(condition)
         return self._live(rows).select("index_name", *self.keys, "field", "term")
 
+    def terms_between(self, condition: Column, fields: Sequence[str]) -> DataFrame:
+        """Distinct (index_name, field, term) that meet ``condition``, those of deleted documents included."""
+        rows = self.visible("term_stats").where(F.col("field").isin(list(fields))).where(condition)
+        return rows.select(*TERM_KEY).distinct()
+
     def fetch(self, hits: DataFrame, rows: int | None = None) -> DataFrame:
         """Join stored fields onto ranked hits.
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from termloom.functions.text import analyze
+from termloom.schema import CLAUSE, CLAUSES
 
 
 def _read(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -73,6 +74,28 @@ def benchmark_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def benchmark_range_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per ``benchmark`` row: for each of its words, the body terms from it up to it and an "m"."""
+    raw = _read(spark, folder, "benchmark")
+
+    def clause(word):
+        values = {
+            "occur": F.lit("should"),
+            "kind": F.lit("range"),
+            "field": F.lit("body"),
+            "lower": word,
+            "upper": F.concat(word, F.lit("m")),
+            "incl_lower": F.lit(True),
+            "incl_upper": F.lit(False),
+            "slop": F.lit(0),
+            "boost": F.lit(1.0),
+        }
+        return F.struct(*(values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CLAUSE))
+
+    words = F.array_distinct(analyze("text"))
+    return raw.select(F.col("item_id").alias("qid"), F.transform(words, clause).cast(CLAUSES).alias("clauses"))
+
+
 def user_turn_requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request per user turn of ``conversations``."""
     raw = _read(spark, folder, "conversations").where(F.col("role") == "user")

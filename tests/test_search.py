@@ -239,7 +239,6 @@ def test_large_batch_paths_agree(spark, monkeypatch):
     assert scores(spark, corpus) == small
     monkeypatch.setattr(match_module, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(match_module, "SALTS", 3)
-    monkeypatch.setattr(match_module, "MOST_LITERAL_RANGES", 0)
     assert scores(spark, corpus) == small
 
 
