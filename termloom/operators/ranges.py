@@ -9,9 +9,9 @@ range costs as much as a narrow one, and no (range, term) pairs are formed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.clauses import DOC_MARKER, TERM_KEY
@@ -22,6 +22,13 @@ from termloom.session import scratch_table
 POINT = ("far", "bound", "side")
 NODE = ("level", "node")
 
+# Different ranges up to this count are brought to the driver to filter the scan,
+# by up to so many stretches of terms for each field.
+KNOWN_SPANS = 2_000
+LITERAL_SPANS = 32
+# Bounds up to this count become a search tree in an expression; more are sorted with the terms.
+LITERAL_BOUNDS = 256
+
 
 def _point(far: Column, bound: Column, side: Column, suffix: str = "") -> list[Column]:
     return [c.cast(t).alias(n + suffix) for n, c, t in zip(POINT, (far, bound, side), ("int", "string", "int"))]
@@ -42,25 +49,93 @@ def with_points(ranges: DataFrame) -> DataFrame:
     return ranges.select("*", *start, *end).where(first < last)
 
 
-def envelope(ranges: DataFrame) -> Column:
-    """A filter that all terms of any range pass, for the scan: the widest bounds of each field."""
+def _widest(ranges: DataFrame) -> list[Row]:
+    """(field, lower, upper) around all ranges of each field, null where one is open."""
     rows = ranges.groupBy("field").agg(
-        F.min("lower").alias("lower"),
-        F.max("upper").alias("upper"),
-        F.max(F.col("lower").isNull()).alias("from_start"),
-        F.max(F.col("upper").isNull()).alias("to_end"),
+        F.when(F.max(F.col("lower").isNull()), None).otherwise(F.min("lower")).alias("lower"),
+        F.when(F.max(F.col("upper").isNull()), None).otherwise(F.max("upper")).alias("upper"),
     )
+    return rows.collect()  # one row for each searchable field
+
+
+def merged(spans: Iterable[Row], most: int = LITERAL_SPANS) -> list[tuple[str, str | None, str | None]]:
+    """(field, lower, upper) of spans that touch, put together; neighbours too, until ``most`` are left to a field."""
+    out = []
+    for field in sorted({s["field"] for s in spans}):
+        own = sorted((((s["lower"] or "").encode(), s["upper"]) for s in spans if s["field"] == field), key=lambda x: x[0])
+        joined: list[list] = []
+        for lower, upper in own:
+            end = None if upper is None else upper.encode()
+            if joined and (joined[-1][1] is None or lower <= joined[-1][1]):
+                joined[-1][1] = None if end is None or joined[-1][1] is None else max(joined[-1][1], end)
+            else:
+                joined.append([lower, end])
+        size = -(-len(joined) // most)
+        for i in range(0, len(joined), size):
+            lower, upper = joined[i][0], joined[min(i + size, len(joined)) - 1][1]
+            out.append((field, lower.decode() or None, None if upper is None else upper.decode()))
+    return out
+
+
+def scan_filter(ranges: DataFrame) -> Column:
+    """A filter for the scan that all terms of any range pass, and few others.
+
+    Of up to ``KNOWN_SPANS`` different ranges it names the stretches that they
+    cover together; of more, only the widest bounds of each field.
+    """
+    spans = ranges.select("field", "lower", "upper").distinct().limit(KNOWN_SPANS + 1).collect()
+    if len(spans) > KNOWN_SPANS:
+        spans = _widest(ranges)
     condition = F.lit(False)
-    for row in rows.collect():  # one row for each searchable field
-        inside = (F.col("field") == row["field"]) & (F.col("term") != DOC_MARKER)
-        if not row["from_start"]:
-            inside &= F.col("term") >= row["lower"]
-        if not row["to_end"]:
-            inside &= F.col("term") <= row["upper"]
+    for field, lower, upper in merged(spans):
+        inside = (F.col("field") == field) & (F.col("term") != DOC_MARKER)
+        if lower is not None:
+            inside &= F.col("term") >= lower
+        if upper is not None:
+            inside &= F.col("term") <= upper
         condition |= inside
     return condition
 
 
+def _ends(ranges: DataFrame) -> DataFrame:
+    """Both ends of all ranges, and by how many ranges are open after each."""
+    ends = [
+        ranges.select("index_name", "field", *(F.col(n + s).alias(n) for n in POINT), F.lit(change).alias("change"))
+        for s, change in (("_1", 1), ("_2", -1))
+    ]
+    return ends[0].union(ends[1])
+
+
+def segment_of(bounds: Sequence[Row]) -> tuple[Column, list[int]]:
+    """The segment that a term lies in, as an expression that halves the bounds at each step.
+
+    Also the number of each bound in the order of all.
+    """
+    place = lambda i: (bounds[i]["index_name"], bounds[i]["field"])
+    order = sorted(range(len(bounds)), key=lambda i: (*place(i), bounds[i]["far"], bounds[i]["bound"].encode(), bounds[i]["side"]))
+    number = [0] * len(bounds)
+    for n, i in enumerate(order, 1):
+        number[i] = n
+
+    def passed(i: int) -> Column:
+        if bounds[i]["far"]:
+            return F.lit(False)
+        return F.col("term") >= bounds[i]["bound"] if bounds[i]["side"] == 0 else F.col("term") > bounds[i]["bound"]
+
+    def search(low: int, high: int) -> Column:
+        if low == high:
+            return F.lit(low).cast("long")
+        middle = (low + high) // 2
+        return F.when(passed(order[middle]), search(middle + 1, high)).otherwise(search(low, middle))
+
+    segment = F.lit(None).cast("long")
+    for index, field in sorted({place(i) for i in order}):
+        own = [n for n, i in enumerate(order) if place(i) == (index, field)]
+        here = (F.col("index_name") == index) & (F.col("field") == field)
+        segment = F.when(here, search(own[0], own[-1] + 1)).otherwise(segment)
+    return segment, number
+
+
 def sorted_marks(ranges: DataFrame, terms: DataFrame) -> DataFrame:
     """Bounds and terms in one order: (index_name, field, far, bound, side, segment).
 
@@ -69,11 +144,7 @@ def sorted_marks(ranges: DataFrame, terms: DataFrame) -> DataFrame:
     range partitioning; only one row for each of its partitions meets the others.
     """
     place = ["index_name", "field", *POINT]
-    ends = [
-        ranges.select("index_name", "field", *(F.col(n + s).alias(n) for n in POINT), F.lit(change).alias("change"))
-        for s, change in (("_1", 1), ("_2", -1))
-    ]
-    cuts = ends[0].union(ends[1]).groupBy(*place).agg(F.sum("change").alias("change"), F.lit(1).alias("cut"))
+    cuts = _ends(ranges).groupBy(*place).agg(F.sum("change").alias("change"), F.lit(1).alias("cut"))
     words = terms.select(
         "index_name", "field", *_point(F.lit(0), F.col("term"), F.lit(1)), F.lit(0).cast("long").alias("change"), F.lit(0).alias("cut")
     )
@@ -133,33 +204,48 @@ def range_nodes(ranges: DataFrame, marks: DataFrame) -> DataFrame:
     return covered.drop(*(n + s for n in POINT for s in ("_1", "_2")))
 
 
-def term_nodes(marks: DataFrame, nodes: DataFrame) -> DataFrame:
+def term_nodes(marks: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
     """(index_name, field, term, level, node) for the nodes of ranges that a term lies in."""
+    terms = marks.where(F.col("cut") == 0).select("index_name", "field", F.col("bound").alias("term"), "segment")
     used = nodes.select(*NODE).distinct()
-    levels = used.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
-    terms = marks.where(F.col("cut") == 0).select(
-        "index_name", "field", F.col("bound").alias("term"), "segment", F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
-    )
-    climbed = terms.withColumn("node", _shift("shiftright", F.col("segment"), F.col("level")))
-    return climbed.join(used, list(NODE), "left_semi").select(*TERM_KEY, *NODE)
+    return with_nodes(terms, levels).join(used, list(NODE), "left_semi").select(*TERM_KEY, *NODE)
+
+
+def with_nodes(rows: DataFrame, levels: int) -> DataFrame:
+    """``rows`` with one row for each node, up to level ``levels``, that holds their segment."""
+    climbed = rows.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels))))
+    return climbed.withColumn("node", _shift("shiftright", F.col("segment"), F.col("level"))).drop("segment")
 
 
 def range_matches(ranges: DataFrame, corpus, join, columns: Sequence[str]) -> DataFrame:
     """(qid, keys, *columns, field) of ``ranges``, once for each document and field with a term inside.
 
-    The corpus is asked for its distinct terms once and for postings once,
-    however many ranges there are.  ``join(rows, table, on)`` joins rows of
-    documents with a table of measured size.
+    However many ranges there are, the corpus is read for postings once, and
+    for its distinct terms once if the bounds are many.  ``join(rows, table, on)``
+    joins rows of documents with a table of measured size.
     """
     keys = list(corpus.keys)
     placed = with_points(ranges)
-    inside = envelope(placed)
+    inside = scan_filter(placed)
     fields = sorted({r["field"] for r in placed.select("field").distinct().collect()})
-    marks = sorted_marks(placed, corpus.terms_between(inside, fields))
-    nodes = scratch_table(range_nodes(placed, marks))
-    words = scratch_table(term_nodes(marks, nodes))
     postings = corpus.postings_between(inside, fields).select("index_name", *keys, "field", "term")
-    met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", *NODE).distinct()
-    asked = nodes.select("index_name", "field", *NODE, "qid", *columns)
-    found = join(met, asked, ["index_name", "field", *NODE])
+    place = ["index_name", "field", *POINT]
+    bounds = _ends(placed).select(*place).distinct()
+    few = bounds.limit(LITERAL_BOUNDS + 1).collect()
+    if len(few) <= LITERAL_BOUNDS:
+        segment, number = segment_of(few)
+        schema = bounds.withColumns({"segment": F.lit(0).cast("long"), "cut": F.lit(1)}).schema
+        marks = ranges.sparkSession.createDataFrame([(*row, n, 1) for row, n in zip(few, number)], schema)
+    else:
+        marks = sorted_marks(placed, corpus.terms_between(inside, fields))
+    nodes = scratch_table(range_nodes(placed, marks))
+    levels = nodes.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
+    at = ["index_name", "field", *NODE]
+    if len(few) <= LITERAL_BOUNDS:
+        parts = postings.select("index_name", *keys, "field", segment.alias("segment")).distinct()
+        met = with_nodes(parts, levels)
+    else:
+        words = scratch_table(term_nodes(marks, nodes, levels))
+        met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", *NODE).distinct()
+    found = join(met, nodes.select(*at, "qid", *columns), at)
     return found.select("qid", *keys, *columns, "field").distinct()

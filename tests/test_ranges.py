@@ -65,9 +65,10 @@ def found(spark, corpus, requests, number=None):
             for r in score_documents(corpus, compiled).collect()}
 
 
-@pytest.mark.parametrize("most", [500_000, 0])
-def test_ranges_equal_brute_force(spark, monkeypatch, most):
+@pytest.mark.parametrize("most,literal", [(500_000, 256), (500_000, 0), (0, 0)])
+def test_ranges_equal_brute_force(spark, monkeypatch, most, literal):
     monkeypatch.setattr(match_module, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(ranges_module, "LITERAL_BOUNDS", literal)
     rng = random.Random(most)
     rows = some_rows(rng, 60)
     requests = [[some_range(rng) for _ in range(rng.randint(1, 4))] for _ in range(60)]
@@ -95,7 +96,7 @@ def test_thousands_of_ranges_take_one_pass(spark):
     Counted.reads.clear()
     assert found(spark, corpus, requests) == expected(rows, requests)
     # The distinct terms are read from the postings of a scanned corpus.
-    assert Counted.reads == ["terms", "postings", "postings"]
+    assert sorted(Counted.reads) == ["postings", "postings", "terms"]
 
 
 def test_ranges_on_a_store(spark, tmp_path):
@@ -119,6 +120,14 @@ def test_a_wide_range_is_few_nodes(spark):
         assert len(row.nodes) <= 2 * (row.last - row.first + 1).bit_length()
 
 
+def test_spans_are_merged():
+    spans = [dict(field="a", lower=x, upper=y) for x, y in [("c", "d"), (None, "b"), ("b", "bb"), ("é", "f"), ("x", None), ("y", "z")]]
+    assert ranges_module.merged(spans) == [("a", None, "bb"), ("a", "c", "d"), ("a", "x", None)]
+    apart = [dict(field="a", lower=f"{i:03}", upper=f"{i:03}") for i in range(100)]
+    few = ranges_module.merged(apart, 7)
+    assert len(few) == 7 and few[0][1] == "000" and few[-1][2] == "099"
+
+
 def test_ranges_beside_other_clauses(spark):
     rows = [("a", "x", "p q"), ("b", "", "q r"), ("c", "", "s"), ("d", "", "")]
     batch = [
