@@ -17,8 +17,9 @@ def idf(n_docs: Column | str, df: Column | str) -> Column:
 
 
 def tf_weight(tf: Column | str, dl: Column | str, avgdl: Column | str) -> Column:
-    """(k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / avgdl))."""
+    """(k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / avgdl)); a field that is empty everywhere has length 0."""
     tf, dl, avgdl = (
         F.col(c).cast("double") if isinstance(c, str) else c.cast("double") for c in (tf, dl, avgdl)
     )
+    avgdl = F.when(avgdl > 0, avgdl).otherwise(F.lit(1.0))
     return F.lit(K1 + 1.0) * tf / (tf + F.lit(K1) * (F.lit(1.0 - B) + F.lit(B) * dl / avgdl))

@@ -28,6 +28,7 @@ from termloom.schema import (
     SEARCHABLE_FIELDS,
     STORED_ONLY_FIELDS,
 )
+from termloom.session import scratch_table
 
 OCCURS = ("should", "must", "must_not")
 KINDS = ("term", "phrase", "range", "set", "all")
@@ -441,6 +442,8 @@ def _compile_local(spark, rows: list[dict], heads: pa.Table) -> CompiledRequests
 
 
 def _compile_distributed(flat: DataFrame, heads: DataFrame) -> CompiledRequests:
+    # Many tables derive from the rows, and each would analyze the requests again.
+    flat = scratch_table(flat)
     profile = _checked(_profile(flat, heads))
     required = F.lit(0).cast("long")
     if profile.any_must:

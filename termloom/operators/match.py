@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators.blocks import block_scores
 from termloom.operators.bm25 import idf, tf_weight
 from termloom.operators.clauses import (
     DOC_MARKER,
@@ -17,15 +18,19 @@ from termloom.operators.clauses import (
     clause_bit,
 )
 from termloom.operators.postings import with_field_totals
+from termloom.operators.pruning import pruned_scores
 from termloom.operators.ranges import range_matches
 from termloom.operators.topk import top_k
 from termloom.schema import OVERFETCH, SCORE_DIGITS
+from termloom.session import scratch_table
 
 # A query-side table is broadcast only when the request profile shows that it
 # stays below these sizes; larger ones use a salted shuffle join.
 BROADCAST_ROWS = 500_000
 BROADCAST_TEXT_BYTES = 64 * 1024 * 1024
 SALTS = 32
+# From this many words in a batch on, each counted once for a field, requests are scored in blocks.
+BLOCK_TERMS = 15_000
 
 
 def fits_broadcast(compiled: CompiledRequests) -> bool:
@@ -63,14 +68,19 @@ def fan_out(postings: DataFrame, queries: DataFrame, keys, small: bool) -> DataF
     return joined.select(*postings.columns, F.inline("asks"))
 
 
+def valued_postings(postings: DataFrame, weights: DataFrame, keys, small: bool) -> DataFrame:
+    """(index_name, field, term, keys, worth): what a posting is worth to any query.
+
+    That does not depend on the query, so it is computed before the postings
+    fan out to the queries that ask for their term.
+    """
+    worth = idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")
+    return join_queries(postings, weights, keys, small).select(*TERM_KEY, *keys, worth.alias("worth"))
+
+
 def _term_scores(compiled, postings, weights, keys, small) -> DataFrame:
     """One row per (query, document, clause, field) with its BM25 or constant score."""
-    # What a posting is worth does not depend on the query, so it is computed
-    # before the postings fan out to the queries that ask for their term.
-    worth = idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")
-    valued = join_queries(postings, weights, keys, small).select(
-        *TERM_KEY, *keys, worth.alias("worth")
-    )
+    valued = valued_postings(postings, weights, keys, small)
     score = F.col("boost") * F.col("worth")
     terms = compiled.terms
     if compiled.profile.plain:
@@ -227,12 +237,46 @@ def _combine(contributions: DataFrame, doc: list[str], profile) -> DataFrame:
     )
 
 
-def keyword_pool(corpus, compiled: CompiledRequests, overfetch: int = OVERFETCH) -> DataFrame:
-    """The best ``overfetch * limit`` matches per query: (qid, index_name, keys, bm25, bm25_rank)."""
-    scored = score_documents(corpus, compiled).withColumnRenamed("score", "bm25")
+def best_scores(corpus, compiled: CompiledRequests, limits: DataFrame, overfetch: int, prune: bool) -> DataFrame:
+    """Scores (qid, keys, score) that hold the best of each request; ``limits`` has (qid, pool).
+
+    Batches of plain words are scored in blocks; with ``prune``, documents that
+    cannot reach the pool are left out of the scoring.  Other requests, and
+    boosts that are not positive, get the scores of all their matches.
+    """
+    profile, keys = compiled.profile, corpus.keys
+    small = fits_broadcast(compiled)
+    blocks = small and profile.term_rows >= BLOCK_TERMS
+    simple = profile.plain and (prune or blocks)
+    if not simple or not compiled.terms.where(~(F.col("boost") > 0)).isEmpty():
+        return score_documents(corpus, compiled)
+    # Statistics and scores both read the postings; in one plan each would make its own.
+    postings = corpus.settled(corpus.postings_for(compiled, small))
+    weights = with_field_totals(corpus.statistics_for(compiled, postings), small)
+    valued = valued_postings(postings, weights, keys, small)
+    terms = compiled.terms.select("qid", *TERM_KEY, "boost")
+    most = profile.max_limit * overfetch
+    if prune:
+        fan = lambda postings, terms: fan_out(postings, terms, keys, small)
+        found = pruned_scores(scratch_table(valued), terms, limits.select("qid", "pool"), keys, most, fan, small).scores
+    else:
+        join = lambda rows, table: join_queries(rows, table, keys, small)
+        found = block_scores(valued, terms, keys, most, corpus.document_count(), join)
+    return found.withColumn("score", F.round("score", SCORE_DIGITS))
+
+
+def keyword_pool(
+    corpus, compiled: CompiledRequests, overfetch: int = OVERFETCH, prune: bool = False
+) -> DataFrame:
+    """The best ``overfetch * limit`` matches per query: (qid, index_name, keys, bm25, bm25_rank).
+
+    ``prune`` gives the same rows by a way that pays for few words among very
+    frequent ones; it takes more passes over the postings of those words.
+    """
     limits = compiled.requests.select(
         "qid", "index_name", (F.col("limit") * overfetch).alias("pool")
     )
+    scored = best_scores(corpus, compiled, limits, overfetch, prune).withColumnRenamed("score", "bm25")
     order = [F.desc("bm25"), *[F.asc(k) for k in corpus.keys]]
     pool = top_k(
         scored, ["qid"], order, compiled.profile.max_limit * overfetch, rank="bm25_rank"

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import is_indexed_token, raw_tokens
 from termloom.operators.clauses import DOC_MARKER, TERM_KEY, CompiledRequests
 from termloom.schema import DEFAULT_FIELDS
+from termloom.session import scratch_table
 
 
 def token_rows(
@@ -191,6 +192,13 @@ class ScanCorpus:
         """Distinct (index_name, field, term) that meet ``condition``."""
         return self.postings_between(condition, fields).select(*TERM_KEY).distinct()
 
+    def settled(self, postings: DataFrame) -> DataFrame:
+        """``postings`` for more than one reading, without tokenizing the text again."""
+        return scratch_table(postings)
+
+    def document_count(self) -> int:
+        return self.documents.count()
+
     def fetch(self, hits: DataFrame, rows: int | None = None) -> DataFrame:
         """Join stored fields onto ranked hits."""
         return hits.join(self.documents, ["index_name", *self.keys])

@@ -302,6 +302,14 @@ def overfetch_pool(spark, folder):
     )
 
 
+def pruned_pool(spark, folder):
+    """Pools of short requests with frequent words, hopeless documents left unscored."""
+    compiled = compile_requests(tables.short_requests(spark, folder))
+    return keyword_pool(_corpus(spark, folder), compiled, prune=True).select(
+        "qid", "doc_key", "bm25", "bm25_rank"
+    )
+
+
 def request_defaults(spark, folder):
     item = F.col("qid")
     requests = tables.benchmark_requests(spark, folder).withColumns(
@@ -808,6 +816,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bm25_topk": bm25_topk,
     "phrase_bm25": phrase_bm25,
     "overfetch_pool": overfetch_pool,
+    "pruned_pool": pruned_pool,
     "request_defaults": request_defaults,
     "response_envelope": response_envelope,
     "scoped_search": scoped_search,

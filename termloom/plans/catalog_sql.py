@@ -55,6 +55,8 @@ request AS (
            lambda x: lower(x)) AS words
   FROM benchmark)"""
 
+SHORT = REQUESTS.replace("AS words\n", "[1:3] || ['the', 'of'] AS words\n")
+
 QTERMS = """
 qterm AS (
   SELECT qid, {index} AS index_name, term, count(*) AS qtf
@@ -352,6 +354,7 @@ ORACLES: dict[str, str] = {
             total(_phrase_scores(2, ["and", "attion", "to"], 2.0)),
         ]
     ),
+    "pruned_pool": searched(40, requests=SHORT) + "SELECT qid, doc_key, bm25, CAST(bm25_rank AS INTEGER) AS bm25_rank FROM pool",
     "overfetch_pool": searched(40)
     + "SELECT qid, CAST(bm25_rank AS INTEGER) AS bm25_rank, doc_key, bm25 FROM pool",
     "request_defaults": _with(REQUESTS)

@@ -397,6 +397,14 @@ class StoreCorpus:
         rows = self.visible("term_stats").where(F.col("field").isin(list(fields))).where(condition)
         return rows.select(*TERM_KEY).distinct()
 
+    def settled(self, postings: DataFrame) -> DataFrame:
+        """``postings``: they are stored already."""
+        return postings
+
+    def document_count(self) -> int:
+        """Rows that were added, deleted ones included."""
+        return self.visible("documents").count()
+
     def fetch(self, hits: DataFrame, rows: int | None = None) -> DataFrame:
         """Join stored fields onto ranked hits.
 

@@ -74,6 +74,13 @@ def benchmark_requests(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def short_requests(spark: SparkSession, folder: str) -> DataFrame:
+    """One request per ``benchmark`` row: its first three words and two that most documents have."""
+    raw = _read(spark, folder, "benchmark")
+    words = F.concat(F.slice(analyze("text"), 1, 3), F.array(F.lit("the"), F.lit("of")))
+    return raw.select(F.col("item_id").alias("qid"), F.array_join(words, " ").alias("q"))
+
+
 def benchmark_range_requests(spark: SparkSession, folder: str) -> DataFrame:
     """One request per ``benchmark`` row: for each of its words, the body terms from it up to it and an "m"."""
     raw = _read(spark, folder, "benchmark")
