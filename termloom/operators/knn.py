@@ -1,7 +1,8 @@
 """Exact nearest neighbours by cosine similarity, for a table of query vectors.
 
-Every query is compared with every vector, but only the best k per query leave
-a task: scores live in numpy blocks inside the task and are never rows.
+Scores live in numpy blocks inside a task and are never rows; only the best k
+per query leave it.  A few queries are compared with every vector; of many,
+groups of near ones are compared with the vectors that can be their neighbours.
 """
 
 from __future__ import annotations
@@ -14,12 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from termloom.operators.pivots import meetings
 from termloom.operators.topk import top_k
 from termloom.operators.vectors import check_dims
 from termloom.schema import SCORE_DIGITS
 
-# Query sides up to these sizes travel to every task; larger ones are cut into
-# blocks and shuffled against blocks of vectors.
+# Query sides up to these sizes travel to every task; larger ones are grouped and
+# meet the vectors in blocks.
 BROADCAST_QUERIES = 4_096
 BROADCAST_VALUES = 4_000_000
 BROADCAST_RESULTS = 4_000_000
@@ -90,30 +92,31 @@ _SEPARATOR = "\0"
 
 
 def knn(
-    vectors: DataFrame, queries: DataFrame, k: int, dims: int, by_index: bool = False
+    vectors: DataFrame, queries: DataFrame, k: int, dims: int, by_index: bool = False, grouped: bool = False
 ) -> DataFrame:
     """(qid, id, score, rank): the ``k`` most similar vectors of each query.
 
     ``vectors`` has (id, embedding), ``queries`` has (qid, query_embedding); both
     are checked against ``dims``.  With ``by_index`` vectors are told apart by
-    (index_name, id), and the result names the index too.
+    (index_name, id), and the result names the index too.  ``grouped`` groups the
+    queries also when they are few.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
     if by_index:
         named = vectors.withColumn("id", F.concat_ws(_SEPARATOR, "index_name", "id"))
-        found = knn(named, queries, k, dims)
+        found = knn(named, queries, k, dims, grouped=grouped)
         parts = F.split("id", _SEPARATOR, 2)
         return found.withColumns({"index_name": parts[0], "id": parts[1]})
     vectors = check_dims(vectors.select("id", "embedding"), dims)
     queries = check_dims(queries.select("qid", "query_embedding"), dims, "query_embedding")
     n_queries = queries.select("qid").count()
-    small = (
+    small = not grouped and (
         n_queries <= BROADCAST_QUERIES
         and n_queries * dims <= BROADCAST_VALUES
         and n_queries * k <= BROADCAST_RESULTS
     )
-    found = _by_broadcast(vectors, queries, k, dims) if small else _by_grid(
+    found = _by_broadcast(vectors, queries, k, dims) if small else knn_by_pivots(
         vectors, queries, k, dims, n_queries
     )
     return top_k(found, ["qid"], [F.desc("score"), F.asc("id")], k)
@@ -142,25 +145,33 @@ def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int, dims: int) ->
     return vectors.mapInArrow(nearest, ddl)
 
 
-def _by_grid(vectors: DataFrame, queries: DataFrame, k: int, dims: int, n_queries: int) -> DataFrame:
-    """Blocks of queries against blocks of vectors, one task group per pair of blocks.
+def knn_by_pivots(vectors: DataFrame, queries: DataFrame, k: int, dims: int, n_queries: int) -> DataFrame:
+    """The best k rows of each block of vectors, where only vectors that a group of queries admits meet it.
 
-    Blocks are drawn by row hash, so no id or query can make one of them large.
+    Groups are cut into blocks by row hash, so no id, query or direction can
+    make one of them large.
     """
     ddl, schema = _result_schema(queries)
-    q_blocks = math.ceil(n_queries / QUERIES_PER_BLOCK)
+    left, right = meetings(vectors, queries, k, dims, n_queries, QUERIES_PER_BLOCK)
     v_blocks = max(1, math.ceil(vectors.count() / VECTORS_PER_BLOCK))
+    # One row for each group; there are at most as many as pivots.
+    counts = right.groupBy("group").count().collect()
+    blocks_of = {r["group"]: math.ceil(r["count"] / QUERIES_PER_BLOCK) for r in counts}
 
-    def numbered(name: str, blocks: int):
-        return F.pmod(F.xxhash64(*name.split(",")), F.lit(blocks)).cast("int")
+    def sized(rows: DataFrame) -> DataFrame:
+        table = rows.sparkSession.createDataFrame(list(blocks_of.items()), "`group` int, q_blocks long")
+        return rows.join(F.broadcast(table), "group")
 
-    def copies(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    def numbered(blocks, *names: str):
+        return F.pmod(F.xxhash64(*names), blocks).cast("int")
 
-    left = vectors.withColumn("v", numbered("id,embedding", v_blocks)).withColumn(
-        "q", copies(q_blocks)
-    )
-    right = queries.withColumn("q", numbered("qid", q_blocks)).withColumn("v", copies(v_blocks))
+    def copies(blocks):
+        return F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int")))
+
+    left = sized(left).withColumn("v", numbered(F.lit(v_blocks), "id", "embedding"))
+    left = left.withColumn("q", copies(F.col("q_blocks")))
+    right = sized(right).withColumn("q", numbered(F.col("q_blocks"), "qid"))
+    right = right.withColumn("v", copies(F.lit(v_blocks)))
 
     def nearest(vector_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
         best = _Best(query_rows.num_rows, k)
@@ -175,4 +186,5 @@ def _by_grid(vectors: DataFrame, queries: DataFrame, k: int, dims: int, n_querie
             best = _Best(0, k)
         return pa.Table.from_batches([_best_rows(best, qids, schema)])
 
-    return left.groupBy("v", "q").cogroup(right.groupBy("v", "q")).applyInArrow(nearest, ddl)
+    key = ["group", "v", "q"]
+    return left.groupBy(key).cogroup(right.groupBy(key)).applyInArrow(nearest, ddl)

@@ -433,6 +433,13 @@ def knn_topk(spark, folder):
     return knn(tables.vector_table(spark, folder), _query_vectors(spark, folder), 10, DIMS)
 
 
+def knn_of_all(spark, folder):
+    """The three nearest vectors of every vector, queries met in groups around pivots."""
+    vectors = tables.vector_table(spark, folder)
+    queries = vectors.select(F.col("id").cast("long").alias("qid"), F.col("embedding").alias("query_embedding"))
+    return knn(vectors, queries, 3, DIMS, grouped=True)
+
+
 def knn_by_index(spark, folder):
     """Equal ids in several indexes: the index is part of the result and of the tie order."""
     vectors = tables.vector_table(spark, folder).withColumns(
@@ -829,6 +836,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vectors_left": vectors_left,
     "knn_topk": knn_topk,
     "knn_by_index": knn_by_index,
+    "knn_of_all": knn_of_all,
     "vector_object_import": vector_object_import,
     "candidate_texts": candidate_texts,
     "embed_documents": embed_documents,

@@ -402,6 +402,10 @@ ORACLES: dict[str, str] = {
     "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score "
     "FROM embeddings q, embeddings v), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid "
     "ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 10",
+    "knn_of_all": "WITH s AS (SELECT q.vec_id AS qid, CAST(v.vec_id AS VARCHAR) AS id, round("
+    "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score "
+    "FROM embeddings q, embeddings v), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid "
+    "ORDER BY score DESC, id) AS INTEGER) AS rank FROM s) SELECT * FROM r WHERE rank <= 3",
     "knn_by_index": "WITH s AS (SELECT q.vec_id AS qid, 'part' || (v.label % 3) AS index_name, "
     "CAST(v.vec_id % 100 AS VARCHAR) AS id, round("
     "list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score "
