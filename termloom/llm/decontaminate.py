@@ -183,7 +183,8 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
 
     ``items`` lists the ids (ascending) of test items of whose words tiles cover
     ``coverage`` or more, ``max_coverage`` is the largest share of any item that
-    shares a seed (0 without one).  Null and empty texts and items match
+    shares a seed (0 without one).  An item without an id contaminates as others
+    do, but is neither listed nor counted in ``n_items``.  Null and empty texts and items match
     nothing; rows that repeat both doc_id and text get the same result.
     """
     docs = document_keys(docs)
@@ -202,7 +203,7 @@ def contamination(docs: DataFrame, items: DataFrame, coverage: float = COVERAGE,
     return rows.select(
         "doc_id",
         *IDENTITY,
-        (F.size(items) > 0).alias("contaminated"),
+        F.coalesce(F.col("max_coverage") >= coverage, F.lit(False)).alias("contaminated"),
         F.size(items).cast("long").alias("n_items"),
         items.alias("items"),
         F.coalesce("max_coverage", F.lit(0.0)).alias("max_coverage"),

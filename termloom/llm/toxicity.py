@@ -147,12 +147,14 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     )
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     texts = texts.where(F.coalesce(F.length("text"), F.lit(0)) <= LONGEST_TEXT)
-    return texts.join(F.broadcast(marked), "doc_id").select("text", "toxic")
+    # One text for each id, whatever the number of its rows, or a repeated id would fill the sample.
+    found = texts.join(F.broadcast(marked), "doc_id").groupBy("doc_id", "toxic")
+    return found.agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """A model of the labelled documents; the sample is the only text the driver sees."""
-    rows = training_rows(docs, labels, sample_rows).limit(sample_rows).toArrow().to_pydict()
+    rows = training_rows(docs, labels, sample_rows).toArrow().sort_by("doc_id").to_pydict()
     return fit([t or "" for t in rows["text"]], np.array(rows["toxic"], float) > 0)
 
 

@@ -64,6 +64,13 @@ def test_rows(spark, monkeypatch, words):
     assert [r.contaminated for r in got] == [r.n_items > 0 for r in got]
 
 
+def test_items_without_an_id(spark):
+    docs = spark.createDataFrame([(1, " ".join(ITEM)), (2, "Tiny item"), (3, "none of it")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, " ".join(ITEM)), (9, "Tiny item!"), (None, "tiny item")], "item_id long, text string")
+    got = {r.doc_id: (r.contaminated, r.n_items, list(r["items"]), r.max_coverage) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: (True, 0, [], 1.0), 2: (True, 1, [9], 1.0), 3: (False, 0, [], 0.0)}
+
+
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
