@@ -133,7 +133,7 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = ROUNDS, penalty: floa
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(text, toxic) of at most ``sample_rows`` labelled documents, those of least hash of doc_id.
+    """(doc_id, toxic, text) of at most ``sample_rows`` labelled documents, those of least hash of doc_id.
 
     Texts of more than ``LONGEST_TEXT`` characters are left out of them.
     Labels of one doc_id count as toxic if any does; null labels and ids are left out.
