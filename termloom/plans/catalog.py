@@ -65,6 +65,7 @@ from termloom.sources.documents import (
 from termloom.sources.store import Store
 from termloom.sources.vector_files import read_vector_object
 from termloom.streaming.ingest import ingest_stream
+from termloom.streaming.latency import latency_windows, report_stream
 from termloom.streaming.search import search_stream
 
 KEY = ("doc_key",)
@@ -804,6 +805,24 @@ def latency(spark, folder):
     )
 
 
+def stream_latency(spark, folder):
+    """The request log arrives in three parts, in the order of time; windows of an hour that are closed."""
+    work = _scratch(spark)
+    log = spark.read.parquet(f"{folder}/events.parquet").select("ts", "event_type", "value")
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = log.agg(F.min(micros).alias("first"), F.max(micros).alias("last")).first()
+    step = (ends["last"] - ends["first"]) // 3 + 1
+    part = F.floor((micros - ends["first"]) / step)
+    for number in range(3):
+        log.where(part == number).write.mode("append").parquet(f"{work}/log")
+    stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 1).parquet(f"{work}/log")
+    # Files of one part are read in any order, so rows may be late by a part.
+    windows = latency_windows(stream, "value", "ts", ["event_type"], late=f"{step // 1_000_000 + 1} seconds")
+    report_stream(windows, f"{work}/report", f"{work}/checkpoint", once=True).awaitTermination()
+    found = spark.read.schema(windows.schema).parquet(f"{work}/report")
+    return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("start", "end")})
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize": tokenize,
     "postings": postings,
@@ -864,4 +883,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": stream_ingest,
     "stream_search": stream_search,
     "latency_report": latency,
+    "stream_latency": stream_latency,
 }

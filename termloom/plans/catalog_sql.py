@@ -511,6 +511,16 @@ FROM (SELECT *, NOT (kind = 1 OR kind = 0 AND form = 'lines') AS good FROM d)"""
     "stream_ingest": BASE
     + "SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS tokens FROM post "
     "WHERE field = 'body' GROUP BY term",
+    "stream_latency": """WITH e AS (
+      SELECT event_type, value, epoch_us(ts) AS t FROM events WHERE ts IS NOT NULL
+    ), span AS (
+      SELECT max(t) - ((((max(t) - min(t)) // 3 + 1) // 1000000) + 1) * 1000000 AS closed FROM e
+    )
+    SELECT event_type, strftime(make_timestamp((t // 3600000000) * 3600000000), '%Y-%m-%d %H:%M') AS start,
+      strftime(make_timestamp((t // 3600000000 + 1) * 3600000000), '%Y-%m-%d %H:%M') AS "end", count(*) AS n,
+      quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99
+    FROM e, span WHERE value IS NOT NULL AND ((t // 3600000000) + 1) * 3600000000 <= (closed // 1000) * 1000
+    GROUP BY ALL""",
     "latency_report": """SELECT event_type, count(*) AS n,
        round(count(*) / ((epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6), 6) AS qps,
        round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95,
