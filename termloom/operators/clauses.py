@@ -32,6 +32,8 @@ from termloom.session import scratch_table
 
 OCCURS = ("should", "must", "must_not")
 KINDS = ("term", "phrase", "range", "set", "all")
+# Kinds that look up terms.
+TERM_KINDS = ("term", "set", "all")
 
 # Each document has one posting with this term per field.  It carries the field
 # length, so corpus totals and match-all are ordinary term lookups.
@@ -282,6 +284,7 @@ class Profile:
     text_bytes: int
     any_must: bool
     any_must_not: bool
+    any_term: bool
     any_set: bool
     any_all: bool
     any_range: bool
@@ -383,6 +386,7 @@ def _compile_local(spark, rows: list[dict], heads: pa.Table) -> CompiledRequests
             text_bytes=sum(len((r["term"] or "").encode()) + 64 for r in rows) * len(DEFAULT_FIELDS),
             any_must=has("occur", "must"),
             any_must_not=has("occur", "must_not"),
+            any_term=any(r["kind"] in TERM_KINDS for r in rows),
             any_set=has("kind", "set"),
             any_all=has("kind", "all"),
             any_range=has("kind", "range"),
@@ -462,7 +466,7 @@ def _compile_distributed(flat: DataFrame, heads: DataFrame) -> CompiledRequests:
     )
     rows = flat.withColumn("required", required).withColumn("field", F.explode(fields))
     head = ["qid", "index_name", "required", "clause_id", "occur"]
-    terms = rows.where(F.col("kind").isin("term", "set", "all"))
+    terms = rows.where(F.col("kind").isin(*TERM_KINDS))
     if profile.plain:
         terms = terms.withColumn("clause_id", F.lit(0))
     terms = terms.groupBy(*head, "kind", "field", "term").agg(F.sum("boost").alias("boost"))
@@ -491,6 +495,7 @@ def _profile(flat: DataFrame, heads: DataFrame) -> Profile:
         (F.coalesce(F.sum(size), F.lit(0)) * len(DEFAULT_FIELDS)).alias("text_bytes"),
         _any(F.col("occur") == "must").alias("any_must"),
         _any(F.col("occur") == "must_not").alias("any_must_not"),
+        _any(F.col("kind").isin(*TERM_KINDS)).alias("any_term"),
         _any(F.col("kind") == "set").alias("any_set"),
         _any(F.col("kind") == "all").alias("any_all"),
         _any(F.col("kind") == "range").alias("any_range"),

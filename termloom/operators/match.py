@@ -181,7 +181,9 @@ def _range_scores(compiled, corpus) -> DataFrame:
     """Constant score per (query, document, clause, field) with a term in the range."""
 
     def join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-        return join_queries(rows, table, corpus.keys, table.count() <= BROADCAST_ROWS, on)
+        # Larger tables are shuffled once: copies of them for each salt would outweigh the
+        # postings, and adaptive execution splits the terms that are frequent.
+        return rows.join(F.broadcast(table) if table.count() <= BROADCAST_ROWS else table, on)
 
     columns = ["required", "clause_id", "occur", "boost"]
     found = range_matches(compiled.ranges, corpus, join, columns)
@@ -198,11 +200,14 @@ def score_documents(corpus, compiled: CompiledRequests) -> DataFrame:
     small = fits_broadcast(compiled)
     postings = corpus.postings_for(compiled, small)
     weights = with_field_totals(corpus.statistics_for(compiled, postings), small)
-    parts = [_term_scores(compiled, postings, weights, keys, small)]
+    # Parts of one kind alone stay where their documents are; a union would shuffle them again.
+    parts = [_term_scores(compiled, postings, weights, keys, small)] if profile.any_term else []
     if profile.any_phrase:
         parts.append(_phrase_scores(compiled, postings, weights, keys, small))
     if profile.any_range:
         parts.append(_range_scores(compiled, corpus))
+    if not parts:
+        parts = [_term_scores(compiled, postings, weights, keys, small)]
     contributions = reduce(DataFrame.unionByName, parts)
 
     doc = ["qid", *keys]

@@ -242,10 +242,12 @@ def range_matches(ranges: DataFrame, corpus, join, columns: Sequence[str]) -> Da
     levels = nodes.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     at = ["index_name", "field", *NODE]
     if len(few) <= LITERAL_BOUNDS:
-        parts = postings.select("index_name", *keys, "field", segment.alias("segment")).distinct()
+        parts = postings.select("index_name", *keys, "field", segment.alias("segment")).repartition(*keys).distinct()
         met = with_nodes(parts, levels)
     else:
         words = scratch_table(term_nodes(marks, nodes, levels))
-        met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", *NODE).distinct()
+        # By document from here on: nothing that follows needs another exchange.
+        met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", *NODE)
+        met = met.repartition(*keys).distinct()
     found = join(met, nodes.select(*at, "qid", *columns), at)
     return found.select("qid", *keys, *columns, "field").distinct()
