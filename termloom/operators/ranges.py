@@ -205,10 +205,11 @@ def range_nodes(ranges: DataFrame, marks: DataFrame) -> DataFrame:
 
 
 def term_nodes(marks: DataFrame, nodes: DataFrame, levels: int) -> DataFrame:
-    """(index_name, field, term, level, node) for the nodes of ranges that a term lies in."""
+    """(index_name, field, term, nodes): the (level, node) of ranges that a term lies in, one row for each term."""
     terms = marks.where(F.col("cut") == 0).select("index_name", "field", F.col("bound").alias("term"), "segment")
     used = nodes.select(*NODE).distinct()
-    return with_nodes(terms, levels).join(used, list(NODE), "left_semi").select(*TERM_KEY, *NODE)
+    inside = with_nodes(terms, levels).join(used, list(NODE), "left_semi")
+    return inside.groupBy(*TERM_KEY).agg(F.collect_list(F.struct(*NODE)).alias("nodes"))
 
 
 def with_nodes(rows: DataFrame, levels: int) -> DataFrame:
@@ -247,7 +248,7 @@ def range_matches(ranges: DataFrame, corpus, join, columns: Sequence[str]) -> Da
     else:
         words = scratch_table(term_nodes(marks, nodes, levels))
         # By document from here on: nothing that follows needs another exchange.
-        met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", *NODE)
+        met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", F.inline("nodes"))
         met = met.repartition(*keys).distinct()
     found = join(met, nodes.select(*at, "qid", *columns), at)
     return found.select("qid", *keys, *columns, "field").distinct()
