@@ -64,6 +64,21 @@ def token_rows(
     )
 
 
+def term_rows(docs: DataFrame, keys: Sequence[str], fields: Sequence[str] = DEFAULT_FIELDS) -> DataFrame:
+    """(index_name, keys, field, term): each term of a document and field once, without markers."""
+    head = ["index_name", *keys]
+
+    def terms(name: str) -> Column:
+        text = F.coalesce(F.col(name), F.lit(""))
+        if name == "id":
+            return F.array(text)
+        kept = F.filter(raw_tokens(text), is_indexed_token)
+        return F.array_distinct(F.transform(kept, lambda t: F.lower(t)))
+
+    per_field = [F.struct(F.lit(name).alias("field"), terms(name).alias("terms")) for name in fields]
+    return docs.select(*head, F.inline(F.array(*per_field))).select(*head, "field", F.explode("terms").alias("term"))
+
+
 def group_tokens(tokens: DataFrame, keys: Sequence[str], positions: bool) -> DataFrame:
     aggregates = [F.count(F.lit(1)).cast("int").alias("tf")]
     if positions:
@@ -186,7 +201,7 @@ class ScanCorpus:
 
     def postings_between(self, condition: Column, fields: Sequence[str]) -> DataFrame:
         """Postings (index_name, keys, field, term) whose field and term meet ``condition``."""
-        return token_rows(self.documents, self.keys, fields).where(condition)
+        return term_rows(self.documents, self.keys, fields).where(condition)
 
     def terms_between(self, condition: Column, fields: Sequence[str]) -> DataFrame:
         """Distinct (index_name, field, term) that meet ``condition``."""
