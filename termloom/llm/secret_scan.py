@@ -13,9 +13,11 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,13 +28,18 @@ KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+#: As short as a fixed pattern lets a credential be.
+_CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{6,}")
 #: The kind of spans that the automata add, last in order.
 INFERRED = "inferred"
 #: Distinct labelled strings of a kind that an automaton is built from at most: those of least hash.
 SAMPLE = 1_000
 #: Longer strings are found and scored, but no automaton is built from them.
 LONGEST = 500
+#: Ordinary tokens are sampled for each length; from this one on together.
+_LENGTHS = 32
+#: Judgements that a task remembers, of tokens up to 64 characters.
+REMEMBERED = 50_000
 #: Confidence of the test by which two states differ.
 ALPHA = 0.05
 #: Share of the labelled strings that may score below the limit of their own automaton.
@@ -58,7 +65,7 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
 
 
 def candidates(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, token) of long tokens that touch none of the spans."""
+    """(start, end, token) of tokens of 6 characters and more that touch none of the spans."""
     out = []
     starts = [s[0] for s in spans]
     ends = np.maximum.accumulate([s[2] for s in spans]).tolist() if spans else []
@@ -188,13 +195,38 @@ def infer(strings: list[str], alpha: float = ALPHA) -> Automaton:
     return out
 
 
-def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
-    """At most ``sample`` distinct strings of each kind, and of ordinary tokens ("other").
+class _Least:
+    """The ``most`` strings of least hash among those added."""
 
-    Of those up to ``LONGEST`` characters, the ones of least hash.
+    def __init__(self, most: int):
+        self.most, self.kept, self.limit = most, {}, 2**64
+
+    def add(self, text: str) -> None:
+        value = xxhash.xxh64_intdigest(text)
+        if value < self.limit:
+            self.kept[text] = value
+            if len(self.kept) >= 2 * self.most + 64:
+                self.cut()
+
+    def cut(self) -> None:
+        some = sorted(self.kept.items(), key=lambda x: (x[1], x[0]))[: self.most]
+        self.kept = dict(some)
+        if len(some) == self.most:
+            self.limit = some[-1][1] + 1
+
+
+def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, tuple[list[str], int, int]]:
+    """(strings, shortest, longest) of each kind, and of ordinary tokens ("other").
+
+    The lengths are those of all strings that the fixed patterns find.  The
+    strings are at most ``sample`` distinct ones up to ``LONGEST`` characters,
+    those of least hash; ordinary tokens are as long as the shortest labelled
+    string or longer.  A task sends no more than the sample of each kind and length.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least: dict[tuple[str, int], _Least] = {}
+        lengths: dict[str, tuple[int, int]] = {}
         for batch in batches:
             for some in slices(batch, "text"):
                 found: set[tuple[str, str]] = set()
@@ -202,31 +234,79 @@ def labelled(docs: DataFrame, sample: int = SAMPLE) -> dict[str, list[str]]:
                     spans = base_spans(text or "")
                     found.update((KINDS[s[1]], s[3]) for s in spans)
                     found.update(("other", c[2]) for c in candidates(text or "", spans))
-                kinds, strings = zip(*found) if found else ((), ())
-                yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(strings, pa.string())], ["kind", "string"])
-
-    rows = written(docs.select("text").mapInArrow(run, "kind string, string string").distinct())
+                for kind, string in found:
+                    n = len(string)
+                    if kind != "other":
+                        low, high = lengths.get(kind, (n, n))
+                        lengths[kind] = min(low, n), max(high, n)
+                    if n <= LONGEST:
+                        group = kind, min(n, _LENGTHS) if kind == "other" else 0
+                        if group not in least:
+                            least[group] = _Least(sample)
+                        least[group].add(string)
+        for group in least.values():
+            group.cut()
+        rows = [(kind, text, value - 2**63, None, None) for (kind, _), group in least.items() for text, value in group.kept.items()]
+        rows += [(kind, None, None, *n) for kind, n in lengths.items()]
+        columns = zip(*rows) if rows else [[]] * 5
+        types = [pa.string(), pa.string(), *[pa.int64()] * 3]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["kind", "string", "hash", "low", "high"])
+
+    rows = written(docs.select("text").mapInArrow(run, "kind string, string string, hash long, low long, high long"))
+    ends = rows.where("string IS NULL").groupBy("kind").agg(F.min("low").alias("low"), F.max("high").alias("high")).collect()
+    lengths = {r.kind: (r.low, r.high) for r in ends}
+    shortest = min([n for n, _ in lengths.values()], default=0)
+    fit = rows.where(F.col("string").isNotNull() & ((F.col("kind") != "other") | (F.length("string") >= min(shortest, _LENGTHS))))
     out = {}
     for kind in (*KINDS, "other"):
-        some = rows.where((F.col("kind") == kind) & (F.length("string") <= LONGEST)).orderBy(F.xxhash64("string"), "string").limit(sample)
-        out[kind] = [r.string for r in some.select("string").collect()]
+        some = fit.where(F.col("kind") == kind).select("hash", "string").distinct().orderBy("hash", "string").limit(sample)
+        out[kind] = ([r.string for r in some.collect()], *lengths.get(kind, (0, 0)))
     return out
 
 
 def train(docs: DataFrame, sample: int = SAMPLE) -> dict[str, Automaton]:
     """An automaton for each kind that has labelled strings, and for other tokens."""
-    return {kind: infer(strings) for kind, strings in labelled(docs, sample).items() if strings}
+    out = {}
+    for kind, (strings, shortest, longest) in labelled(docs, sample).items():
+        if strings:
+            out[kind] = infer(strings)
+            out[kind].shortest, out[kind].longest = shortest, longest
+    return out
 
 
-def inferred_spans(text: str, spans: list, automata: dict[str, Automaton]) -> list[tuple[int, int, float]]:
-    """(start, end, score) of tokens that some format explains, better than ordinary tokens do."""
-    out = []
-    other = automata.get("other")
-    for start, end, token in candidates(text, spans):
-        plain = other.score(token) if other else -math.log(_SYMBOLS)
-        best = max((a.score(token) - plain for k, a in automata.items() if k != "other" and a.fits(token)), default=-math.inf)
-        if best >= MARGIN:
-            out.append((start, end, best))
+class Judge:
+    """Tells what credential-like tokens are; remembers the common ones."""
+
+    def __init__(self, automata: dict[str, Automaton]):
+        self.formats = [a for k, a in automata.items() if k != "other"]
+        self.other = automata.get("other")
+        self.shortest = min((a.shortest for a in self.formats), default=0)
+        self.longest = max((a.longest for a in self.formats), default=-1)
+        self.remembered = lru_cache(REMEMBERED)(self.gain)
+
+    def gain(self, token: str) -> float:
+        """By how much some format explains ``token`` better than ordinary tokens do; -inf where none fits."""
+        fits = [s for a in self.formats if a.shortest <= len(token) <= a.longest and (s := a.score(token)) >= a.limit]
+        if not fits:
+            return -math.inf
+        return max(fits) - (self.other.score(token) if self.other else -math.log(_SYMBOLS))
+
+    def __call__(self, token: str) -> float:
+        if not self.shortest <= len(token) <= self.longest:
+            return -math.inf
+        return self.remembered(token) if len(token) <= 64 else self.gain(token)
+
+
+def inferred_spans(text: str, spans: list, judge: Judge) -> list[tuple[int, int, float]]:
+    """(start, end, gain) of tokens that some format explains, better than ordinary tokens do.
+
+    All tokens as long as the labelled strings are scored.  Those that touch a
+    base span are left out: what they hold is reported already.
+    """
+    out = [(m.start(), m.end(), gain) for m in _CANDIDATE.finditer(text) if (gain := judge(m.group())) >= MARGIN]
+    if out and spans:
+        free = {c[:2] for c in candidates(text, spans)}
+        out = [o for o in out if o[:2] in free]
     return out
 
 
@@ -242,7 +322,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton]) -> DataFrame:
     types = [*[pa.int64()] * 4, pa.string(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = {k: Automaton(**a | {"states": [State(**s) for s in a["states"]]}) for k, a in shared.value.items()}
+        known = Judge({k: Automaton(**a | {"states": [State(**s) for s in a["states"]]}) for k, a in shared.value.items()})
         for batch in batches:
             for some in slices(batch, "text"):
                 out = {n: [] for n in names}

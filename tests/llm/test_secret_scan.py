@@ -73,6 +73,52 @@ def test_rows(spark):
         assert (row.n_assign, row.n_access, row.n_hex) == tuple(sum(w[1] == k for w in want) for k in range(3))
 
 
+def test_short_and_rare_lengths(spark):
+    """Formats of 6 to 15 characters are found elsewhere, and lengths that the sample leaves out count."""
+    rnd = random.Random(5)
+
+    def pin() -> str:
+        return "k" + "".join(rnd.choice("0123456789") for _ in range(rnd.choice((7, 8))))
+
+    rows = [(i, f"the words before secret={pin()} and others after") for i in range(300)]
+    words = " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(6, 12))) for _ in range(400))
+    rows += [(1000, words), (1001, f"see {pin()} there"), (1002, "secret=k123456"), (1003, "at k654321 too"), (1004, "secret=" + "9" * 600), (1005, "a k1234")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    automata = secret_scan.train(docs, 100)
+    assert (automata["assign"].shortest, automata["assign"].longest) == (7, 600)
+    got = {r.doc_id: r for r in secret_scan.scan(docs, automata).collect()}
+    start, end = 4, len(rows[301][1]) - 6
+    assert got[1001].spans == f"inferred:{start}:{end}"
+    assert got[1003].spans == "inferred:3:10" and got[1000].spans == "" and got[1005].spans == ""
+
+
+def test_whole_scan_by_brute_force(spark):
+    """Every span again, by plain counting over all tokens with automata from the same strings."""
+    rnd = random.Random(6)
+    rows = [(i, f"x secret={k} {k[:12]} " + " ".join(keys(1, 50 + i) if i % 7 == 0 else ["mountains"])) for i, k in enumerate(keys(120, 7))]
+    rows += [(200 + i, "".join(rnd.choice("ab key-0123456789=\n") for _ in range(300))) for i in range(30)]
+    labelled = sorted({m.group(2) for _, t in rows for m in secret_scan._ASSIGN.finditer(t) if len(m.group(2)) >= 6})
+    assert len(labelled) < secret_scan.SAMPLE
+    low, high = min(map(len, labelled)), max(map(len, labelled))
+    free = []
+    for doc_id, text in rows:
+        taken = {i for start, _, end in brute(text) for i in range(start, end)}
+        tokens = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_.=-]+", text) if m.end() - m.start() >= 6]
+        free += [(doc_id, text[a:b], a, b) for a, b in tokens if taken.isdisjoint(range(a, b))]
+    kind = secret_scan.infer(labelled)
+    other = secret_scan.infer(sorted({t for _, t, _, _ in free if len(t) >= low}))
+    want = {}
+    for doc_id, token, start, end in free:
+        score = kind.score(token)
+        if low <= len(token) <= high and score >= kind.limit and score - other.score(token) >= secret_scan.MARGIN:
+            want.setdefault(doc_id, []).append((start, end))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.spans for r in secret_scan.scan(docs, secret_scan.train(docs)).collect()}
+    assert want
+    for doc_id, spans in got.items():
+        assert [s for s in spans.split(",") if s.startswith("inferred")] == [f"inferred:{a}:{b}" for a, b in want.get(doc_id, [])]
+
+
 def test_nothing_labelled(spark):
     docs = spark.createDataFrame([(1, "some words")], "doc_id long, text string")
     assert secret_scan.train(docs) == {}
