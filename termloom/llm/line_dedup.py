@@ -3,7 +3,9 @@
 Two lines within ``EDITS`` edits share a piece of one of them cut into
 ``EDITS + 1`` segments.  Lines are probed with the few substrings, by length
 and place, that can match; candidates are verified by a banded bit-parallel
-edit distance.  Of each class of linked lines the first one stays.
+edit distance.  Where many lines share a substring, what is left of them without
+it is cut into segments again.  Short lines are linked by equality only.  Of each
+class of linked lines the first one stays.
 """
 
 from __future__ import annotations
@@ -21,10 +23,14 @@ from termloom.llm.common import IDENTITY, components, document_keys, slices, sma
 from termloom.llm.shingles import mix
 
 EDITS = 2
-#: Shorter lines take no part: two edits would change what they say.
+#: Shorter lines are linked with equal ones only: two edits would change what they say.
 LEAST_CHARACTERS = 30
 #: Segment and probe entries that a task gathers before it sends them on, grouped by hash range.
 FLUSH = 500_000
+#: Pairs under one probe that are compared at most before its lines are cut again.
+PAIRS = 20_000
+#: How often lines are cut again; what then shares a probe still is compared in blocks.
+CUTS = 2
 #: Lines of one side of a search that one task compares at most.
 BLOCK = 500
 #: Lines that one verifying task gets about.
@@ -118,7 +124,7 @@ _BLANK = np.array([chr(c).isspace() for c in range(0x3001)])
 
 
 def _takes_part(line: str) -> bool:
-    return len(line) >= LEAST_CHARACTERS and not line.isspace()
+    return bool(line) and not line.isspace()
 
 
 def _lines_of(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -126,7 +132,7 @@ def _lines_of(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     ends = np.flatnonzero(letters == 10)
     starts = np.r_[0, ends[:-1] + 1]
     solid = np.r_[0, np.cumsum(~_BLANK[np.minimum(letters, 0x3000)] | (letters > 0x3000))]
-    return starts, ends, (ends - starts >= LEAST_CHARACTERS) & (solid[ends] > solid[starts])
+    return starts, ends, solid[ends] > solid[starts]
 
 
 class _Substrings:
@@ -240,7 +246,8 @@ def _send_lines(batches: Iterator[pa.RecordBatch], ranges: int) -> Iterator[pa.R
                 h1=np.ascontiguousarray(h1).view("i8"),
                 h2=np.ascontiguousarray(h2).view("i8"),
             )
-            new = [i for i, h in enumerate(h1.tolist()) if h not in met and not met.add(h)]
+            long = (end - start >= LEAST_CHARACTERS).tolist()
+            new = [i for i, h in enumerate(h1.tolist()) if long[i] and h not in met and not met.add(h)]
             for entries in entries_of(_Substrings(letters), start[new], (end - start)[new], h1[new]):
                 waiting.append(entries)
                 count += len(entries)
@@ -301,24 +308,101 @@ def _verify(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(links, columns=["a", "b"]).astype("int64")
 
 
-def line_links(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between lines (node) at most ``EDITS`` apart, of ``met`` (probe, ref, role).
+def _joined(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, start, length) of ``texts`` one after the other."""
+    length = np.array([len(t) for t in texts], np.int64)
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32), np.cumsum(length) - length, length
+
+
+_AGAIN = {"probe": pa.int64(), "ref": pa.int64(), "role": pa.int64(), "parent": pa.int64(), "rest": pa.string()}
+
+
+def _cut_again(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
+    """Entries of what is left of each line without the substring by which it met ``probe``.
 
-    Many lines under one probe are compared in blocks, each in a task of its own.
+    Two lines within ``EDITS`` edits share a segment where an alignment with so
+    few edits has it too; what that leaves of them is then within ``EDITS``
+    edits, and shares a segment in its turn.
     """
-    sides = met.groupBy("probe").agg(F.sum("role").alias("n1"), F.count(F.lit(1)).alias("n"))
-    blocks = sides.select(
-        "probe", *[F.ceil(n / BLOCK).cast("int").alias(c) for n, c in ((F.col("n") - F.col("n1"), "lefts"), (F.col("n1"), "rights"))]
-    )
+    def entries(texts: list[str], role: np.ndarray, parent: np.ndarray, level: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, start, size, probe) of the segments of one side and the probes of the other."""
+        letters, start, length = _joined(texts)
+        hashes = _Substrings(letters)
+
+        def hashed(rows: np.ndarray, at: np.ndarray, size: np.ndarray, salt: np.ndarray) -> tuple[np.ndarray, ...]:
+            value = hashes.at(start[rows] + at[rows], size[rows], salt[rows])
+            return rows, at[rows], size[rows], mix(value ^ parent[rows]) if level else value
+
+        segments = np.flatnonzero(role == 0)
+        for i, (at, size) in enumerate(segment_cuts(length)):
+            yield hashed(segments, at, size, length * 8 + i)
+        for shift, i, at, size, valid in probe_places(length):
+            yield hashed(np.flatnonzero(valid & (role == 1)), at, size, (length - shift) * 8 + i)
+
+    for batch in batches:
+        for some in slices(batch, "rest"):
+            texts = some.column("rest").to_pylist()
+            probe, ref, role, parent = (some.column(c).to_numpy() for c in ("probe", "ref", "role", "parent"))
+            places = set()
+            for rows, at, size, value in entries(texts, role, parent.view(np.uint64), level):
+                hit = value == probe.view(np.uint64)[rows]
+                places.update(zip(rows[hit].tolist(), at[hit].tolist(), size[hit].tolist()))
+            if not places:
+                continue
+            rests = pa.array([texts[row][:at] + texts[row][at + size :] for row, at, size in places], pa.string())
+            own = np.array([row for row, _, _ in places])
+            for rows, _, _, value in entries(rests.to_pylist(), role[own], probe[own].view(np.uint64), level + 1):
+                of = own[rows]
+                yield _batch(_AGAIN, probe=value.view("i8"), ref=ref[of], role=role[of], parent=probe[of], rest=rests.take(pa.array(rows)))
+
+
+def _in_blocks(met: DataFrame, sides: DataFrame) -> DataFrame:
+    """``met`` (probe, ref, role) with the (left, right) block of its probe in which each copy is compared."""
     own = F.col("role") == 0
-    dealt = (
-        met.join(blocks, "probe")
+    return (
+        met.join(sides.select("probe", "lefts", "rights"), "probe")
         .withColumn("mine", F.pmod(F.xxhash64("ref"), F.when(own, F.col("lefts")).otherwise(F.col("rights"))).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.when(own, F.col("rights")).otherwise(F.col("lefts")) - 1)))
         .select("probe", "ref", "role", F.when(own, F.col("mine")).otherwise(F.col("other")).alias("left"), F.when(own, F.col("other")).otherwise(F.col("mine")).alias("right"))
     )
-    count = met.count()
-    bins = max(1, count // BIN)
+
+
+def line_links(met: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between lines (node) at most ``EDITS`` apart, of ``met`` (probe, ref, role).
+
+    Lines of a probe with more than ``PAIRS`` pairs meet anew by what is left of
+    them without the substring they share, ``CUTS`` times at most.  Many lines
+    that a probe has still are compared in blocks, each in a task of its own.
+    """
+    dealt, copies = None, 0
+    met = met.select("probe", "ref", "role")
+    for level in range(CUTS + 1):
+        lefts, rights = F.col("n") - F.col("n1"), F.col("n1")
+        sides = written(
+            met.groupBy("probe")
+            .agg(F.sum("role").alias("n1"), F.min("ref").alias("low"), F.max("ref").alias("high"), F.count(F.lit(1)).alias("n"))
+            .where((F.col("low") < F.col("high")) & (rights > 0) & (lefts > 0))
+            .select(
+                "probe",
+                ((lefts * rights > PAIRS) & F.lit(level < CUTS)).alias("hot"),
+                F.ceil(lefts / BLOCK).cast("int").alias("lefts"),
+                F.ceil(rights / BLOCK).cast("int").alias("rights"),
+                (lefts * F.ceil(rights / BLOCK) + rights * F.ceil(lefts / BLOCK)).alias("copies"),
+            )
+        )
+        calm = sides.where(~F.col("hot"))
+        blocks = _in_blocks(met.select("probe", "ref", "role").distinct() if level else met, calm)
+        dealt = blocks if dealt is None else dealt.unionByName(blocks)
+        copies += calm.agg(F.sum("copies")).first()[0] or 0
+        if not sides.where("hot").take(1):
+            break
+        hot = met.join(small(sides.where("hot").select("probe"), BROADCAST_LINES), "probe", "left_semi")
+        if not level:
+            hot = hot.withColumn("parent", F.lit(0).cast("long")).join(texts.select("ref", F.col("text").alias("rest")), "ref")
+        hot = hot.select(*_AGAIN)
+        again = hot.mapInArrow(lambda b, level=level: _cut_again(b, level), "probe long, ref long, role long, parent long, rest string")
+        met = written(again.distinct())
+    bins = max(1, copies // BIN)
     rows = dealt.join(texts, "ref").withColumn("bin", F.pmod(F.xxhash64("probe", "left", "right"), F.lit(bins)))
     return rows.groupBy("bin").applyInPandas(_verify, "a long, b long")
 

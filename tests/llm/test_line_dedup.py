@@ -49,7 +49,7 @@ def test_distance_and_filter():
 
 def brute(rows: list[tuple]) -> list[tuple]:
     docs = [(-(2**63) if d is None else d, t or "") for d, t in rows]
-    lines = sorted({(k, t, i, line) for k, t in docs for i, line in enumerate(t.split("\n")) if len(line) >= line_dedup.LEAST_CHARACTERS and not line.isspace()})
+    lines = sorted({(k, t, i, line) for k, t in docs for i, line in enumerate(t.split("\n")) if line and not line.isspace()})
     texts = sorted({x[3] for x in lines})
     root = {t: t for t in texts}
 
@@ -60,7 +60,7 @@ def brute(rows: list[tuple]) -> list[tuple]:
 
     for i, a in enumerate(texts):
         for b in texts[:i]:
-            if abs(len(a) - len(b)) <= line_dedup.EDITS and distance(a, b) <= line_dedup.EDITS:
+            if min(len(a), len(b)) >= line_dedup.LEAST_CHARACTERS and abs(len(a) - len(b)) <= line_dedup.EDITS and distance(a, b) <= line_dedup.EDITS:
                 root[find(a)] = find(b)
     first = {}
     for k, t, i, line in lines:
@@ -93,6 +93,21 @@ def sample() -> list[tuple]:
     return rows
 
 
+def test_common_openings(spark, monkeypatch):
+    """Lines that share most of their letters are cut again and lose no link."""
+    monkeypatch.setattr(line_dedup, "PAIRS", 5)
+    monkeypatch.setattr(line_dedup, "BLOCK", 20)
+    rnd = random.Random(8)
+    letters = "abcdefgh é"
+    opening, tail = "the common opening of all these ", " and an end"
+    bases = [opening + "".join(rnd.choice(letters) for _ in range(rnd.randint(4, 12))) + rnd.choice(("", tail)) for _ in range(60)]
+    rows = [(i, "\n".join(edited(rnd, rnd.choice(bases), rnd.randint(0, 3), letters) for _ in range(6))) for i in range(30)]
+    rows += [(100, opening), (101, "short\nlines\nthat repeat"), (102, "that repeat\nshorter\nshort"), (103, "é\n\n \né")]
+    want = brute(rows)
+    assert sum(len(r[2]) for r in want) > 50
+    assert found(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)) == want
+
+
 @pytest.mark.parametrize(("block", "flush", "few"), [(line_dedup.BLOCK, line_dedup.FLUSH, line_dedup.BROADCAST_LINES), (3, 200, 0)])
 def test_lines_against_all_pairs(spark, monkeypatch, block, flush, few):
     monkeypatch.setattr(line_dedup, "BLOCK", block)
