@@ -67,6 +67,7 @@ from termloom.sources.vector_files import read_vector_object
 from termloom.streaming.ingest import ingest_stream
 from termloom.streaming.latency import latency_windows, report_stream
 from termloom.streaming.search import search_stream
+from termloom.streaming.vectors import current_vectors, last_changes, publish_stream
 
 KEY = ("doc_key",)
 DIMS = 64
@@ -823,6 +824,23 @@ def stream_latency(spark, folder):
     return found.withColumns({c: F.date_format(c, "yyyy-MM-dd HH:mm") for c in ("start", "end")})
 
 
+def stream_vectors(spark, folder):
+    """Upserts and deletes in three micro-batches, the first upserts late and then once more."""
+    work = _scratch(spark)
+    upserts = _history(spark, folder).withColumn("deleted", F.lit(False))
+    deletes = _toxic_ids(spark, folder).withColumns({"n": F.lit(4), "deleted": F.lit(True)})
+    newer, first = upserts.where("n > 1"), upserts.where("n = 1")
+    for part in (newer, first.unionByName(deletes, allowMissingColumns=True), first):
+        part.write.mode("append").parquet(f"{work}/changes")
+        stream = spark.readStream.schema(spark.read.parquet(f"{work}/changes").schema).parquet(f"{work}/changes")
+        last = last_changes(stream, ["n"], DIMS)
+        publish_stream(last, f"{work}/vectors", f"{work}/checkpoint", once=True).awaitTermination()
+    live = current_vectors(spark.read.parquet(f"{work}/vectors"))
+    return live.select("id", F.posexplode("embedding").alias("pos", "x")).select(
+        "id", "pos", F.col("x").cast("double").alias("value")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "tokenize": tokenize,
     "postings": postings,
@@ -884,4 +902,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_search": stream_search,
     "latency_report": latency,
     "stream_latency": stream_latency,
+    "stream_vectors": stream_vectors,
 }

@@ -391,6 +391,10 @@ ORACLES: dict[str, str] = {
     "vector_upsert_latest": f"WITH {HISTORY}, live AS (SELECT id, arg_max(embedding, n) AS e "
     "FROM history WHERE len(embedding) = 64 GROUP BY id) "
     "SELECT id, CAST(unnest(range(64)) AS INTEGER) AS pos, CAST(unnest(e) AS DOUBLE) AS value FROM live",
+    "stream_vectors": f"WITH {HISTORY}, live AS (SELECT id, arg_max(embedding, n) AS e "
+    "FROM history WHERE len(embedding) = 64 GROUP BY id) "
+    "SELECT id, CAST(unnest(range(64)) AS INTEGER) AS pos, CAST(unnest(e) AS DOUBLE) AS value FROM live "
+    "WHERE id NOT IN (SELECT CAST(doc_id AS VARCHAR) FROM labels WHERE toxic = 1 AND doc_id IS NOT NULL)",
     "vector_dims_reject": f"WITH {HISTORY} SELECT id, n, CAST(len(embedding) AS INTEGER) AS actual_dims "
     "FROM history WHERE len(embedding) <> 64",
     "vector_delete": "SELECT CAST(doc_id AS VARCHAR) AS id, "
