@@ -230,6 +230,31 @@ def field_term(spark, folder):
     )
 
 
+def stored_only(spark, folder):
+    """Words that only url and metadata hold find nothing and leave other scores as they are."""
+
+    def marked(spark, folder):
+        docs = _docs(spark, folder).withColumns(
+            {
+                "url": F.concat(F.lit("https://urlmark.example/"), "id"),
+                "metadata": F.parse_json(F.lit('{"tag": "metamark"}')),
+            }
+        )
+        return scan_corpus(docs)
+
+    return _scored(
+        spark,
+        folder,
+        {
+            1: [term("trash"), term("urlmark"), term("metamark")],
+            2: [term("urlmark"), term("metamark")],
+            3: [term("urlmark", occur="must"), term("trash")],
+            4: [term("trash"), term("metamark", occur="must_not")],
+        },
+        marked,
+    )
+
+
 def boosted(spark, folder):
     return _scored(
         spark, folder, {1: [term("trash", boost=3.0), term("idiot", field="body", boost=0.5)]}
@@ -852,6 +877,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "phrase": phrase_query,
     "phrase_slop": phrase_slop,
     "field_term": field_term,
+    "stored_only": stored_only,
     "boosted": boosted,
     "term_range": range_query,
     "term_ranges_many": many_ranges,

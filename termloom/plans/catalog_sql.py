@@ -297,6 +297,7 @@ ORACLES: dict[str, str] = {
             total(by_id(4, "7"), word(4, "idiot", "body")),
         ]
     ),
+    "stored_only": BASE + total(word(1, "trash")) + " UNION ALL " + total(word(4, "trash")),
     "boosted": BASE + total(word(1, "trash", None, 3.0), word(1, "idiot", "body", 0.5)),
     "term_range": BASE
     + " UNION ALL ".join(
