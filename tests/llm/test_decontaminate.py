@@ -76,3 +76,34 @@ def test_empty_tables(spark):
     docs = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
     assert not decontaminate.contamination(docs, none).first().contaminated
     assert decontaminate.contamination(docs.limit(0), none).collect() == []
+
+
+def test_long_texts_of_few_words():
+    one = np.ones(50_000, np.uint64)
+    assert decontaminate.tile(one[:400], one) == [(0, 0, 400)]
+    two = np.tile(np.array([1, 2, 1], np.uint64), 20_000)
+    got = decontaminate.tile(np.array([1, 2, 1, 1, 2, 1, 2, 1] * 50, np.uint64), two)
+    assert got[0][2] == max(t[2] for t in got)
+    for i, j, size in got:
+        assert size >= decontaminate.LEAST_MATCH
+    taken = np.concatenate([np.arange(i, i + size) for i, _, size in got])
+    assert len(np.unique(taken)) == len(taken)
+
+
+@pytest.mark.parametrize("size", [30, 60])
+def test_periodic_tiles_against_brute_force(size):
+    rnd = random.Random(size)
+    for _ in range(20):
+        unit = [rnd.randint(1, 2) for _ in range(rnd.randint(1, 4))]
+        item = [w if rnd.random() < 0.9 else 3 for w in unit * size][: size // 2]
+        text = [w if rnd.random() < 0.9 else 4 for w in unit * size][:size]
+        got = decontaminate.tile(np.array(item, np.uint64), np.array(text, np.uint64), 3)
+        assert got == brute(item, text, 3)
+
+
+def test_copies_of_one_item(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PASS_WORDS", 50)
+    docs = spark.createDataFrame([(1, " ".join(ITEM)), (2, "other words")], "doc_id long, text string")
+    items = spark.createDataFrame([(i, " ".join(ITEM)) for i in range(300)] + [(0, " ".join(ITEM)), (900, "tiny item " * 400)], "item_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.contamination(docs, items).collect()}
+    assert got == {1: list(range(300)), 2: []}
