@@ -75,3 +75,18 @@ def test_labels_of_one_kind(spark, block):
     verdicts = {r.verdict for r in url_filter.judge(pages, labels, []).collect()}
     assert verdicts == {"block" if block else "allow"}
     assert url_filter.judge(pages.limit(0), labels, []).collect() == []
+
+
+def test_templates_of_many_shared_tokens(spark, monkeypatch):
+    monkeypatch.setattr(url_filter, "LEAST_ROWS", 5)
+    shared = "/".join(f"part{i}" for i in range(30))
+    rows = [(i, f"http://{'bad' if i % 2 else 'fine'}.org/{shared}/{'casino' if i % 2 else 'news'}/{i}") for i in range(60)]
+    # Pages of one kind hold two words together that are harmless alone.
+    rows += [(100 + i, f"http://mixed.net/{['aa/bb', 'aa', 'bb', 'cc'][i % 4]}/x{i}") for i in range(80)]
+    labels = [(i, bool(i % 2)) for i in range(60)] + [(100 + i, i % 4 == 0) for i in range(80)]
+    more = [(200, f"http://other.org/{shared}/z"), (201, "http://other.org/casino"), (202, "http://other.org/bb/q/aa"), (203, "http://other.org/aa/q")]
+    pages = spark.createDataFrame(rows + more, "page_id long, url string")
+    known = spark.createDataFrame(labels, "page_id long, block boolean")
+    got = {r.page_id: r.verdict for r in url_filter.judge(pages, known, []).collect()}
+    want = {i: "block" if bad else "allow" for i, bad in labels}
+    assert got == want | {200: "allow", 201: "block", 202: "block", 203: "allow"}
