@@ -21,7 +21,8 @@ class Embedder(Protocol):
 
     ``embed`` returns one vector per text, in order.  A model may also have
     ``score(query, texts) -> list[float]``, which then replaces the cosine
-    similarity in reranking.
+    similarity in reranking, and ``embed_rows(rows, text, into, keep_failures)``,
+    which then does the work of :func:`embed_texts`.
     """
 
     name: str
@@ -48,6 +49,8 @@ def embed_texts(
     the job.  Columns other than ``text`` pass
     through untouched, so row order does not matter.
     """
+    if callable(getattr(embedder, "embed_rows", None)):
+        return embedder.embed_rows(rows, text, into, keep_failures)
     schema = T.StructType(
         [*rows.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))]
     )

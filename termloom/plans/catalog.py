@@ -6,7 +6,7 @@ Every entry takes a session and a table folder and returns a DataFrame.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -62,6 +62,7 @@ from termloom.sources.documents import (
     read_documents_apart,
     to_storage,
 )
+from termloom.sources.memo import EmbeddingMemo
 from termloom.sources.store import Store
 from termloom.sources.vector_files import read_vector_object
 from termloom.streaming.ingest import ingest_stream
@@ -509,6 +510,21 @@ def embed_documents(spark, folder):
     )
 
 
+def embed_once(spark, folder):
+    """Vectors of documents, test items and turns by one memo, and how many texts it then holds."""
+    memo = EmbeddingMemo(LetterModel(), _scratch(spark))
+    turn = F.concat_ws("-", "conv_id", "turn")
+    parts = []
+    for name, key in (("documents", F.col("doc_id")), ("benchmark", F.col("item_id")), ("conversations", turn)):
+        rows = spark.read.parquet(f"{folder}/{name}.parquet")
+        texts = rows.select(F.lit(name).alias("source"), key.cast("string").alias("id"), "text")
+        made = embed_texts(texts, memo).select("source", "id", F.posexplode("embedding").alias("pos", "x"))
+        parts.append(made.select("source", "id", "pos", F.col("x").cast("double").alias("value")))
+    held = memo.table(spark).agg(F.count(F.lit(1)).cast("double").alias("value"))
+    parts.append(held.select(F.lit("memo").alias("source"), F.lit("texts").alias("id"), F.lit(0).alias("pos"), "value"))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def minmax_bm25(spark, folder):
     compiled = compile_requests(tables.benchmark_requests(spark, folder))
     pool = keyword_pool(_corpus(spark, folder), compiled)
@@ -903,6 +919,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "vector_object_import": vector_object_import,
     "candidate_texts": candidate_texts,
     "embed_documents": embed_documents,
+    "embed_once": embed_once,
     "minmax_bm25": minmax_bm25,
     "semantic_rerank": semantic_rerank,
     "hybrid_search": hybrid_search,

@@ -423,6 +423,12 @@ ORACLES: dict[str, str] = {
     "embed_documents": "WITH t AS (SELECT CAST(doc_id AS VARCHAR) AS id, "
     "split_part(text, '.', 1) || ' ' || text AS x FROM documents) SELECT id, "
     f"CAST(unnest(range(8)) AS INTEGER) AS pos, unnest({letter_counts('x')}) AS value FROM t",
+    "embed_once": "WITH t AS (SELECT 'documents' AS source, CAST(doc_id AS VARCHAR) AS id, coalesce(text, '') AS x "
+    "FROM documents UNION ALL SELECT 'benchmark', CAST(item_id AS VARCHAR), coalesce(text, '') FROM benchmark "
+    "UNION ALL SELECT 'conversations', CAST(conv_id AS VARCHAR) || '-' || CAST(turn AS VARCHAR), coalesce(text, '') "
+    "FROM conversations) SELECT source, id, CAST(unnest(range(8)) AS INTEGER) AS pos, "
+    f"unnest({letter_counts('x')}) AS value FROM t "
+    "UNION ALL SELECT 'memo', 'texts', 0, CAST(count(DISTINCT x) AS DOUBLE) FROM t",
     "minmax_bm25": searched(40)
     + "SELECT qid, doc_key, round((bm25 - min(bm25) OVER (PARTITION BY qid)) / greatest("
     "max(bm25) OVER (PARTITION BY qid) - min(bm25) OVER (PARTITION BY qid), 1.1920929e-7), 6) "
