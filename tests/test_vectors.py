@@ -168,3 +168,35 @@ def test_vector_object_file(spark, tmp_path):
         path.write_text(bad)
         with pytest.raises(Exception):
             read_vector_object(spark, str(path)).collect()
+
+
+def test_vector_object_read_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Blocks of 300 bytes: ids with brackets, quotes and escapes lie across their ends."""
+    marks = ["]", '"],"', "\\", '\\"]', "]]]:[", "é]", "{", "},", ""]
+    wanted = {f"{marks[n % len(marks)] * (1 + n % 4)}{n}": [float(n), -0.5] for n in range(400)}
+    wanted |= {"]" * 700: [1.0], '"]' * 400: [2.0]}
+    (tmp_path / "one.json").write_text(json.dumps(wanted))
+    (tmp_path / "two.json").write_text(json.dumps({"only": [7.0]}, indent=2) + "\n")
+    (tmp_path / "three.json").write_text(" {\n} ")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for size in ("300", "1000", before):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        try:
+            text = spark.read.option("lineSep", "]").text(str(tmp_path / "one.json"))
+            assert size == before or text.select("_metadata.file_block_start").distinct().count() > 5
+            got = read_vector_object(spark, str(tmp_path)).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        assert len(got) == len(wanted) + 1
+        assert {r.id: r.embedding for r in got} == wanted | {"only": [7.0]}
+
+
+@pytest.mark.parametrize("bad", ["", " ", '{"a":[1.0]}}', '{"a":[1.0]"b":[2.0]}', '{"a":[1.0],}', '{"a":[[1.0]]}', '{"a]:[1.0]}', "{", "}"])
+def test_no_vector_object(spark, tmp_path, bad):
+    path = tmp_path / "v.json"
+    path.write_text(bad)
+    if not bad:
+        assert read_vector_object(spark, str(path)).collect() == []
+        return
+    with pytest.raises(Exception):
+        read_vector_object(spark, str(path)).collect()
