@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from termloom.functions.text import is_indexed_token, raw_tokens
 from termloom.operators.clauses import DOC_MARKER, TERM_KEY, CompiledRequests
 from termloom.schema import DEFAULT_FIELDS
-from termloom.session import scratch_table
+from termloom.session import repartitioned, scratch_table, text_partitions
 
 
 def token_rows(
@@ -97,10 +98,10 @@ def build_postings(
 
     Documents move by their key before they are split into tokens: text is
     smaller than its postings, and grouping by (key, field, term) then needs no
-    exchange.
+    exchange.  Without ``partitions`` the text is measured first, so that what
+    a task groups does not grow with the input.
     """
-    columns = [F.col(key) for key in keys]
-    spread = docs.repartition(partitions, *columns) if partitions else docs.repartition(*columns)
+    spread = repartitioned(docs, partitions or text_partitions(docs, fields), *keys)
     return group_tokens(token_rows(spread, keys, fields), keys, positions)
 
 
@@ -180,6 +181,11 @@ class ScanCorpus:
     documents: DataFrame
     keys: tuple[str, ...] = ("doc_key",)
 
+    @cached_property
+    def partitions(self) -> int | None:
+        """Partitions for what is shuffled by document key, as :func:`text_partitions`."""
+        return text_partitions(self.documents, DEFAULT_FIELDS)
+
     def postings_for(self, compiled: CompiledRequests, broadcast: bool = True) -> DataFrame:
         """Postings of the wanted terms, markers included.
 
@@ -192,7 +198,7 @@ class ScanCorpus:
         positions = compiled.profile.any_phrase
         if not positions:
             matched = matched.drop("pos")
-        matched = matched.repartition(*self.keys)
+        matched = repartitioned(matched, self.partitions, *self.keys)
         return group_tokens(matched, self.keys, positions)
 
     def statistics_for(self, compiled: CompiledRequests, postings: DataFrame) -> DataFrame:

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -16,6 +19,12 @@ SETTINGS = {
 }
 
 
+# Text that one task splits into tokens, and text in one bucket of a store.  Tokens that are
+# sorted or grouped take some 25 times as much memory as their text.
+TASK_TEXT = 8 * 1024 * 1024
+BUCKET_TEXT = 16 * 1024 * 1024
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, **extra: str) -> SparkSession:
     """A local session for tests and benchmarks; clusters bring their own."""
     builder = SparkSession.builder.master(f"local[{cores}]").appName("termloom")
@@ -53,3 +62,28 @@ def scratch_table(rows: DataFrame) -> DataFrame:
     path = f"{work_folder(rows.sparkSession)}/scratch-{uuid.uuid4().hex}"
     rows.write.parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def text_bytes(rows: DataFrame, columns: Sequence[str]) -> int:
+    """Bytes of text in ``columns``, measured by one pass over ``rows``."""
+    size = reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in columns))
+    return rows.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
+def text_partitions(rows: DataFrame, columns: Sequence[str]) -> int | None:
+    """Partitions for a shuffle of the tokens of ``rows``: None, the session's own number, if that is enough.
+
+    The session's number does not grow with the input; what a task holds then would.
+    """
+    wanted = -(-text_bytes(rows, columns) // TASK_TEXT)
+    return wanted if wanted > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def bucket_count(rows: DataFrame, columns: Sequence[str] = ("title", "body"), least: int = 8) -> int:
+    """Buckets for a store that is to hold ``rows``, so that one suits one task."""
+    return max(least, -(-text_bytes(rows, columns) // BUCKET_TEXT))
+
+
+def repartitioned(rows: DataFrame, partitions: int | None, *columns: str) -> DataFrame:
+    """``rows`` by ``columns``, in the session's number of partitions if ``partitions`` is None."""
+    return rows.repartition(partitions, *columns) if partitions else rows.repartition(*columns)
