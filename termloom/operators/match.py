@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from termloom.operators.blocks import block_scores
+from termloom.operators.blocks import block_scores, packed_documents, passes_scores
 from termloom.operators.bm25 import idf, tf_weight
 from termloom.operators.clauses import (
     DOC_MARKER,
@@ -51,7 +51,8 @@ def join_queries(
     salt = F.pmod(F.xxhash64(*keys), F.lit(SALTS)).cast("int")
     spread = postings.withColumn("salt", salt)
     copies = queries.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return spread.join(copies, [*on, "salt"]).drop("salt")
+    # The copies compress so well that Spark may take them for a table that can be broadcast.
+    return spread.join(copies.hint("merge"), [*on, "salt"]).drop("salt")
 
 
 def fan_out(postings: DataFrame, queries: DataFrame, keys, small: bool) -> DataFrame:
@@ -74,8 +75,11 @@ def valued_postings(postings: DataFrame, weights: DataFrame, keys, small: bool)
     That does not depend on the query, so it is computed before the postings
     fan out to the queries that ask for their term.
     """
-    worth = idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")
-    return join_queries(postings, weights, keys, small).select(*TERM_KEY, *keys, worth.alias("worth"))
+    return join_queries(postings, weights, keys, small).select(*TERM_KEY, *keys, _worth())
+
+
+def _worth() -> Column:
+    return (idf("n_docs", "df") * tf_weight("tf", "dl", "avgdl")).alias("worth")
 
 
 def _term_scores(compiled, postings, weights, keys, small) -> DataFrame:
@@ -245,16 +249,20 @@ def _combine(contributions: DataFrame, doc: list[str], profile) -> DataFrame:
 def best_scores(corpus, compiled: CompiledRequests, limits: DataFrame, overfetch: int, prune: bool) -> DataFrame:
     """Scores (qid, keys, score) that hold the best of each request; ``limits`` has (qid, pool).
 
-    Batches of plain words are scored in blocks; with ``prune``, documents that
-    cannot reach the pool are left out of the scoring.  Other requests, and
+    Batches of plain words are scored in blocks, very large ones in several
+    passes; with ``prune``, documents that cannot reach the pool are left out of
+    the scoring.  Other requests, and
     boosts that are not positive, get the scores of all their matches.
     """
     profile, keys = compiled.profile, corpus.keys
     small = fits_broadcast(compiled)
-    blocks = small and profile.term_rows >= BLOCK_TERMS
+    blocks = profile.term_rows >= BLOCK_TERMS
     simple = profile.plain and (prune or blocks)
     if not simple or not compiled.terms.where(~(F.col("boost") > 0)).isEmpty():
         return score_documents(corpus, compiled)
+    if not small and not prune:
+        found = _scored_in_passes(corpus, compiled, profile.max_limit * overfetch)
+        return found.withColumn("score", F.round("score", SCORE_DIGITS))
     # Statistics and scores both read the postings; in one plan each would make its own.
     postings = corpus.settled(corpus.postings_for(compiled, small))
     weights = with_field_totals(corpus.statistics_for(compiled, postings), small)
@@ -270,6 +278,21 @@ def best_scores(corpus, compiled: CompiledRequests, limits: DataFrame, overfetch
     return found.withColumn("score", F.round("score", SCORE_DIGITS))
 
 
+def _scored_in_passes(corpus, compiled: CompiledRequests, pool: int) -> DataFrame:
+    """Scores for requests that are too many to broadcast, as :func:`passes_scores` gives them."""
+    profile, keys = compiled.profile, corpus.keys
+    few = compiled.wanted.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    postings = corpus.settled(corpus.postings_for(compiled, few))
+    weights = with_field_totals(corpus.statistics_for(compiled, postings), few)
+    numbered = scratch_table(weights.withColumn("term_number", F.monotonically_increasing_id()))
+    rows = join_queries(postings, numbered, keys, few).select(*keys, "term_number", _worth())
+    packed = scratch_table(packed_documents(rows, keys, corpus.document_count()))
+    named = numbered.select(*TERM_KEY, "term_number")
+    asked = compiled.terms.join(F.broadcast(named) if few else named, list(TERM_KEY))
+    asked = asked.where(F.col("qid").isNotNull()).select("qid", "term_number", "boost")
+    return passes_scores(packed, asked, profile.term_rows, keys, pool)
+
+
 def keyword_pool(
     corpus, compiled: CompiledRequests, overfetch: int = OVERFETCH, prune: bool = False
 ) -> DataFrame:

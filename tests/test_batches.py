@@ -7,12 +7,14 @@ import pytest
 from pyspark.sql import functions as F
 
 import termloom.operators.blocks as blocks_module
+import termloom.operators.clauses as clauses_module
 import termloom.operators.match as match_module
+import termloom.session as session_module
 from samples import documents
 from termloom.operators.blocks import best_of_block
 from termloom.operators.clauses import clause_requests, compile_requests, term
 from termloom.operators.match import fan_out, keyword_pool, valued_postings
-from termloom.operators.postings import scan_corpus, with_field_totals
+from termloom.operators.postings import build_postings, scan_corpus, with_field_totals
 from termloom.operators.pruning import pruned_scores
 from termloom.session import scratch_table
 from termloom.sources.store import Store
@@ -112,3 +114,47 @@ def test_best_of_a_block_against_a_plain_product():
             got = dict(zip(k[q == i].tolist(), score[q == i].tolist()))
             best = np.sort(full[i][full[i] > 0])[-5:]
             assert got == pytest.approx({j: full[i, j] for j in got}) and sorted(got.values()) == pytest.approx(best.tolist())
+
+
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_requests_too_many_to_broadcast_are_answered_in_passes(spark, monkeypatch, tmp_path, few):
+    """Each pass holds some requests only; no (request, document) pair becomes a row of its own."""
+    rng = random.Random(11)
+    rows = some_rows(rng, 300)
+    store = Store(spark, str(tmp_path / "store"), buckets=2)
+    store.add_documents(documents(spark, rows).drop("doc_key"))
+    store.delete_documents(spark.createDataFrame([(str(i),) for i in range(0, 300, 7)], "id string"))
+    requests = clause_requests(spark, some_requests(rng, 30, 12))
+    corpora = [store.snapshot(), scan_corpus(documents(spark, rows))][: 2 if few else 1]
+    want = [pool(c, compile_requests(requests)) for c in corpora]
+    assert all(want)
+
+    def refuse(*args):
+        raise AssertionError("all matches scored")
+
+    monkeypatch.setattr(match_module, "score_documents", refuse)
+    monkeypatch.setattr(match_module, "BLOCK_TERMS", 0)
+    monkeypatch.setattr(match_module, "fits_broadcast", lambda compiled: False)
+    monkeypatch.setattr(match_module, "BROADCAST_ROWS", few)
+    monkeypatch.setattr(blocks_module, "ROWS_AT_ONCE", 300)
+    monkeypatch.setattr(blocks_module, "MOST_DOCUMENTS", 100)
+    monkeypatch.setattr(clauses_module, "LOCAL_ROWS", 0)
+    assert [pool(c, compile_requests(requests)) for c in corpora] == want
+
+
+def test_tasks_hold_as_much_however_long_the_texts_are(spark, monkeypatch):
+    rows = some_rows(random.Random(12), 200)
+    corpus = scan_corpus(documents(spark, rows))
+    assert corpus.partitions is None
+    docs = corpus.documents
+    want = sorted(map(str, build_postings(docs, ["doc_key"]).collect()))
+    monkeypatch.setattr(session_module, "TASK_TEXT", 1_000)
+    compiled = compile_requests(clause_requests(spark, some_requests(random.Random(13), 20, 6)))
+    expected = pool(corpus, compiled)
+    cut = scan_corpus(documents(spark, rows))
+    size = sum(len(text) for row in rows for text in row[1:])
+    assert cut.partitions == -(-size // 1_000) > 8
+    assert cut.postings_for(compiled).rdd.getNumPartitions() == cut.partitions
+    made = build_postings(docs, ["doc_key"])
+    assert made.rdd.getNumPartitions() == cut.partitions and sorted(map(str, made.collect())) == want
+    assert pool(cut, compiled) == expected
