@@ -53,7 +53,7 @@ from termloom.operators.vectors import (
 )
 from termloom.plans.response import response
 from termloom.plans.search import search
-from termloom.session import work_folder
+from termloom.session import bucket_count, work_folder
 from termloom.sources import tables
 from termloom.sources.documents import (
     fill_ids,
@@ -648,7 +648,7 @@ def _scenario(spark: SparkSession, folder: str) -> Store:
             ids = labels.where(condition).select(F.col("doc_id").alias("doc_key"))
             return docs.join(ids, "doc_key", "left_semi")
 
-        store = Store(spark, _scratch(spark), buckets=8, dims=DIMS)
+        store = Store(spark, _scratch(spark), buckets=bucket_count(docs), dims=DIMS)
         store.add_documents(docs)
         store.add_documents(chosen("toxic = 1"))
         store.delete_documents(chosen("quality = 0"))
@@ -790,8 +790,9 @@ def store_vectors(spark, folder):
 
 def vectors_refilled(spark, folder):
     """Documents added with a model that fails on some; a second model fills the gaps."""
-    store = Store(spark, _scratch(spark), buckets=8)
-    store.add_documents(_docs(spark, folder), embedder=FussyModel(7))
+    docs = _docs(spark, folder)
+    store = Store(spark, _scratch(spark), buckets=bucket_count(docs))
+    store.add_documents(docs, embedder=FussyModel(7))
     before = store.snapshot().vectors().select("index_name", "id", F.lit(True).alias("at_once"))
     store.fill_vectors(LetterModel())
     live = store.snapshot().vectors().join(before, ["index_name", "id"], "left")
@@ -813,7 +814,7 @@ def _document_stream(spark, folder, work: str) -> DataFrame:
 def stream_ingest(spark, folder):
     """Documents arrive in three micro-batches; the store must hold each once."""
     work = _scratch(spark)
-    store = Store(spark, f"{work}/store", buckets=8)
+    store = Store(spark, f"{work}/store", buckets=bucket_count(_docs(spark, folder)))
     stream = _document_stream(spark, folder, work)
     ingest_stream(store, stream, "docs", f"{work}/checkpoint", once=True).awaitTermination()
     stats = store.snapshot().visible("term_stats").where(F.col("field") == "body")

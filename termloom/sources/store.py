@@ -223,7 +223,8 @@ class Store:
         seq = self._begin("delete")
         doomed = corpus.stored().join(ids, ["index_name", "id"], "left_semi")
         hidden = doomed.select("index_name", F.col("commit_seq").alias("doc_seq"), "row_id")
-        self._insert("deleted", hidden, seq)
+        # By bucket, so that a task writes one file and not one for each bucket.
+        self._insert("deleted", hidden.repartition(self.buckets, "row_id"), seq)
         found = self._written("deleted", seq).select("index_name", "doc_seq", "row_id")
         count = found.count()
         # The text of the hidden rows is read once more for its terms.
@@ -234,13 +235,14 @@ class Store:
                 F.col("commit_seq").isin(keys["doc_seq"].unique().to_pylist())
                 & F.col("row_id").isin(keys["row_id"].unique().to_pylist())
             )
-        gone = rows.join(
-            found.withColumnRenamed("doc_seq", "commit_seq"), ["index_name", *KEYS], "left_semi"
-        )
-        minus = term_statistics(build_postings(gone, KEYS, SEARCHABLE_FIELDS, positions=False))
+        found = found.withColumnRenamed("doc_seq", "commit_seq")
+        found = F.broadcast(found) if count <= BROADCAST_DELETED else found
+        gone = rows.join(found, ["index_name", *KEYS], "left_semi")
+        terms = build_postings(gone, KEYS, SEARCHABLE_FIELDS, positions=False, partitions=self.buckets)
+        minus = term_statistics(terms)
         negative = minus.withColumns({"df": -F.col("df"), "tokens": -F.col("tokens")})
         self._insert("term_stats", self._sorted(negative), seq)
-        markers = ids.withColumn("embedding", F.lit(None).cast("array<float>"))
+        markers = ids.repartition(self.buckets, "id").withColumn("embedding", F.lit(None).cast("array<float>"))
         self._insert("vectors", markers, seq)
         self._record(seq, True, "delete", count)
         return count
@@ -262,7 +264,8 @@ class Store:
         # Counted while they are written: a second pass could call a model again.
         seen = Observation()
         counted = taken.observe(seen, F.count(F.lit(1)).alias("n"))
-        last = counted.groupBy("index_name", "id").agg(
+        # By bucket, which serves the grouping too.
+        last = counted.repartition(self.buckets, "id").groupBy("index_name", "id").agg(
             F.max_by("embedding", F.struct(*order)).alias("embedding")
         )
         self._insert("vectors", last, seq)
@@ -275,7 +278,7 @@ class Store:
         ids = self._scoped(ids)
         found = deleted_found(self.snapshot().vectors(), ids)
         seq = self._begin("vectors")
-        markers = ids.select("index_name", "id").distinct()
+        markers = ids.select("index_name", "id").repartition(self.buckets, "id").distinct()
         self._insert(
             "vectors", markers.withColumn("embedding", F.lit(None).cast("array<float>")), seq
         )
@@ -429,14 +432,21 @@ class StoreCorpus:
         return docs.join(hits, ["index_name", *self.keys])
 
     def get(self, ids: DataFrame) -> DataFrame:
-        """Documents by (index_name, id), found through the id postings."""
-        wanted = ids.select("index_name", F.col("id").alias("term")).distinct()
-        rows = self.visible("postings").where(F.col("field") == "id")
-        few = wanted.select("term").limit(LITERAL_TERMS + 1).collect()
+        """Documents by (index_name, id).
+
+        The stored documents are read once, and up to a million ids go to them,
+        so that neither postings nor texts are shuffled.
+        """
+        wanted = ids.select("index_name", "id").distinct()
+        rows = self.stored()
+        few = wanted.select("id").limit(LITERAL_TERMS + 1).collect()
         if len(few) <= LITERAL_TERMS:
-            rows = rows.where(one_of("term", {row["term"] for row in few if row["term"] is not None}))
-        found = self._live(rows).join(wanted, ["index_name", "term"], "left_semi")
-        return self._with(found.select("index_name", *self.keys), None, None)
+            rows = rows.where(one_of("id", {row["id"] for row in few if row["id"] is not None}))
+        if len(few) <= LITERAL_TERMS or wanted.count() <= BROADCAST_DELETED:
+            wanted = F.broadcast(wanted)
+        found = from_storage(rows.join(wanted, ["index_name", "id"], "left_semi"))
+        first = ["index_name", *self.keys]
+        return found.select(*first, *(c for c in found.columns if c not in first))
 
     def vectors(self) -> DataFrame:
         """(index_name, id, embedding): the last vector of each id, deletes applied."""

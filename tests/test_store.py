@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from samples import SEEDS, Failing, FailingOn, documents
+from termloom import session as session_module
 from termloom import Store, clause_requests, ingest_stream, scan_corpus, search, search_stream
 from termloom.operators.clauses import compile_requests
 from termloom.operators.match import keyword_pool
@@ -249,3 +250,43 @@ def test_json_rejects(spark, tmp_path):
     assert good.first().id == "1" and bad.count() == 1
     whole.write_text(f"[{lines[0]}, ")
     assert [r.reason for r in read_documents_apart(spark, str(whole))[1].collect()] == ["not JSON"]
+
+
+def test_deletes_and_vectors_write_one_file_for_each_bucket(spark, store):
+    """However many tasks write; a file for each task and bucket would grow with the product."""
+    rows = [(str(i), "t", f"b{i}") for i in range(60)]
+    vectors = spark.createDataFrame([(str(i), [1.0] * 8) for i in range(60)], "id string, embedding array<float>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        store.add_documents(documents(spark, rows).repartition(6))
+        store.put_vectors(vectors.repartition(6))
+        store.delete_documents(spark.createDataFrame([(str(i),) for i in range(40)], "id string").repartition(6))
+        store.delete_vectors(spark.createDataFrame([(str(i),) for i in range(40, 50)], "id string").repartition(6))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    for name, commits in (("deleted", 1), ("vectors", 3)):
+        files = store.table(name).select("commit_seq", F.input_file_name().alias("f")).distinct().groupBy("commit_seq").count()
+        counts = [r["count"] for r in files.collect()]
+        assert len(counts) == commits and max(counts) <= store.buckets == 3
+    assert sorted(int(r.id) for r in store.snapshot().documents.collect()) == list(range(40, 60))
+    assert sorted(int(r.id) for r in store.snapshot().vectors().collect()) == list(range(50, 60))
+
+
+@pytest.mark.parametrize("literal,broadcast", [(1_000, 1_000_000), (1, 1_000_000), (1, 0)])
+def test_get_reads_documents_only(spark, store, monkeypatch, literal, broadcast):
+    monkeypatch.setattr(store_module, "LITERAL_TERMS", literal)
+    monkeypatch.setattr(store_module, "BROADCAST_DELETED", broadcast)
+    store.add_documents(documents(spark, [("a", "1", "x"), ("a", "2", "y"), ("b", "3", "z"), ("c", "4", "w")]))
+    store.delete_documents(spark.createDataFrame([("c",)], "id string"))
+    wanted = [("default", i) for i in ("a", "a", "c", "nobody", None)] + [("other", "b")]
+    found = store.snapshot().get(spark.createDataFrame(wanted, "index_name string, id string"))
+    assert found.columns[:3] == ["index_name", "commit_seq", "row_id"]
+    assert sorted((r.id, r.title) for r in found.collect()) == [("a", "1"), ("a", "2")]
+    assert not any("_postings" in f or "/postings/" in f for f in found.inputFiles())
+
+
+def test_buckets_follow_the_text(spark, monkeypatch):
+    docs = documents(spark, [(str(i), "title", "body " * 20) for i in range(100)])
+    assert session_module.bucket_count(docs) == 8
+    monkeypatch.setattr(session_module, "BUCKET_TEXT", 500)
+    assert session_module.bucket_count(docs) == 21
