@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from termloom.operators.clauses import DOC_MARKER, TERM_KEY
-from termloom.session import scratch_table
+from termloom.session import repartitioned, scratch_table
 
 # A place between terms: (far, bound, side).  Side 0 lies before the term that
 # equals the bound, 1 is the term itself, 2 lies after it; far is 1 after all.
@@ -242,13 +242,15 @@ def range_matches(ranges: DataFrame, corpus, join, columns: Sequence[str]) -> Da
     nodes = scratch_table(range_nodes(placed, marks))
     levels = nodes.agg(F.coalesce(F.max("level"), F.lit(0))).first()[0]
     at = ["index_name", "field", *NODE]
+    partitions = getattr(corpus, "partitions", None)
     if len(few) <= LITERAL_BOUNDS:
-        parts = postings.select("index_name", *keys, "field", segment.alias("segment")).repartition(*keys).distinct()
+        parts = postings.select("index_name", *keys, "field", segment.alias("segment"))
+        parts = repartitioned(parts, partitions, *keys).distinct()
         met = with_nodes(parts, levels)
     else:
         words = scratch_table(term_nodes(marks, nodes, levels))
         # By document from here on: nothing that follows needs another exchange.
         met = join(postings, words, list(TERM_KEY)).select("index_name", *keys, "field", F.inline("nodes"))
-        met = met.repartition(*keys).distinct()
+        met = repartitioned(met, partitions, *keys).distinct()
     found = join(met, nodes.select(*at, "qid", *columns), at)
     return found.select("qid", *keys, *columns, "field").distinct()
