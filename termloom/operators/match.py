@@ -267,7 +267,7 @@ def best_scores(corpus, compiled: CompiledRequests, limits: DataFrame, overfetch
     postings = corpus.settled(corpus.postings_for(compiled, small))
     weights = with_field_totals(corpus.statistics_for(compiled, postings), small)
     valued = valued_postings(postings, weights, keys, small)
-    terms = compiled.terms.select("qid", *TERM_KEY, "boost")
+    terms = compiled.terms.where(F.col("qid").isNotNull()).select("qid", *TERM_KEY, "boost")
     most = profile.max_limit * overfetch
     if prune:
         fan = lambda postings, terms: fan_out(postings, terms, keys, small)

@@ -120,11 +120,11 @@ def test_best_of_a_block_against_a_plain_product():
 def test_requests_too_many_to_broadcast_are_answered_in_passes(spark, monkeypatch, tmp_path, few):
     """Each pass holds some requests only; no (request, document) pair becomes a row of its own."""
     rng = random.Random(11)
-    rows = some_rows(rng, 300)
+    rows = some_rows(rng, 150)
     store = Store(spark, str(tmp_path / "store"), buckets=2)
     store.add_documents(documents(spark, rows).drop("doc_key"))
-    store.delete_documents(spark.createDataFrame([(str(i),) for i in range(0, 300, 7)], "id string"))
-    requests = clause_requests(spark, some_requests(rng, 30, 12))
+    store.delete_documents(spark.createDataFrame([(str(i),) for i in range(0, 150, 7)], "id string"))
+    requests = clause_requests(spark, some_requests(rng, 15, 12) + [dict(qid=None, q="w0 w1")])
     corpora = [store.snapshot(), scan_corpus(documents(spark, rows))][: 2 if few else 1]
     want = [pool(c, compile_requests(requests)) for c in corpora]
     assert all(want)
@@ -136,12 +136,20 @@ def test_requests_too_many_to_broadcast_are_answered_in_passes(spark, monkeypatc
     monkeypatch.setattr(match_module, "BLOCK_TERMS", 0)
     monkeypatch.setattr(match_module, "fits_broadcast", lambda compiled: False)
     monkeypatch.setattr(match_module, "BROADCAST_ROWS", few)
-    monkeypatch.setattr(blocks_module, "ROWS_AT_ONCE", 300)
+    monkeypatch.setattr(blocks_module, "ROWS_AT_ONCE", 120)
     monkeypatch.setattr(blocks_module, "MOST_DOCUMENTS", 100)
     monkeypatch.setattr(clauses_module, "LOCAL_ROWS", 0)
     assert [pool(c, compile_requests(requests)) for c in corpora] == want
 
 
+def test_requests_without_an_id_are_left_out(spark, monkeypatch):
+    corpus = scan_corpus(documents(spark, some_rows(random.Random(14), 30)))
+    compiled = compile_requests(clause_requests(spark, [dict(qid=q, q="w0 w1") for q in (None, 5)]))
+    want = pool(corpus, compiled)
+    monkeypatch.setattr(match_module, "BLOCK_TERMS", 0)
+    assert pool(corpus, compiled) == want and {r[0] for r in want} == {5}
+
+
 def test_tasks_hold_as_much_however_long_the_texts_are(spark, monkeypatch):
     rows = some_rows(random.Random(12), 200)
     corpus = scan_corpus(documents(spark, rows))
