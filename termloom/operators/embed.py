@@ -7,12 +7,14 @@ from collections.abc import Iterator, Sequence
 from typing import Protocol, runtime_checkable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Fixed number of texts per call to a model.
 TEXTS_PER_CALL = 100
+VECTOR = pa.list_(pa.field("element", pa.float32()))
 
 
 @runtime_checkable
@@ -48,9 +50,13 @@ def embed_texts(
     that fail by themselves get NULL vectors and a log line; otherwise it fails
     the job.  Columns other than ``text`` pass
     through untouched, so row order does not matter.
+
+    A worker holds Spark's Arrow batches (10,000 rows or 64 MB by default) and, as
+    Python objects, the texts of one call: batches are handed on in slices of a call.
     """
     if callable(getattr(embedder, "embed_rows", None)):
         return embedder.embed_rows(rows, text, into, keep_failures)
+    at = rows.columns.index(text)
     schema = T.StructType(
         [*rows.schema.fields, T.StructField(into, T.ArrayType(T.FloatType()))]
     )
@@ -71,16 +77,19 @@ def embed_texts(
         logging.getLogger("termloom").info("no vector for a text: %s", failure)
         return [None]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            vectors: list = []
-            for start in range(0, len(batch), TEXTS_PER_CALL):
-                vectors.extend(call(batch[text].iloc[start : start + TEXTS_PER_CALL].tolist()))
-            if missing := sum(v is None for v in vectors):
-                logging.getLogger("termloom").warning("%d of %d texts have no vector", missing, len(vectors))
-            yield batch.assign(**{into: pd.Series(vectors, index=batch.index, dtype=object)})
-
-    return rows.mapInPandas(run, schema)
+            missing = 0
+            for start in range(0, batch.num_rows, TEXTS_PER_CALL):
+                part = batch.slice(start, TEXTS_PER_CALL)
+                vectors = call(part.column(at).to_pylist())
+                missing += sum(v is None for v in vectors)
+                made = pa.array(vectors, VECTOR, from_pandas=True)
+                yield pa.RecordBatch.from_arrays([*part.columns, made], names=[*part.schema.names, into])
+            if missing:
+                logging.getLogger("termloom").warning("%d of %d texts have no vector", missing, batch.num_rows)
+
+    return rows.mapInArrow(run, schema)
 
 
 def embed_queries(requests: DataFrame, embedder: Embedder) -> DataFrame:

@@ -1,7 +1,11 @@
 import json
+import sys
+import tracemalloc
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from samples import Counting, Failing, FailingOn, documents
@@ -14,6 +18,8 @@ from termloom.operators.vectors import check_dims, keep_dims, latest_vectors, ve
 from termloom.plans.catalog import LengthScorer
 from termloom.sources.vector_files import read_vector_object
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 VECTORS = "id string, embedding array<float>"
 
 
@@ -124,6 +130,55 @@ def test_embedding_in_calls_of_at_most_100(spark):
     assert supports_scoring(LengthScorer())
 
 
+class Traced:
+    """Notes the most memory that Python's objects took from its second call, when modules are loaded, to its call ``last``."""
+
+    name = "traced"
+    dims = 1
+
+    def __init__(self, path, last):
+        self.path, self.last, self.calls = str(path), last, 0
+
+    def embed(self, texts):
+        self.calls += 1
+        if self.calls == 2:
+            tracemalloc.start()
+        elif self.calls == self.last:
+            Path(self.path).write_text(str(tracemalloc.get_traced_memory()[1]))
+            tracemalloc.stop()
+        return [[float(len(t))] for t in texts]
+
+
+def test_worker_holds_the_texts_of_one_call(spark, tmp_path):
+    texts = spark.range(0, 22_000, numPartitions=1).select("id", F.lpad(F.col("id").cast("string"), 2000, "tea ").alias("text"))
+    made = embed_texts(texts, Traced(tmp_path / "peak", 220)).agg(F.count("embedding"), F.min("embedding"), F.max("embedding"))
+    assert tuple(made.first()) == (22_000, [2000.0], [2000.0])
+    # One of Spark's batches has 20 MB, read as one object; the texts of a call 0.2 MB.
+    assert int((tmp_path / "peak").read_text()) < 32_000_000
+
+
+def test_other_columns_of_any_kind_and_odd_vectors(spark):
+    rows = spark.sql(
+        """SELECT id, if(id % 3 = 0, NULL, concat('text ', id)) AS text, if(id % 2 = 0, NULL, cast(id AS INT)) AS n,
+        timestamp_micros(id * 1000003) AS t, date_add(date'1969-12-30', cast(id AS INT)) AS d, cast(id / 7 AS DECIMAL(20, 5)) AS x,
+        array(id, NULL) AS a, map(id, named_struct('s', array('u', NULL))) AS m, unhex('00ff') AS b, cast(NULL AS VOID) AS v
+        FROM range(0, 250, 1, 1)"""
+    )
+
+    class Odd:
+        name, dims = "odd", 3
+
+        def embed(self, texts):
+            return [np.array([0.1, float("inf"), -1.0 if t is None else len(t)]) for t in texts]
+
+    made = embed_texts(rows, Odd())
+    assert made.columns == [*rows.columns, "embedding"]
+    assert sorted(made.drop("embedding").collect()) == sorted(rows.collect())
+    for r in made.collect():
+        assert r.embedding == [float(np.float32(0.1)), float("inf"), -1.0 if r.text is None else len(r.text)]
+    assert embed_texts(rows.limit(0), Odd()).collect() == []
+
+
 def test_failing_model(spark):
     texts = spark.createDataFrame([(1, "a")], "id int, text string")
     assert embed_texts(texts, Failing(), keep_failures=True).first().embedding is None
