@@ -189,7 +189,11 @@ class Store:
         added = written.count()
         self._record(seq, True, "add", added, stream, batch)
         if embedder is not None:
-            self._embed(written, embedder)
+            try:
+                self._embed(written, embedder)
+            except Exception:
+                # The documents are committed and stay searchable whatever their vectors do.
+                logging.getLogger("termloom").warning("storing embeddings failed", exc_info=True)
         return added
 
     def _sorted(self, stats: DataFrame) -> DataFrame:
@@ -201,14 +205,14 @@ class Store:
             "index_name", "id", "commit_seq", "row_id", candidate_text().alias("text")
         )
         made = embed_texts(texts, embedder, keep_failures=True).drop("text")
-        try:
-            return self._put_vectors(made.where(F.col("embedding").isNotNull()), KEYS)
-        except Exception:
-            logging.getLogger("termloom").warning("storing embeddings failed", exc_info=True)
-            return 0
+        return self._put_vectors(made.where(F.col("embedding").isNotNull()), KEYS)
 
     def fill_vectors(self, embedder: Embedder) -> int:
-        """Embed the live documents whose id has no vector; returns how many got one."""
+        """Embed the live documents whose id has no vector; returns how many got one.
+
+        Texts that the model fails on stay without.  A job that fails fails the
+        call: nothing was filled then, which is not the same as nothing to fill.
+        """
         corpus = self.snapshot()
         have = corpus.vectors().select("index_name", "id")
         return self._embed(corpus.stored().join(have, ["index_name", "id"], "left_anti"), embedder)
@@ -269,7 +273,8 @@ class Store:
             F.max_by("embedding", F.struct(*order)).alias("embedding")
         )
         self._insert("vectors", last, seq)
-        count = seen.get.get("n", 0)
+        # A plan found to be empty while it runs counts nothing.
+        count = 0 if self._written("vectors", seq).isEmpty() else seen.get["n"]
         self._record(seq, True, "vectors", count)
         return count
 

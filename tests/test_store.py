@@ -138,6 +138,33 @@ def test_missing_vectors_are_filled(spark, store):
     assert live == {s[0]: LetterModel().embed([f"{s[1]} {s[2]}"])[0] for s in SEEDS}
 
 
+def test_a_fill_that_fails_is_no_result(spark, store, monkeypatch):
+    """A lost job raises; it does not return 0, as a store without gaps does."""
+    insert = Store._insert
+
+    def lost(self, name, rows, seq):
+        if name == "vectors":
+            raise OSError("disk is gone")
+        insert(self, name, rows, seq)
+
+    monkeypatch.setattr(Store, "_insert", lost)
+    assert store.add_documents(documents(spark, SEEDS), embedder=LetterModel()) == len(SEEDS)
+    with pytest.raises(OSError, match="disk is gone"):
+        store.fill_vectors(LetterModel())
+    monkeypatch.undo()
+    assert store.snapshot().vectors().count() == 0
+    assert store.fill_vectors(LetterModel()) == len(SEEDS)
+    assert store.fill_vectors(LetterModel()) == 0
+
+
+def test_no_vector_at_all_is_a_finished_commit(spark, store):
+    """Without a row, Spark leaves the counting out of the plan; that is not a failed write."""
+    store.add_documents(documents(spark, SEEDS[:2]))
+    assert store.fill_vectors(Failing()) == 0
+    assert store.put_vectors(spark.createDataFrame([], "id string, embedding array<float>")) == 0
+    assert store.snapshot().open_commits == () and store.log().where("done and kind = 'vectors'").count() == 2
+
+
 def test_replayed_batch_makes_missing_vectors(spark, store, tmp_path):
     source = str(tmp_path / "in")
     documents(spark, SEEDS).drop("doc_key").coalesce(1).write.parquet(source)
