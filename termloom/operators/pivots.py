@@ -11,14 +11,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from termloom.session import scratch_table
-
 # Pivots of the vectors at most, and distances to them that are brought to the driver at most.
 MOST_PIVOTS = 256
 MOST_DISTANCES = 2_000_000
@@ -59,7 +58,7 @@ def some_points(rows: DataFrame, column: str, dims: int, most: int, zero_side: i
 
 
 def near_pivots(rows: DataFrame, column: str, pivots: np.ndarray, dims: int, zero_side: int) -> DataFrame:
-    """``rows`` with the number of the nearest pivot and the distance from it, written."""
+    """``rows`` with the number of the nearest pivot and the distance from it."""
     shared = rows.sparkSession.sparkContext.broadcast(pivots)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -70,7 +69,7 @@ def near_pivots(rows: DataFrame, column: str, pivots: np.ndarray, dims: int, zer
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "pivot", "far"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    return scratch_table(rows.mapInArrow(assign, f"{types}, pivot int, far double"))
+    return rows.mapInArrow(assign, f"{types}, pivot int, far double")
 
 
 def admitted(
@@ -93,29 +92,64 @@ def admitted(
     return out
 
 
-def meetings(vectors: DataFrame, queries: DataFrame, k: int, dims: int, n_queries: int, per_group: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides with the ``group`` in which they meet; vectors once for each group that admits them.
+@dataclass(frozen=True)
+class Admission:
+    """Centres of the groups of queries, pivots of the vectors, and which vectors a group admits.
+
+    A vector meets ``group`` if its distance from its ``pivot`` lies between
+    ``low[group, pivot]`` and ``high[group, pivot]``.
+    """
 
-    ``vectors`` has (id, embedding) and ``queries`` (qid, query_embedding).
+    pivots: np.ndarray
+    centres: np.ndarray
+    low: np.ndarray
+    high: np.ndarray
+
+    @property
+    def empty(self) -> bool:
+        return not len(self.pivots) or not len(self.centres)
+
+
+def admission(vectors: DataFrame, queries: DataFrame, k: int, dims: int, n_queries: int, per_group: int) -> Admission:
+    """Groups for ``queries`` (qid, query_embedding) and what of ``vectors`` (id, embedding) each admits.
+
+    Nothing is written: a row's pivot costs less to find again than to keep.
     """
-    spark = vectors.sparkSession
     n_pivots = max(1, min(MOST_PIVOTS, MOST_DISTANCES // k))
     pivots = some_points(vectors, "embedding", dims, n_pivots, 0)
     n_groups = max(1, min(MOST_PIVOTS, -(-n_queries // per_group)))
     centres = some_points(queries, "query_embedding", dims, n_groups, 1)
+    low, high = np.full((len(centres), len(pivots)), np.inf), np.full((len(centres), len(pivots)), -np.inf)
     if not len(pivots) or not len(centres):
-        none = F.lit(0)
-        return vectors.limit(0).withColumn("group", none), queries.limit(0).withColumn("group", none)
-    placed = near_pivots(vectors, "embedding", pivots, dims, 0)
-    asked = near_pivots(queries, "query_embedding", centres, dims, 1)
+        return Admission(pivots, centres, low, high)
+    placed = near_pivots(vectors.select("embedding"), "embedding", pivots, dims, 0)
+    asked = near_pivots(queries.select("query_embedding"), "query_embedding", centres, dims, 1)
     order = Window.partitionBy("pivot").orderBy("far")
     least = placed.select("pivot", "far", F.row_number().over(order).alias("n")).where(F.col("n") <= k).toArrow()
     owner, far = least.column("pivot").to_numpy(), least.column("far").to_numpy()
     closest = [np.sort(far[owner == p]) for p in range(len(pivots))]
     widest = {r["pivot"]: r["far"] for r in asked.groupBy("pivot").agg(F.max("far").alias("far")).collect()}
     reach = np.array([widest.get(g, 0.0) for g in range(len(centres))])
-    table = admitted(closest, distances(centres, pivots), reach, k)
-    table = [row for row in table if row[0] in widest]
-    bounds = spark.createDataFrame(table, "`group` int, pivot int, low double, high double")
+    for group, pivot, least_far, most_far in admitted(closest, distances(centres, pivots), reach, k):
+        if group in widest:
+            low[group, pivot], high[group, pivot] = least_far, most_far
+    return Admission(pivots, centres, low, high)
+
+
+def meetings(vectors: DataFrame, queries: DataFrame, k: int, dims: int, n_queries: int, per_group: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the ``group`` in which they meet; vectors once for each group that admits them.
+
+    ``vectors`` has (id, embedding) and ``queries`` (qid, query_embedding).  This
+    lists what :func:`~termloom.operators.knn.knn_by_pivots` compares, and has as
+    many rows.
+    """
+    found = admission(vectors, queries, k, dims, n_queries, per_group)
+    if found.empty:
+        none = F.lit(0)
+        return vectors.limit(0).withColumn("group", none), queries.limit(0).withColumn("group", none)
+    table = [(int(g), int(p), float(found.low[g, p]), float(found.high[g, p])) for g, p in zip(*np.nonzero(found.low <= found.high))]
+    bounds = vectors.sparkSession.createDataFrame(table, "`group` int, pivot int, low double, high double")
+    placed = near_pivots(vectors, "embedding", found.pivots, dims, 0)
+    asked = near_pivots(queries, "query_embedding", found.centres, dims, 1)
     met = placed.join(F.broadcast(bounds), "pivot").where((F.col("far") >= F.col("low")) & (F.col("far") <= F.col("high")))
     return met.select("id", "embedding", "group"), asked.select("qid", "query_embedding", F.col("pivot").alias("group"))

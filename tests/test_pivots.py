@@ -65,3 +65,29 @@ def test_few_rows(spark, vectors, queries):
     v, q = rng.normal(size=(vectors, 4)), rng.normal(size=(queries, 4))
     got = knn(*frames(spark, v, q), 5, 4, grouped=True).collect()
     assert sorted((r.qid, r.id) for r in got) == sorted(x[:2] for x in brute(v, q, 5))
+
+
+@pytest.mark.parametrize("values,k", [(16_000_000, 4), (400, 4), (90, 30)])
+def test_vectors_are_sent_in_parts_and_no_side_is_copied(spark, monkeypatch, values, k):
+    """Rows for each (group, vector) or (query, block) would grow with the square of the input."""
+    monkeypatch.setattr(knn_module, "QUERIES_PER_BLOCK", 9)
+    monkeypatch.setattr(knn_module, "VECTORS_PER_BLOCK", 16)
+    monkeypatch.setattr(knn_module, "PAIRS_AT_ONCE", 50, raising=False)
+    monkeypatch.setattr(knn_module, "VALUES_PER_PASS", values, raising=False)
+    rng = np.random.default_rng(k)
+    vectors, queries = clustered(rng, 200, 5, 0.5), clustered(rng, 60, 5, 0.5)
+    vectors[7] = queries[3] = 0
+    vectors[20:120] = vectors[20]  # copies fill parts of their own
+    v, q = frames(spark, vectors, queries)
+    found = knn(v, q, k, 5, grouped=True)
+    got = [(r.qid, r.id, r["rank"], r.score) for r in found.collect()]
+    assert sorted(got) == [(a, i, n, pytest.approx(s, abs=1e-9)) for a, i, n, s in sorted(brute(vectors, queries, k))]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not any(node in plan for node in ("Generate", "Join", "FlatMapCoGroups"))
+
+
+def test_repeated_queries_and_vectors_without_an_id(spark):
+    v = spark.createDataFrame([(None, [1.0, 0.0]), ("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0]), (1, [0.0, 1.0]), (None, [0.0, 2.0])], "qid long, query_embedding array<float>")
+    got = [(r.qid, r.id, r["rank"], r.score) for r in knn(v, q, 2, 2, grouped=True).collect()]
+    assert sorted(got, key=str) == sorted([(1, None, 1, 1.0), (1, "a", 2, 1.0), (None, "c", 1, 1.0), (None, None, 2, 0.0)], key=str)
